@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from drawlake.llm import exact_dedup, mixing, quality_rules, secret_scan
+from drawlake.llm import exact_dedup, language_id, line_crf, mixing, packing, quality_rules, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_line_quality": line_crf.op5_line_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.SQL,
