@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from drawlake.llm import exact_dedup, language_id, line_crf, mixing, packing, quality_rules, secret_scan, token_files, toxicity
+from drawlake.llm import exact_dedup, language_id, line_crf, mixing, ngram_join, packing, quality_rules, secret_scan, token_files, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
