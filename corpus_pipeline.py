@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawlake.llm.common import shared_dir, table, written
-from drawlake.llm.exact_dedup import DigestIndex, exact_dedup
+from drawlake.llm.exact_dedup import DigestIndex, exact_dedup, normalised_digest
 from drawlake.llm.mixing import mix
 from drawlake.llm.ngram_join import JoinOptions, similar_components
 from drawlake.llm.packing import PackOptions, pack, token_pieces
@@ -26,31 +27,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
-def one_row_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `keep`."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+#: Stands for a null doc_id in joins.
+NO_ID = -(2**63)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays. Rows that repeat doc_id and text are reduced to one; a row
-    without a doc_id stays only if no row with one has its text."""
-    judged = exact_dedup(docs, DigestIndex(spark, shared_dir(spark, "pipeline_index")))
-    return one_row_each(docs, judged.filter("kept"))
+    """Of equal texts one row stays, also where a doc_id is repeated or null."""
+    judged = exact_dedup(docs, DigestIndex(spark, shared_dir(spark, "pipeline_index"))).filter("kept")
+    name = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
+    keep = judged.groupBy(name, F.col("text_sha256").alias("_digest")).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = docs.select("*", name, normalised_digest(F.col("text")).alias("_digest"))
+    chosen = rows.join(keep, ["_id", "_digest"])
+    # A kept digest has one doc_id, so rows that share both repeat one row. The longest stays.
+    single, several = chosen.filter("_rows = 1"), chosen.filter("_rows > 1")
+    order = W.partitionBy("_id", "_digest").orderBy(F.length("text").desc_nulls_last())
+    first = several.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return single.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that is linked at a similarity of 0.8 on five-word shingles, the
-    document with the smallest doc_id stays."""
+    document with the smallest doc_id stays. Rows without a doc_id stay."""
     grouped = similar_components(docs, JoinOptions(words=5, least=80))
-    return one_row_each(docs, grouped.filter("doc_id = component_id"))
+    gone = grouped.filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole rounds, and once more if the last
     round takes at least half of the text. Sources above their target so lose documents and
     those below it repeat theirs."""
-    times = mix(docs).filter("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"))
-    repeated = docs.join(times.filter("times > 0"), "doc_id")
+    name = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
+    taken = F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times")
+    times = mix(docs).filter("size > 0").groupBy(name).agg(taken)
+    repeated = docs.select("*", name).join(times.filter("times > 0"), "_id")
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
