@@ -1,6 +1,18 @@
-"""The drawing queries and their SQL, by name."""
+"""The drawing queries and their SQL, by name.
+
+A query takes (spark, sf_dir). Its SQL runs on the same tables in another engine and must
+give the same rows; it is written from the definition, not from the Spark plan.
+"""
 
 from __future__ import annotations
 
+
+from drawlake.plans import rows, shapes, tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (rows, shapes, tables):
+    for name, (query, sql) in part.ENTRIES.items():
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
