@@ -64,8 +64,8 @@ def leaf_boxes(trees: DataFrame, levels: int = 8) -> DataFrame:
 def svg_points(lines: DataFrame) -> DataFrame:
     """Distinct coordinate pairs in the lines of SVG text (column value)."""
     pairs = F.regexp_extract_all("value", F.lit(r"(-?\d+(?:\.\d+)?)[ ,]+(-?\d+(?:\.\d+)?)"), F.lit(0))
-    parts = F.split(F.explode(pairs), "[ ,]+")
-    return lines.select(parts.alias("p")).select(F.col("p")[0].cast("double").alias("x"), F.col("p")[1].cast("double").alias("y")).distinct()
+    parts = F.split("pair", "[ ,]+")
+    return lines.select(F.explode(pairs).alias("pair")).select(parts[0].cast("double").alias("x"), parts[1].cast("double").alias("y")).distinct()
 
 
 def expand_blocks(inserts: DataFrame, roots: DataFrame, most_depth: int = 32) -> DataFrame:
