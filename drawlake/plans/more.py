@@ -153,3 +153,76 @@ def robust_bounds(e):
     b = B.box()
     ghost = (b.width <= 1e-9) & (b.height <= 1e-9) & (F.col("depth") > 0)
     return D.sheet_bounds(e.filter(~ghost)).drop("n")
+
+
+UNITS_SQL = """, m AS (SELECT *, 'Branch' AS unit_kind, block_path AS unit_key FROM e WHERE block_path IS NOT NULL UNION ALL SELECT *, 'BlockFamily', block_name FROM e WHERE block_path IS NOT NULL
+ UNION ALL SELECT *, 'Loose', CASE WHEN kind IN ('Text', 'MText') THEN 'loose-text' WHEN kind IN ('Dimension', 'Leader') THEN 'loose-dimension' WHEN kind = 'BlockReference' THEN 'loose-block' ELSE 'loose-geometry' END FROM e WHERE block_path IS NULL),
+ g AS (SELECT sheet_id, unit_kind, unit_key, count(*) AS total, count(*) FILTER (kind IN ('Text', 'MText')) AS texts, count(*) FILTER (kind IN ('Dimension', 'Leader')) AS dims,
+  count(*) FILTER (kind IN ('Circle', 'Arc', 'Polyline', 'Line', 'Hatch')) AS geometry, count(*) FILTER (kind = 'Line') AS lines, max(max_x) - min(min_x) AS w, max(max_y) - min(min_y) AS h,
+  count(*) FILTER (kind IN ('Text', 'MText') AND regexp_matches(upper(text), 'SCALE|UNIT|DATE|DRAWN|CHECK|APPROVED|GENERAL|TOL|TITLE|DWG|NO|REV')) AS meta_hits, string_agg(CAST(handle AS VARCHAR), '|' ORDER BY handle) AS members FROM m GROUP BY ALL),
+ ur AS (SELECT *, CASE WHEN geometry >= 4 AND lines >= 4 AND texts <= 2 AND dims = 0 AND w > 50 AND h > 50 THEN 'Frame' WHEN dims > 0 AND dims >= total * 0.6 THEN 'Annotation' WHEN texts > 0 AND texts >= total * 0.6 AND meta_hits >= 1 THEN 'Metadata'
+  WHEN geometry >= total * 0.55 AND texts <= total * 0.45 AND dims <= total * 0.2 THEN 'Geometry' ELSE 'Mixed' END AS role FROM g)"""
+
+
+@entry("unit_roles", f"{UNITS_SQL} SELECT sheet_id, unit_kind, unit_key, total, role FROM ur")
+def unit_roles(e):
+    """No unit of these tables has the fields of a table row, so the SQL leaves that role out."""
+    from drawlake.operators import units as U
+
+    return U.unit_roles(e).select("sheet_id", "unit_kind", "unit_key", "total", "role")
+
+
+@entry("unit_separation", f"{UNITS_SQL} SELECT sheet_id, CASE role WHEN 'TitleBlock' THEN 'Metadata' ELSE role END AS bucket, count(*) AS n FROM ur GROUP BY ALL")
+def unit_separation(e):
+    from drawlake.operators import units as U
+
+    bucket = F.when(F.col("role") == "TitleBlock", "Metadata").otherwise(F.col("role"))
+    return U.unit_roles(e).groupBy("sheet_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@entry("representative_units", f"{UNITS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, members ORDER BY geometry DESC, geometry / total DESC, total DESC, texts, CASE unit_kind WHEN 'Branch' THEN 0 WHEN 'BlockFamily' THEN 1 ELSE 2 END, unit_key) AS k FROM ur WHERE role = 'Geometry') SELECT sheet_id, unit_kind, unit_key, total FROM k WHERE k = 1")
+def representative_units(e):
+    from drawlake.operators import units as U
+
+    return U.representative_units(U.unit_roles(e)).select("sheet_id", "unit_kind", "unit_key", "total")
+
+
+@entry("block_decisions", ", c AS (SELECT sheet_id, block_path, count(*) AS n, count(*) FILTER (kind = 'BlockReference') AS b, count(*) FILTER (kind IN ('Circle', 'Arc', 'Polyline', 'Line', 'Hatch')) AS g, count(*) FILTER (kind IN ('Text', 'MText', 'Dimension', 'Leader')) AS t FROM e WHERE block_path IS NOT NULL GROUP BY ALL) SELECT sheet_id, block_path, NOT ((n = 1 AND b = 1) OR (n <= 2 AND g = 0 AND t <= 1)) AS preserve FROM c")
+def block_decisions(e):
+    from drawlake.operators import units as U
+
+    return U.block_decisions(e).select("sheet_id", "block_path", "preserve")
+
+
+def pack_units(e):
+    return e.filter("kind IN ('Circle', 'Polyline')").select("sheet_id", "handle", "min_x", "min_y", "max_x", "max_y", F.lit(1).cast("bigint").alias("geometry"), F.when(F.col("layer") == "TITLE", 1).otherwise(0).cast("bigint").alias("meta_hits"))
+
+
+@entry("connect_gaps", ", u AS (SELECT * FROM e WHERE kind IN ('Circle', 'Polyline')), p AS (SELECT a.sheet_id, a.handle, sqrt(power(greatest(0, b.min_x - a.max_x, a.min_x - b.max_x), 2) + power(greatest(0, b.min_y - a.max_y, a.min_y - b.max_y), 2)) AS gap FROM u a JOIN u b ON a.sheet_id = b.sheet_id AND a.handle <> b.handle), n AS (SELECT sheet_id, handle, min(gap) AS gap FROM p WHERE gap > 1 AND gap <= 120 GROUP BY ALL), q AS (SELECT sheet_id, quantile_cont(gap, 0.65) * 1.45 AS near FROM n GROUP BY sheet_id), sp AS (SELECT sheet_id, quantile_cont(greatest(max_x - min_x, max_y - min_y), 0.5) FILTER (greatest(max_x - min_x, max_y - min_y) > 0) * 0.12 AS span FROM u GROUP BY sheet_id) SELECT sp.sheet_id, round(least(80, greatest(8, coalesce(near, span, 8))), 6) AS connect_gap FROM sp LEFT JOIN q USING (sheet_id)")
+def connect_gaps(e):
+    from drawlake.operators import units as U
+
+    return U.connect_gaps(pack_units(e)).select("sheet_id", F.round("connect_gap", 6).alias("connect_gap"))
+
+
+@entry("unit_packs", None)
+def unit_packs(e):
+    from drawlake.operators import units as U
+
+    return U.unit_packs(pack_units(e)).select("sheet_id", "pack_id", "units", "geometry", "meta_hits", F.round("score", 6).alias("score"))
+
+
+@entry("analysis_fields", None)
+def analysis_fields(e):
+    """Fields of the whole analysis; its parts have SQL of their own."""
+    from drawlake.plans.analyze import Analysis
+
+    return Analysis().run(e)["fields"]
+
+
+@entry("part_documents", ", p AS (SELECT sheet_id, count(*) AS n FROM e WHERE kind = 'Circle' GROUP BY sheet_id) SELECT sheet_id, n AS part_count FROM p")
+def part_documents(e):
+    from drawlake.sources.sinks import part_list
+
+    parts = e.filter("kind = 'Circle'").select("sheet_id", "handle", "min_x", "min_y")
+    return part_list(parts, "demo").select("sheet_id", F.get_json_object("document", "$.part_count").cast("bigint").alias("part_count"))
