@@ -47,8 +47,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, most: int) -
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids = np.frombuffer(enc.encode(raw.as_py() or b"") + end, enc.dtype).astype("<u4")
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for doc_id, got in zip(batch.column(0).to_pylist(), enc.encode_many(texts), strict=True):
+                ids = np.frombuffer(got + end, enc.dtype).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), most)):
                     part = ids[start : start + most]
                     for column, value in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):

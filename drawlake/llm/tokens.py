@@ -15,14 +15,24 @@ import re
 import numpy as np
 
 #: Code points that a Unicode-aware pattern takes as white space though bytes patterns do not.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _BYTE_PIECE = re.compile(rb" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
-#: A word and the marks at its end; no apostrophe, which starts contractions.
-_TAIL = re.compile(r"(.*\w)([^\w\s']+)", re.S)
+#: Marks that may end a piece; no apostrophe, which starts contractions.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: ASCII letters and numbers, by byte.
+_LETTER = [chr(c).isalnum() and c < 128 for c in range(256)]
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def _ends_in_letter(piece: bytes) -> bool:
+    """Whether the last character is a letter or a number, in lower case too."""
+    if piece[-1] < 128:
+        return piece[-1:].isalnum()
+    last = piece.decode("utf8")[-1]
+    return last.isalnum() and last.lower()[-1].isalnum()
+
+
 def encoder(path: str) -> PieceEncoder:
     """The encoder of a tokenizer file, one in each Python worker."""
     if path not in _ENCODERS:
@@ -45,12 +55,16 @@ class PieceEncoder:
         self.specials = [t["content"].encode() for t in data.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         kinds = [p.get("type") for p in parts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
         if not data.get("normalizer") and kinds == ["ByteLevel"] and before.get("use_regex") and not before.get("add_prefix_space"):
             self.mode = "byte"
         elif kinds == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and self._lowers(data):
             self.mode = "word"
         else:
             self.mode = "whole"
+        # Tokens that begin a piece (its blank) in byte mode, that end one in word mode.
+        self.marked[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.mode == "byte" else t.endswith("</w>"))]] = True
 
     @staticmethod
     def _lowers(data: dict) -> bool:
@@ -59,52 +73,99 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, keys: list[bytes]) -> None:
-        """Encode those of the keys that the cache lacks."""
-        cache = self.cache
-        fresh = [k for k in dict.fromkeys(keys) if k not in cache]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+    def _known(self, keys: set[bytes]) -> None:
+        """Encode those of the keys that the cache lacks. Keys of letters only go to the library
+        many at a time: each is one pre-token, and a token's mark tells where it begins or ends."""
+        cache, plain, rest = self.cache, [], []
+        for k in keys.difference(cache):
+            body = k[1:] if self.mode == "byte" and k[:1] == b" " else k
+            joins = (self.mode == "word" or body is not k) and (body.isalpha() if body.isascii() else body.decode("utf8").isalpha())
+            (plain if joins else rest).append(k)
+        gap = b"" if self.mode == "byte" else b" "
+        groups = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        encoded = self.tokenizer.encode_batch_fast([gap.join(g).decode("utf8") for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.array(e.ids, self.dtype)
+            marks = np.flatnonzero(self.marked[ids])
+            if len(marks) != len(group):
+                rest += group
+                continue
+            cuts = np.append(marks, len(ids)) if self.mode == "byte" else np.append(0, marks + 1)
+            raw, places = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+            for k, a, b in zip(group, places, places[1:], strict=False):
+                cache[k] = raw[a:b]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             cache.update(zip(part, self._library([k.decode("utf8") for k in part]), strict=True))
 
-    def _miss(self, pieces: list[bytes]) -> None:
+    def _miss(self, pieces: set[bytes]) -> None:
         """Learn pieces: marks at the end of a piece are tokens of their own, and in word mode
         capitals do not matter, so most new pieces are put together from known ones."""
-        cache, cut, plain = self.cache, {}, []
-        for p in {p for p in pieces if p not in cache}:
-            key = p if self.mode == "byte" or b"<|" in p else p.lower()
-            m = None if b"<|" in p else _TAIL.fullmatch(key.decode("utf8"))
-            if m and m[1][-1].isalnum() and m[2].isascii():
-                cut[p] = (m[1].encode(), m[2].encode())
+        cache, cut, plain = self.cache, {}, set()
+        word = self.mode == "word"
+        for p in pieces:
+            if b"<|" in p:
+                plain.add(p)
+                continue
+            key = p.lower() if word else p
+            if _LETTER[key[-1]]:
+                plain.add(key)
+                if key != p:
+                    cut[p] = (key,)
+                continue
+            bare = key.rstrip(_MARKS)
+            if len(bare) == len(key) or not bare.strip() or not _ends_in_letter(bare):
+                plain.add(key)
+                if key != p:
+                    cut[p] = (key,)
             else:
-                cut[p] = (key,)
-            plain += cut[p]
+                cut[p] = (bare, key[len(bare) :])
+                plain.update(cut[p])
         self._known(plain)
         for p, parts in cut.items():
-            cache[p] = b"".join([cache[x] for x in parts])
+            cache[p] = cache[parts[0]] if len(parts) == 1 else cache[parts[0]] + cache[parts[1]]
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of one text in UTF-8, as little-endian numbers of self.dtype."""
-        if self.mode == "whole" or self.mode == "byte" and self._unsafe(raw):
-            return self._library([raw.decode("utf8")])[0]
-        pieces = raw.split() if self.mode == "word" else _BYTE_PIECE.findall(raw)
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            if len(cache) > self.most_cached:
-                cache.clear()
-            long = [p for p in pieces if len(p) > 256]
-            if long:  # not worth caching
-                return b"".join(cache[p] if p in cache else self._one(p) for p in pieces)
-            self._miss(pieces)
-            return b"".join([cache[p] for p in pieces])
-
-    def _one(self, piece: bytes) -> bytes:
-        if len(piece) > 256:
-            return self._library([piece.decode("utf8")])[0]
-        self._miss([piece])
-        return self.cache[piece]
+        return self.encode_many([raw])[0]
+
+    def encode_many(self, texts: list[bytes], chunk: int = 1 << 15) -> list[bytes]:
+        """The ids of several texts. Texts are worked on in runs of about `chunk` bytes, so
+        that new pieces reach the library together."""
+        out: list[bytes] = []
+        run: list[bytes] = []
+        size = 0
+        for raw in texts:
+            run.append(raw)
+            size += len(raw)
+            if size >= chunk:
+                out += self._run(run)
+                run, size = [], 0
+        return out + self._run(run)
+
+    def _run(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.cache) > self.most_cached:
+            self.cache.clear()
+        out: list[bytes | None] = [None] * len(texts)
+        cut: list[list[bytes]] = [[]] * len(texts)
+        whole, seen = [], set()
+        for i, raw in enumerate(texts):
+            if self.mode == "whole" or self.mode == "byte" and self._unsafe(raw):
+                whole.append(i)
+                continue
+            cut[i] = raw.split() if self.mode == "word" else _BYTE_PIECE.findall(raw)
+            seen.update(cut[i])
+        for i, ids in zip(whole, self._library([texts[i].decode("utf8") for i in whole]), strict=True):
+            out[i] = ids
+        fresh = seen.difference(self.cache)
+        long = {p for p in fresh if len(p) > 256}  # not worth keeping
+        self._miss(fresh - long)
+        get = self.cache.__getitem__
+        once = dict(zip(long, self._library([p.decode("utf8") for p in long]), strict=True))
+        for i, pieces in enumerate(cut):
+            if out[i] is None:
+                out[i] = b"".join([once[p] if p in once else get(p) for p in pieces]) if once else b"".join(map(get, pieces))
+        return out
 
     def _unsafe(self, raw: bytes) -> bool:
         if any(s in raw for s in self.specials):
