@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op2_secret_scan": secret_scan.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op8_mixing": mixing.SQL,
 }

@@ -143,3 +143,22 @@ def mix(docs: DataFrame, opt: MixOptions = MixOptions()) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[(rank - 1) % 3 + 1] AS weight, sum(source_size) OVER () * 1.0::DOUBLE AS total FROM z),
+l AS (SELECT *, (total - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT *, first_value(CASE WHEN level * weight <= 3 * source_size THEN level END IGNORE NULLS) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS set_level FROM l),
+t AS (SELECT source, rank, source_size, CASE WHEN set_level IS NULL THEN 3.0::DOUBLE * source_size ELSE least(3.0::DOUBLE * source_size, set_level * weight) END AS target FROM f),
+n AS (SELECT *, CAST(floor(target) AS BIGINT) AS goal, (CAST(floor(target) AS BIGINT) + 255) // 256 AS need FROM t),
+c AS (SELECT *, sum(need) OVER (ORDER BY rank) AS upto, sum(need) OVER () AS slots FROM n),
+p AS (SELECT ((i + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(CAST((SELECT max(slots) FROM c) AS BIGINT))) AS i)),
+k AS (SELECT rank, count(*) AS got FROM (SELECT (SELECT coalesce(min(rank), (SELECT max(rank) FROM c)) FROM c WHERE p.u < CAST(upto AS DOUBLE) / CAST(slots AS DOUBLE)) AS rank FROM p) GROUP BY rank),
+a AS (SELECT d.doc_id, d.size, c.source_size, c.target, least(c.goal, coalesce(k.got, 0) * 256) AS fin,
+    coalesce(sum(d.size) OVER (PARTITION BY c.rank ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN k ON k.rank = c.rank)
+SELECT doc_id, size, source_size, target, CAST(fin // greatest(source_size, 1) * size + greatest(0, least(size, fin % greatest(source_size, 1) - pos)) AS BIGINT) AS taken FROM a
+"""
