@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawlake.llm.common import shared_dir, table
@@ -26,7 +25,7 @@ from drawlake.llm.tokens import encoder
 MAGIC = b"DLT1"
 HEADER = struct.Struct("<4sBBxxQQQ")  # magic, bytes of an id, low bits, documents, ids, bytes of the select directory
 SAMPLE = 128
-SHARD_SCHEMA = "part INT, seq INT, n_docs BIGINT, n_ids BIGINT, payload BINARY"
+SHARD_SCHEMA = "part INT, seq INT, first BIGINT, n_docs BIGINT, n_ids BIGINT, payload BINARY"
 
 
 class EliasFano:
@@ -117,7 +116,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path:
 
     Null texts are empty: they hold the end id alone. Null ids come first; rows that repeat
     a doc_id follow one another in the order of their texts. Returns the written table: part
-    (number of the doc_id range), seq (within it), n_docs, n_ids, payload.
+    (number of the doc_id range), seq (within it), first (ids of the part before this shard),
+    n_docs, n_ids, payload.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,24 +125,26 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path:
         part, seq = TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize
-        docs_in, lengths, ids, size = [], [], [], 0
+        docs_in, lengths, ids, size, first = [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
             payload = write_shard(docs_in, lengths, b"".join(ids), width)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs_in)], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())],
-                names=["part", "seq", "n_docs", "n_ids", "payload"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([len(docs_in)], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())],
+                names=["part", "seq", "first", "n_docs", "n_ids", "payload"],
             )
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                got = enc.encode(raw.as_py() or b"") + end
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for doc_id, got in zip(batch.column(0).to_pylist(), enc.encode_many(texts), strict=True):
+                got += end
                 docs_in.append(doc_id)
                 lengths.append(len(got) // width)
                 ids.append(got)
                 size += lengths[-1]
                 if size >= shard_ids:
                     yield shard()
+                    first += size
                     docs_in, lengths, ids, size, seq = [], [], [], 0, seq + 1
         if docs_in:
             yield shard()
@@ -161,10 +163,9 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     for part in sorted(sums):
         bases.append((part, at))
         at += sums[part]
-    before = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    places = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("inner"))
+    # A row for each doc_id range: as many as the writer had tasks.
     base = F.broadcast(spark.createDataFrame(bases, "part INT, base BIGINT"))
-    placed = shards.join(places.join(base, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("first")), ["part", "seq"])
+    placed = shards.join(base, "part").withColumn("first", F.col("first") + F.col("base"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
