@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from drawlake.functions import boxes as B
 from drawlake.functions import cadtext as T
 from drawlake.functions import kinds as K
-from drawlake.operators.spatial import best_per, box_join, box_of, connected, prefixed
+from drawlake.operators.spatial import best_per, box_join, box_of, connected, prefixed, written
 
 # --- sheets and bands ---------------------------------------------------------------------
 
@@ -248,7 +248,7 @@ def exclusion_zones(e: DataFrame) -> DataFrame:
 def residual_content(e: DataFrame) -> DataFrame:
     """What remains when the outer frame, the zones' members, what lies in the widened zones
     and border-like entities in the frame's border strip are taken away."""
-    zones = exclusion_zones(e)
+    zones = written(exclusion_zones(e))  # a few rows a sheet, used three times
     members = zone_members(e).select("sheet_id", "handle", F.col("r_zone").alias("zone")).join(zones.select("sheet_id", "zone"), ["sheet_id", "zone"], "left_semi")
     frame = outer_frame(e)
     gone = members.select("sheet_id", "handle").unionByName(frame.select("sheet_id", "handle")).distinct()

@@ -54,7 +54,7 @@ def best_per(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Write to the folder of spark.checkpoint.dir and read back."""
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -72,13 +72,13 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Data
     direction). Adds component, the smallest handle reachable. Each round takes the least
     label among neighbours and then the label of the label, so chains shorten by doubling;
     rounds are written to the shared folder, and only a count reaches the driver."""
-    both = _cut(edges.select("sheet_id", "a", "b").unionByName(edges.select("sheet_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    touched = _cut(both.groupBy("sheet_id", F.col("a").alias("handle")).agg(F.min("b").alias("m")).select("sheet_id", "handle", F.least("handle", "m").alias("label")))
+    both = written(edges.select("sheet_id", "a", "b").unionByName(edges.select("sheet_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    touched = written(both.groupBy("sheet_id", F.col("a").alias("handle")).agg(F.min("b").alias("m")).select("sheet_id", "handle", F.least("handle", "m").alias("label")))
     for _ in range(most_rounds):
         seen = both.join(touched.select("sheet_id", F.col("handle").alias("b"), "label"), ["sheet_id", "b"]).groupBy("sheet_id", F.col("a").alias("handle")).agg(F.min("label").alias("near"))
         step = touched.join(seen, ["sheet_id", "handle"]).withColumn("next", F.least("label", "near"))
         jump = touched.select("sheet_id", F.col("handle").alias("next"), F.col("label").alias("far"))
-        after = _cut(step.join(jump, ["sheet_id", "next"], "left").select("sheet_id", "handle", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")))
+        after = written(step.join(jump, ["sheet_id", "next"], "left").select("sheet_id", "handle", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")))
         touched = after.select("sheet_id", "handle", "label")
         if after.filter("moved").isEmpty():
             break
