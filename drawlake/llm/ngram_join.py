@@ -5,11 +5,15 @@ order of n-grams, form a prefix tree. A probe walks the tree depth first, carrie
 of a shared prefix along, and leaves a subtree as soon as the mismatches on its prefix, with
 all that remains matching, rule out the required similarity.
 
-Blocks lose no link. Two sets of similarity t differ in at most d elements, so if hashes deal
-the elements to d + 1 + s parts, at least s + 1 parts are equal. Equal parts have equal
-signatures; sets joined by chains of equal signatures are one cluster of candidates. Large
-clusters are cut into chunks, and every pair of chunks is a block of bounded size. Documents
-with equal sets are one class throughout.
+Blocks lose no link. Two sets of similarity t differ in at most d elements. If hashes deal the
+elements to more than d parts, each difference breaks one part, so of more than d parts with
+elements at least one is equal in both sets. Equal parts have equal signatures. Elements that
+are frequent in the corpus (by a count sketch over all documents) are left out of the parts,
+so that a passage of many documents does not tie them together; only a set that then has too
+few parts with elements is signed with all its elements as well. Which elements are left out
+is the same for all documents, so this too loses no link. Sets joined by chains of equal
+signatures are one cluster of candidates. Large clusters are cut into chunks, and every pair
+of chunks is a block of bounded size. Documents with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from drawlake.llm.components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 FILTER_BITS = 1 << 18
+SKETCH = 1 << 18
+SKETCH_SHIFT = np.uint64(64 - 18)
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,7 @@ class JoinOptions:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -105,36 +111,67 @@ class SizeClasses:
         return [c, c + 1] if top >= self.bounds[c + 1] else [c]
 
     def parts(self, c: int) -> tuple[int, int]:
-        """Number of parts of class c, and the spare parts among them."""
+        """Number of parts of class c, and the most differences of a linked pair."""
         while c + 1 >= len(self.bounds):
             self.of(self.bounds[-1])
         apart = self.opt.most_apart(2 * (self.bounds[c + 1] - 1))
-        spare = 1 + apart // 24
-        return apart + 1 + spare, spare
+        return apart + 2 + apart // 4, apart
 
 
-def signatures(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Signatures of the parts of a set. Parts are ranges of the hash. Empty parts have none,
-    but a set with more empty parts than spare ones gets a signature that all such sets of
-    its size class share: of two sets that link, either some part with elements is equal or
-    both have that signature."""
-    out = []
+def _part_signatures(h: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Signatures of those of k parts that have elements. Parts are ranges of the hash."""
     sums = np.append(np.uint64(0), np.cumsum(_mixed(h * _K[0] + _K[1]), dtype=np.uint64))
+    edges = np.arange(1, k, dtype=np.uint64) * np.uint64((2**64 - 1) // k)
+    at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+    count = np.diff(at)
+    sig = sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64) * _K[2]
+    sig = _mixed(sig + np.arange(k, dtype=np.uint64) * _K[3] + np.array([seed], np.uint64) * _K[4])
+    return sig[count > 0]
+
+
+def signatures(h: np.ndarray, classes: SizeClasses, common: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of a set, for its size classes. common: by the leading bits of an element,
+    whether it is left out. If either of two linked sets has more parts with elements than
+    the pair has differences, they share the signature of such a part. Otherwise both sign
+    all their elements too, and if that gives too few parts as well, as for very small sets,
+    with a signature of their size class."""
+    out = []
+    rare = h if common is None else h[~common[h >> SKETCH_SHIFT]]
     for c in classes.keys(len(h)):
-        k, spare = classes.parts(c)
-        edges = np.arange(1, k, dtype=np.uint64) * np.uint64((2**64 - 1) // k)
-        at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
-        count = np.diff(at)
-        sig = sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64) * _K[2]
-        sig = _mixed(sig + np.arange(k, dtype=np.uint64) * _K[3] + np.array([c + 1], np.uint64) * _K[4])
-        out.append(sig[count > 0])
-        if (count == 0).sum() > spare:
-            out.append(_mixed(np.array([c + 1], np.uint64) * _K[1]))
+        k, apart = classes.parts(c)
+        out.append(_part_signatures(rare, k, 3 * c + 1))
+        if len(out[-1]) <= apart:
+            out.append(_part_signatures(h, k, 3 * c + 2))
+            if len(out[-1]) <= apart:
+                out.append(_mixed(np.array([3 * c + 3], np.uint64) * _K[1]))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def common_elements(docs: DataFrame, opt: JoinOptions) -> np.ndarray:
+    """For each of SKETCH buckets of the hash whether its elements count as frequent: its
+    documents' count stands well above that of the middle bucket. All documents are counted;
+    the driver gets at most SKETCH numbers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).cast(pa.binary()).to_pylist():
+                h = shingle_set(raw or b"", opt.words)
+                at, n = np.unique((h >> SKETCH_SHIFT).astype(np.int64), return_counts=True)
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "bucket INT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SKETCH)
+    total[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    middle = float(np.median(total))
+    return total > middle + 8 * middle**0.5 + 16
+
+
 def signed_sets(docs: DataFrame, opt: JoinOptions) -> DataFrame:
     """doc_id, n (set size), h1 and h2 (identity of the set), sigs."""
+    common = common_elements(docs, opt)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(opt)
@@ -145,7 +182,7 @@ def signed_sets(docs: DataFrame, opt: JoinOptions) -> DataFrame:
                 whole = xxhash.xxh3_128_intdigest(h.tobytes())
                 n.append(len(h))
                 ids.append((whole >> 64, whole & (2**64 - 1)))
-                sigs.append(signatures(h, classes))
+                sigs.append(signatures(h, classes, common))
             offsets = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
             values = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64))
             pair = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
@@ -248,11 +285,26 @@ def tree_join(ids: list[int], sets: list[np.ndarray], opt: JoinOptions, side: li
         member[x] = False
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chain sets of equal signature: (set, set before it) from rows in order. Nothing but
+    the last row is kept, so the size of a group does not matter."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if last is not None:
+            sig, h = np.append(last[0], sig), np.append(last[1], h)
+        pair = np.flatnonzero((sig[1:] == sig[:-1]) & (h[1:] != h[:-1]))
+        last = sig[-1:], h[-1:]
+        u, v = np.unique(np.stack([h[pair + 1], h[pair]], axis=1), axis=0).T if len(pair) else (h[:0], h[:0])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def blocks_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, opt: JoinOptions) -> DataFrame:
     """The blocks with their sets: cluster, i, j (chunks), doc_id, chunk, grams (binary)."""
-    rows = signed.filter(F.col("doc_id").isNotNull()).select("h1", F.explode("sigs").alias("sig"))
-    shared = written(rows.groupBy("sig").agg(F.min("h1").alias("hub"), F.max("h1").alias("top")).filter("hub < top").select("sig", "hub"), "shared-signatures")
-    star = rows.join(shared, "sig").filter("h1 != hub").select(F.col("h1").alias("u"), F.col("hub").alias("v"))
+    rows = signed.filter("doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), "h1")
+    star = rows.repartition("sig").sortWithinPartitions("sig", "h1").mapInArrow(_neighbours, "u BIGINT, v BIGINT").distinct()
     clusters = written(components(star), "clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     members = classes.join(clusters, classes["h1"] == clusters["node"]).select(F.col("first_id").alias("doc_id"), "component")

@@ -103,3 +103,34 @@ def unit_packs(units: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("units"), F.sum("geometry").alias("geometry"), F.sum("meta_hits").alias("meta_hits"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y")
     )
     return g.withColumn("score", F.col("geometry") * 3.0 + F.col("units") * 5.0 - F.col("meta_hits") * 25.0 - B.box().area * 0.0005)
+
+
+def island_semantics(islands: DataFrame) -> DataFrame:
+    """Role of islands: geometry view, badge, annotation or unknown, from additive scores.
+
+    Needs the island's box, cells, overlap_dims, texts, numeric_texts, short_texts, geometry,
+    curves, closed_curve, bridge and the sheet's box as s_min_x ... s_max_y.
+    """
+    n, s, b = F.col, B.box("s_"), B.box()
+    small = (n("cells") <= 48) | (b.area <= F.greatest(s.area * 0.015, F.lit(1.0)))
+    corner = (b.max_y >= s.min_y + s.height * 0.78) & (b.min_x <= s.min_x + s.width * 0.22)
+    numeric = (n("texts") > 0) & (n("numeric_texts") >= 1) & (n("short_texts") >= n("texts"))
+    rich = (n("geometry") + n("curves") >= 6) | (n("overlap_dims") >= 2)
+    when = lambda test, points: F.when(test, points).otherwise(0.0)
+    ringed = numeric & n("closed_curve")
+    geometry = (
+        when(n("overlap_dims") > 0, 3.0) + when(n("overlap_dims") >= 2, 1.5) + when(n("cells") >= 50, 1.0) + when(rich, 1.5)
+        + when(n("curves") >= 3, 0.5) + when(small, -1.2) + when(ringed, -1.5)
+    )
+    badge = (
+        when(small, 1.5) + when(corner, 1.0) + when(n("overlap_dims") == 0, 1.0) + when(numeric, 2.0) + when(n("closed_curve"), 2.0)
+        + when(n("texts").between(1, 3), 0.7) + when(n("geometry") + n("curves") <= 6, 0.7) + when(n("overlap_dims") >= 2, -1.5)
+    )
+    note = when(n("texts") >= F.greatest(F.lit(1), n("geometry")), 1.5) + when(n("overlap_dims") == 0, 0.5) + when(n("texts") >= 2, 1.0) + when(ringed, -1.0)
+    scored = islands.withColumn("score_geometry", F.round(geometry, 6)).withColumn("score_badge", F.round(badge, 6)).withColumn("score_annotation", F.round(note, 6))
+    g, d, a = n("score_geometry"), n("score_badge"), n("score_annotation")
+    role = (
+        F.when(n("bridge"), "SparseBridge").when((d >= g) & (d >= a) & (d >= 3.0), "BadgeMarker")
+        .when((g >= d) & (g >= a) & (g >= 2.5), "GeometryView").when(a >= 2.0, "AnnotationLike").otherwise("Unknown")
+    )
+    return scored.withColumn("role", role)

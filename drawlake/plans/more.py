@@ -226,3 +226,32 @@ def part_documents(e):
 
     parts = e.filter("kind = 'Circle'").select("sheet_id", "handle", "min_x", "min_y")
     return part_list(parts, "demo").select("sheet_id", F.get_json_object("document", "$.part_count").cast("bigint").alias("part_count"))
+
+
+@entry("island_semantics", """, v AS (SELECT * FROM e WHERE kind = 'BlockReference'), g AS (SELECT v.handle AS view_id, any_value(v.min_x) AS x0, any_value(v.min_y) AS y0, any_value(v.max_x) AS x1, any_value(v.max_y) AS y1, any_value(v.sheet_id) AS sheet_id,
+ count(*) FILTER (d.kind IN ('Dimension', 'Leader')) AS od, count(*) FILTER (d.kind IN ('Text', 'MText')) AS t, count(*) FILTER (d.kind IN ('Text', 'MText') AND regexp_matches(coalesce(d.text, ''), '[0-9]')) AS nt, count(*) FILTER (d.kind IN ('Text', 'MText') AND length(coalesce(d.text, '')) <= 8) AS st,
+ count(*) FILTER (d.kind IN ('Line', 'Polyline', 'Hatch')) AS ge, count(*) FILTER (d.kind IN ('Arc', 'Circle')) AS cu, bool_or(d.kind = 'Circle') AS cc
+ FROM v JOIN e d ON d.sheet_id = v.sheet_id AND d.min_x <= v.max_x AND v.min_x <= d.max_x AND d.min_y <= v.max_y AND v.min_y <= d.max_y GROUP BY v.handle),
+ f AS (SELECT *, floor((x1 - x0) * (y1 - y0) / 16) AS cells, (x1 - x0) * (y1 - y0) <= greatest((s_max_x - s_min_x) * (s_max_y - s_min_y) * 0.015, 1) OR floor((x1 - x0) * (y1 - y0) / 16) <= 48 AS small, y1 >= s_min_y + (s_max_y - s_min_y) * 0.78 AND x0 <= s_min_x + (s_max_x - s_min_x) * 0.22 AS corner, t > 0 AND nt >= 1 AND st >= t AS num FROM g JOIN s USING (sheet_id)),
+ sc AS (SELECT view_id, round((CASE WHEN od > 0 THEN 3.0 ELSE 0 END + CASE WHEN od >= 2 THEN 1.5 ELSE 0 END + CASE WHEN cells >= 50 THEN 1.0 ELSE 0 END + CASE WHEN ge + cu >= 6 OR od >= 2 THEN 1.5 ELSE 0 END + CASE WHEN cu >= 3 THEN 0.5 ELSE 0 END - CASE WHEN small THEN 1.2 ELSE 0 END - CASE WHEN num AND cc THEN 1.5 ELSE 0 END)::DOUBLE, 6) AS g,
+  round((CASE WHEN small THEN 1.5 ELSE 0 END + CASE WHEN corner THEN 1.0 ELSE 0 END + CASE WHEN od = 0 THEN 1.0 ELSE 0 END + CASE WHEN num THEN 2.0 ELSE 0 END + CASE WHEN cc THEN 2.0 ELSE 0 END + CASE WHEN t BETWEEN 1 AND 3 THEN 0.7 ELSE 0 END + CASE WHEN ge + cu <= 6 THEN 0.7 ELSE 0 END - CASE WHEN od >= 2 THEN 1.5 ELSE 0 END)::DOUBLE, 6) AS b,
+  round((CASE WHEN t >= greatest(1, ge) THEN 1.5 ELSE 0 END + CASE WHEN od = 0 THEN 0.5 ELSE 0 END + CASE WHEN t >= 2 THEN 1.0 ELSE 0 END - CASE WHEN num AND cc THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS a FROM f)
+SELECT view_id, g AS score_geometry, b AS score_badge, a AS score_annotation, CASE WHEN b >= g AND b >= a AND b >= 3 THEN 'BadgeMarker' WHEN g >= b AND g >= a AND g >= 2.5 THEN 'GeometryView' WHEN a >= 2 THEN 'AnnotationLike' ELSE 'Unknown' END AS role FROM sc""")
+def island_semantics(e):
+    """Block boxes as islands of 4 by 4 cells, with what they touch."""
+    from drawlake.functions import kinds as K
+    from drawlake.operators import units as U
+    from drawlake.operators.spatial import box_join
+
+    k = ("sheet_id", "handle", "kind", "text", "min_x", "min_y", "max_x", "max_y")
+    d, t = F.col("b_kind"), F.coalesce("b_text", F.lit(""))
+    pairs = box_join(e.filter("kind = 'BlockReference'").select(*k), e.select(*k))
+    text = K.is_text(d)
+    g = pairs.groupBy("sheet_id", F.col("a_handle").alias("view_id")).agg(
+        *[F.first(f"a_{c}").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")],
+        F.count_if(K.is_dimension(d)).alias("overlap_dims"), F.count_if(text).alias("texts"), F.count_if(text & t.rlike("[0-9]")).alias("numeric_texts"), F.count_if(text & (F.length(t) <= 8)).alias("short_texts"),
+        F.count_if(d.isin("Line", "Polyline", "Hatch")).alias("geometry"), F.count_if(d.isin("Arc", "Circle")).alias("curves"), F.bool_or(d == "Circle").alias("closed_curve"),
+    )
+    cells = F.floor((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")) / 16)
+    islands = D.with_sheet(g.withColumn("cells", cells).withColumn("bridge", F.lit(False)), D.sheet_bounds(e))
+    return U.island_semantics(islands).select("view_id", "score_geometry", "score_badge", "score_annotation", "role")
