@@ -91,7 +91,8 @@ def test_linked_sets_share_a_signature(size, drop, add, seed, least):
     inter = len(np.intersect1d(x, y))
     if opt.links(inter, len(x) + len(y) - inter) and not np.array_equal(x, y):
         c = J.SizeClasses(opt)
-        assert set(J.signatures(x, c).tolist()) & set(J.signatures(y, c).tolist())
+        for common in (None, r.rand(J.SKETCH) < 0.3, r.rand(J.SKETCH) < 0.9):
+            assert set(J.signatures(x, c, common).tolist()) & set(J.signatures(y, c, common).tolist())
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
