@@ -302,7 +302,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, opt: JoinOptions) -> DataFrame:
-    """The blocks with their sets: cluster, i, j (chunks), doc_id, chunk, grams (binary)."""
+    """The blocks with their texts: cluster, i, j (chunks), doc_id, chunk, text."""
     rows = signed.filter("doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), "h1")
     star = rows.repartition("sig").sortWithinPartitions("sig", "h1").mapInArrow(_neighbours, "u BIGINT, v BIGINT").distinct()
     clusters = written(components(star), "clusters")
@@ -317,15 +317,10 @@ def blocks_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, opt: JoinO
     bits = F.broadcast(placed.select(bit(F.col("doc_id"))).distinct())
     texts = docs.select("doc_id", "text", bit(F.col("doc_id"))).join(bits, "bit", "left_semi").drop("bit").join(placed, "doc_id")
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [shingle_set(t or b"", opt.words).tobytes() for t in batch.column(4).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.binary())], names=["doc_id", "cluster", "q", "chunk", "grams"])
-
-    sets = texts.select("doc_id", "cluster", "q", "chunk", "text").mapInArrow(load, "doc_id BIGINT, cluster BIGINT, q INT, chunk INT, grams BINARY")
+    # Texts are shuffled rather than sets of 64-bit hashes, which do not compress.
     other = F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other")
-    return sets.select("*", other).select(
-        "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc_id", "chunk", "grams"
+    return texts.select("cluster", "q", "doc_id", "chunk", "text", other).select(
+        "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc_id", "chunk", "text"
     )
 
 
@@ -335,7 +330,7 @@ def join_blocks(blocks: DataFrame, opt: JoinOptions, skip_connected: bool) -> Da
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
         side = rows["chunk"].tolist() if key[1] != key[2] else None
-        sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+        sets = [shingle_set((t or "").encode(), opt.words) for t in rows["text"]]
         found = list(tree_join(rows["doc_id"].tolist(), sets, opt, side, skip_connected))
         return pd.DataFrame(found, columns=["u", "v", "inter", "total"]).astype("int64")
 
