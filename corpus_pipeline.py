@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from drawlake.llm.common import shared_dir, table, written
 from drawlake.llm.exact_dedup import DigestIndex, exact_dedup, normalised_digest
-from drawlake.llm.mixing import mix
+from drawlake.llm.mixing import MixOptions, mixture
 from drawlake.llm.ngram_join import JoinOptions, similar_components
 from drawlake.llm.packing import PackOptions, pack, token_pieces
 from drawlake.llm.quality_rules import fit_rules, keep_good
@@ -54,14 +54,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole rounds, and once more if the last
-    round takes at least half of the text. Sources above their target so lose documents and
-    those below it repeat theirs."""
-    name = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
-    taken = F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times")
-    times = mix(docs).filter("size > 0").groupBy(name).agg(taken)
-    repeated = docs.select("*", name).join(times.filter("times > 0"), "_id")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Documents in the order of the mix, each as often as the mix takes it: in every round
+    that takes at least half of the text, at the slot where the round begins it. Sources above
+    their target so lose documents and those below it repeat theirs. Documents stay whole, as
+    the next stage packs documents."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    words = F.sum(F.col("end") - F.col("start"))
+    rounds = mixture(rows, MixOptions(), "_row").groupBy("_row", "round", "size").agg(F.min(F.struct("slot", "offset")).alias("_first"), words.alias("_words_taken"))
+    copies = rounds.filter("2 * _words_taken >= size").select("_row", "_first")
+    return rows.join(copies, "_row").orderBy("_first").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,34 +111,57 @@ def tape(sized: DataFrame, targets: DataFrame, opt: MixOptions) -> DataFrame:
     return out.join(before, ["rank", "bucket"]).withColumn("at", F.col("before") + F.col("_in")).drop("_in", "before", "bucket", "key")
 
 
+def _prepared(docs: DataFrame, opt: MixOptions, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The documents on their tapes, and the slots with the part of the tape that each takes:
+    slot, rank, turn, begin, length. The last slot of a source takes no more than the target
+    leaves."""
+    spark = docs.sparkSession
+    sized = written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), *keep), "mix-sizes")
+    targets = written(source_targets(sized, opt), "mix-targets")
+    goal = F.floor("target").cast("bigint")
+    # Places of rows that tie in the tape's order are chosen once.
+    placed = written(tape(sized, targets, opt).withColumn("goal", goal), "mix-tape")
+    slots = schedule(spark, targets.collect(), opt)  # a row per source
+    turns = slots.join(F.broadcast(targets.select("rank", goal.alias("goal"))), "rank").withColumn("begin", F.col("turn") * opt.block)
+    return placed, turns.select("slot", "rank", "turn", "begin", F.least(F.lit(opt.block), F.col("goal") - F.col("begin")).alias("length")).filter("length > 0")
+
+
+def _drawn(placed: DataFrame, slots: DataFrame, opt: MixOptions) -> DataFrame:
+    """Joins slots to blocks. A tape begins again every source_size tokens, and turn after
+    turn takes the next block of it, so a document lies in the blocks of its place in every
+    round; it is cut there and meets the one slot that has the block's source and turn."""
+    lies = placed.filter("size > 0 AND at < goal")
+    rounds = F.floor((F.col("goal") - 1 - F.col("at")) / F.col("source_size"))
+    again = lies.withColumn("round", F.explode(F.sequence(F.lit(0).cast("bigint"), rounds))).withColumn("first", F.col("at") + F.col("round") * F.col("source_size"))
+    last = F.least(F.col("first") + F.col("size"), F.col("goal")) - 1
+    cut = again.withColumn("turn", F.explode(F.sequence(F.floor(F.col("first") / opt.block), F.floor(last / opt.block))))
+    start = F.greatest(F.col("begin") - F.col("first"), F.lit(0))
+    end = F.least(F.col("begin") + F.col("length") - F.col("first"), F.col("size"))
+    return slots.join(cut, ["rank", "turn"]).withColumn("offset", F.greatest(F.col("first") - F.col("begin"), F.lit(0))).withColumn("start", start).withColumn("end", end)
+
+
+def mixture(docs: DataFrame, opt: MixOptions = MixOptions(), *keep: str) -> DataFrame:
+    """The mix: slot, offset (in the slot), source, block, round, doc_id, size, start, end and
+    the columns to keep. Ordered by slot and offset, the words start to end (exclusive) of the
+    documents are the mixed text. block counts the blocks of a source's tape from 0, going
+    round it; round is how often the document has come before.
+    """
+    placed, slots = _prepared(docs, opt, *keep)
+    return _drawn(placed, slots, opt).select("slot", "offset", "source", F.col("turn").alias("block"), "round", "doc_id", "size", "start", "end", *keep)
+
+
 def mix(docs: DataFrame, opt: MixOptions = MixOptions()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+    """One row per document: doc_id, source, size, source_size, target, taken (words in the mix).
 
     Null and blank texts have size 0 and take part with 0. A null source is a source of its
     own. Rows that repeat a doc_id are documents of their own. Without any word in the table
     every target and every taken is 0. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    sized = written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size")), "mix-sizes")
-    targets = written(source_targets(sized, opt), "mix-targets")
-    few = targets.collect()  # a row per source
-    placed = tape(sized, targets, opt)
-    slots = schedule(spark, few, opt)
-    # A slot takes the block of its turn; the tape of a source begins again every source_size
-    # tokens, and the last slot of a source takes no more than the target leaves.
-    goal = F.floor("target").cast("bigint")
-    turns = slots.join(F.broadcast(targets.select("rank", "source_size", goal.alias("goal"))), "rank")
-    begin = F.col("turn") * opt.block
-    length = F.least(F.lit(opt.block), F.col("goal") - begin)
-    drawn = turns.select("rank", begin.alias("begin"), length.cast("bigint").alias("length")).filter("length > 0")
-    totals = drawn.groupBy("rank").agg(F.max(F.col("begin") + F.col("length")).alias("end"))
-    # Turns of a source are the numbers from 0 without a gap, so what a document gives is the
-    # overlap of its place with the tape up to the end of the last turn, in every round.
-    ends = placed.join(F.broadcast(totals), "rank", "left").withColumn("end", F.coalesce("end", F.lit(0)))
-    rounds = F.floor(F.col("end") / F.greatest("source_size", F.lit(1)))
-    rest = F.col("end") - rounds * F.col("source_size")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
-    return ends.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    placed, slots = _prepared(docs, opt)
+    # Among documents with words no two have the same place.
+    sums = _drawn(placed, slots, opt).groupBy(F.col("rank").alias("_rank"), F.col("at").alias("_at")).agg(F.sum(F.col("end") - F.col("start")).alias("_taken"))
+    same = (F.col("rank") == F.col("_rank")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0)
+    return placed.join(sums, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
