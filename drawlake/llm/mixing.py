@@ -29,6 +29,7 @@ class MixOptions:
     most_repeats: int = 3
     block: int = 256  # tokens of a block
     chunk: int = 4096  # documents, or slots, that are ordered by one task at a time
+    make_up: bool = True  # slots after the last point for sources that got too few
 
 
 def source_targets(sized: DataFrame, opt: MixOptions) -> DataFrame:
@@ -65,7 +66,8 @@ def source_targets(sized: DataFrame, opt: MixOptions) -> DataFrame:
 def schedule(spark: SparkSession, targets: list, opt: MixOptions) -> DataFrame:
     """Slots of the mix in order: slot, rank (of the source), turn (rank of the slot among
     those of its source, from 0). The points need no state, so any range of slots can be made
-    anywhere; turns come from counts per chunk of slots and a window within the chunk."""
+    anywhere; turns come from counts per chunk of slots and a window within the chunk. A source
+    gets a few points more or fewer than the blocks it needs; missing turns follow the last point."""
     need = {t["rank"]: -(-int(t["target"]) // opt.block) for t in targets}
     total = sum(need.values())
     ends, at = [], 0
@@ -82,7 +84,13 @@ def schedule(spark: SparkSession, targets: list, opt: MixOptions) -> DataFrame:
     before = _running(counts, ["rank"], "chunk", "n", "before")
     within = W.partitionBy("rank", "chunk").orderBy("slot")
     turn = F.coalesce("before", F.lit(0)) + F.row_number().over(within) - 1
-    return slots.join(before, ["rank", "chunk"]).select("slot", "rank", turn.cast("bigint").alias("turn"))
+    drawn = slots.join(before, ["rank", "chunk"]).select("slot", "rank", turn.cast("bigint").alias("turn"))
+    if not opt.make_up:
+        return drawn
+    got = {r["rank"]: r["n"] for r in counts.groupBy("rank").agg(F.sum("n").alias("n")).collect()}  # a row per source
+    missing = sorted((turn, rank) for rank, n in need.items() for turn in range(got.get(rank, 0), n))
+    late = [(total + i, rank, turn) for i, (turn, rank) in enumerate(missing)]
+    return drawn.unionByName(spark.createDataFrame(late, "slot BIGINT, rank BIGINT, turn BIGINT")) if late else drawn
 
 
 def _running(counts: DataFrame, keys: list[str], order: str, value: str, out: str, group: int = 1024) -> DataFrame:
@@ -165,7 +173,8 @@ def mix(docs: DataFrame, opt: MixOptions = MixOptions()) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    # The SQL counts the points alone.
+    return mix(table(spark, sf_dir, "documents"), MixOptions(make_up=False)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

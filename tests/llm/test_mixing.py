@@ -57,3 +57,21 @@ def test_mix_stage_follows_the_mix(spark, few_docs, sf_dir):
         rounds[r.doc_id, r.round, r.size] = [x[0] + r.end - r.start, min(x[1], (r.slot, r.offset))]
     want = [d for (d, _, size), (n, _) in sorted(rounds.items(), key=lambda x: x[1][1]) if 2 * n >= size]
     assert [r.doc_id for r in P.mix_sources(spark, few_docs, sf_dir).collect()] == want
+
+
+def test_no_source_falls_short(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    by = defaultdict(int)
+    for r in M.mix(docs).collect():
+        by[r.source, int(r.target)] += r.taken
+    assert by and all(taken == target for (_, target), taken in by.items())
+
+
+def test_missing_turns_are_made_up(spark):
+    targets = [{"rank": i, "target": t} for i, t in enumerate([5e6, 160.0, 80.0, 2e6, 700.0, 1437.0] * 5, 1)]
+    turns = defaultdict(set)
+    slots = M.schedule(spark, targets, M.MixOptions()).collect()
+    for r in slots:
+        turns[r["rank"]].add(r["turn"])
+    assert len({r["slot"] for r in slots}) == len(slots) == sum(map(len, turns.values()))
+    assert all(set(range(-(-int(t["target"]) // 256))) <= turns[t["rank"]] for t in targets)
