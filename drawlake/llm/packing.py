@@ -4,13 +4,14 @@ A sequence has capacities for tokens, documents and attention cost (the sum of s
 piece lengths). Pieces are dealt by a hash into groups of bounded size; within a group they
 are placed in descending length into the open sequence that satisfies every capacity and
 scores best, by the weighted norm of what would be left or by the weighted dot product of
-piece and remainder. Each group leaves at most a few sequences that are not full.
+piece and remainder. Each group leaves at most a few sequences that are not full; their
+pieces are dealt to fewer groups and packed again, until one group holds them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,7 @@ class PackOptions:
     rule: str = "norm"  # or "dot"
     weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
     group: int = 8192  # pieces that one task packs together
+    full: float = 0.98  # of the tokens; sequences below it are packed again across groups
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, most: int) -> DataFrame:
@@ -104,17 +106,45 @@ def pack(pieces: DataFrame, opt: PackOptions = PackOptions()) -> DataFrame:
     order of doc_id, piece and checksum, so reruns agree. An empty table gives no rows.
     """
     kept = written(pieces, "pieces")
-    groups = max(1, -(-kept.count() // opt.group))
+    n = kept.count()
+    groups, used = max(1, -(-n // opt.group)), 0
     dealt = kept.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    done: list[DataFrame] = []
+    while True:
+        placed = dealt.groupBy("_group").applyInPandas(_placer(opt, used), PLACED + ", open BOOLEAN")
+        used += groups
+        if groups == 1:
+            break
+        placed = written(placed, "packed")
+        rest = placed.filter("open")
+        left = rest.count()
+        # Where most pieces stay in open sequences, gaps are too small for them in any group.
+        if left == 0 or (done and 10 * left > 9 * n):
+            break
+        done.append(placed.filter("NOT open"))
+        n, groups = left, -(-left // opt.group)
+        # Sequences stay together, so that a group can keep them if packing again gains nothing.
+        dealt = rest.drop("open").withColumn("_group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+    for part in done:
+        placed = placed.unionByName(part)
+    return placed.drop("open")
+
+
+def _placer(opt: PackOptions, used: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Packs a group. used: groups of earlier rounds, whose numbers are taken."""
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
         seq, offset = best_fit(rows["length"].to_numpy(), opt)
-        rows["sequence_id"] = seq + (int(key[0]) << 32)
-        rows["offset"] = offset
+        if "sequence_id" not in rows or seq.max() + 1 < rows["sequence_id"].nunique():
+            rows["sequence_id"] = seq + (used + int(key[0]) << 32)
+            rows["offset"] = offset
+        by = rows.groupby("sequence_id")["length"]
+        room = by.transform("sum") < opt.full * opt.tokens
+        rows["open"] = room & (by.transform("size") < opt.documents) if opt.documents else room
         return rows.drop(columns="_group")
 
-    return dealt.groupBy("_group").applyInPandas(place, PLACED)
+    return place
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
