@@ -2,8 +2,8 @@
 
 Each learned language has a distribution over hashed character trigrams, counted over all
 learning documents. A document's words are draws from a mixture of the languages, whose
-proportions expectation-maximisation estimates. Mixtures of the one, two and three strongest
-languages are fitted in turn and the set of highest penalised likelihood is kept.
+proportions expectation-maximisation estimates. Mixtures of the strongest language, the two
+strongest and so on are fitted in turn and the set of highest penalised likelihood is kept.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ class LanguageModel:
 class MixtureOptions:
     rounds: int = 10
     refits: int = 4
-    most_languages: int = 3
     penalty: float = 2.0  # for each language, times the logarithm of the number of words
     floor: float = 1e-6  # least likelihood of a word relative to its best language
 
@@ -134,7 +133,10 @@ def proportions(texts: list[bytes], model: LanguageModel, opt: MixtureOptions =
     pi = _mix(q, doc, first, count, np.full((len(first), n_lang), 1 / n_lang, np.float32), opt.rounds)
     rank = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1)
     best, best_pi = np.full(len(first), -np.inf), pi
-    for k in range(1, min(opt.most_languages, n_lang) + 1):
+    for k in range(1, n_lang + 1):
+        # No word's likelihood exceeds 1, so the penalty bounds what k languages can reach.
+        if (-opt.penalty * k * np.log(count[:, 0] + 1) <= best).all():
+            break
         p = np.where(rank < k, np.maximum(pi, 1e-9), 0).astype(np.float32)
         p /= p.sum(axis=1, keepdims=True)
         if k > 1:
