@@ -47,10 +47,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that is linked at a similarity of 0.8 on five-word shingles, the
-    document with the smallest doc_id stays. Rows without a doc_id stay."""
-    grouped = similar_components(docs, JoinOptions(words=5, least=80))
-    gone = grouped.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    document with the smallest doc_id stays. Rows without a doc_id stay. Of rows that repeat
+    a doc_id only those go whose own text is linked to a smaller one."""
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    grouped = similar_components(rows, JoinOptions(words=5, least=80), "_text_hash")
+    gone = grouped.filter("doc_id != component_id").select("doc_id", "_text_hash").distinct()
+    return rows.join(gone, ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

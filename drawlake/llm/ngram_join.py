@@ -169,8 +169,14 @@ def common_elements(docs: DataFrame, opt: JoinOptions) -> np.ndarray:
     return total > middle + 8 * middle**0.5 + 16
 
 
-def signed_sets(docs: DataFrame, opt: JoinOptions) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (identity of the set), sigs."""
+def set_identity(h: np.ndarray) -> tuple[int, int]:
+    """h1 and h2, the two halves of a hash of the set, unsigned."""
+    whole = xxhash.xxh3_128_intdigest(h.tobytes())
+    return whole >> 64, whole & (2**64 - 1)
+
+
+def signed_sets(docs: DataFrame, opt: JoinOptions, *keep: str) -> DataFrame:
+    """doc_id, n (set size), h1 and h2 (identity of the set), sigs and the columns to keep."""
     common = common_elements(docs, opt)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,19 +185,19 @@ def signed_sets(docs: DataFrame, opt: JoinOptions) -> DataFrame:
             n, ids, sigs = [], [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_set(raw or b"", opt.words)
-                whole = xxhash.xxh3_128_intdigest(h.tobytes())
                 n.append(len(h))
-                ids.append((whole >> 64, whole & (2**64 - 1)))
+                ids.append(set_identity(h))
                 sigs.append(signatures(h, classes, common))
             offsets = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
             values = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64))
             pair = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=["doc_id", "n", "h1", "h2", "sigs"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), values), *batch.columns[2:]],
+                names=["doc_id", "n", "h1", "h2", "sigs", *keep],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, sigs ARRAY<BIGINT>")
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select("doc_id", "text", *keep).mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, sigs ARRAY<BIGINT>" + kept)
 
 
 class PrefixTree:
@@ -302,15 +308,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, opt: JoinOptions) -> DataFrame:
-    """The blocks with their texts: cluster, i, j (chunks), doc_id, chunk, text."""
+    """The blocks with their texts: cluster, i, j (chunks), doc_id, name (h1 of the set), chunk,
+    text. A doc_id that several sets share comes with each of its texts under each name."""
     rows = signed.filter("doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), "h1")
     star = rows.repartition("sig").sortWithinPartitions("sig", "h1").mapInArrow(_neighbours, "u BIGINT, v BIGINT").distinct()
     clusters = written(components(star), "clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    members = classes.join(clusters, classes["h1"] == clusters["node"]).select(F.col("first_id").alias("doc_id"), "component")
+    members = classes.join(clusters, classes["h1"] == clusters["node"]).select(F.col("first_id").alias("doc_id"), F.col("h1").alias("name"), "component")
     placed = members.join(sizes, "component").select(
-        "doc_id", F.col("component").alias("cluster"), F.ceil(F.col("m") / opt.chunk).cast("int").alias("q")
-    ).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("q")).cast("int"))
+        "doc_id", "name", F.col("component").alias("cluster"), F.ceil(F.col("m") / opt.chunk).cast("int").alias("q")
+    ).withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("q")).cast("int"))
     placed = written(placed, "members")
     # A filter of fixed size (FILTER_BITS numbers at most) drops most texts before the shuffle.
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).alias("bit")
@@ -319,19 +326,21 @@ def blocks_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, opt: JoinO
 
     # Texts are shuffled rather than sets of 64-bit hashes, which do not compress.
     other = F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other")
-    return texts.select("cluster", "q", "doc_id", "chunk", "text", other).select(
-        "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc_id", "chunk", "text"
+    return texts.select("cluster", "q", "doc_id", "name", "chunk", "text", other).select(
+        "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc_id", "name", "chunk", "text"
     )
 
 
 def join_blocks(blocks: DataFrame, opt: JoinOptions, skip_connected: bool) -> DataFrame:
-    """Links found by the trees of all blocks: u, v, inter, total."""
+    """Links found by the trees of all blocks: u, v (names of sets), inter, total."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable")
-        side = rows["chunk"].tolist() if key[1] != key[2] else None
+        rows = rows.sort_values(["doc_id", "name"], kind="stable")
         sets = [shingle_set((t or "").encode(), opt.words) for t in rows["text"]]
-        found = list(tree_join(rows["doc_id"].tolist(), sets, opt, side, skip_connected))
+        named = np.array([set_identity(h)[0] for h in sets], np.uint64).view(np.int64) == rows["name"].to_numpy()
+        rows, sets = rows[named], [h for h, mine in zip(sets, named, strict=True) if mine]
+        side = rows["chunk"].tolist() if key[1] != key[2] else None
+        found = list(tree_join(rows["name"].tolist(), sets, opt, side, skip_connected))
         return pd.DataFrame(found, columns=["u", "v", "inter", "total"]).astype("int64")
 
     return blocks.groupBy("cluster", "i", "j").applyInPandas(run, "u BIGINT, v BIGINT, inter BIGINT, total BIGINT")
@@ -344,28 +353,32 @@ def _classes(signed: DataFrame) -> DataFrame:
 def similar_pairs(docs: DataFrame, opt: JoinOptions = JoinOptions()) -> DataFrame:
     """Every link between classes of equal sets: u, v (smallest doc_id of each class), inter, total."""
     signed = written(signed_sets(docs, opt), "signed-sets")
-    return join_blocks(blocks_of(docs, signed, written(_classes(signed), "set-classes"), opt), opt, False).distinct()
+    classes = written(_classes(signed), "set-classes")
+    links = join_blocks(blocks_of(docs, signed, classes, opt), opt, False).distinct()
+    first = lambda side: classes.select(F.col("h1").alias(side), F.col("first_id").alias(f"{side}_id"))
+    return links.join(first("u"), "u").join(first("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), "inter", "total")
 
 
-def similar_components(docs: DataFrame, opt: JoinOptions = JoinOptions()) -> DataFrame:
+def similar_components(docs: DataFrame, opt: JoinOptions = JoinOptions(), *keep: str) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by
-    links, itself included).
+    links, itself included) and the columns to keep.
 
     Null, empty and blank texts have an empty set and are alone. A row without a doc_id
     cannot be named by others: it is alone too and its component_id is null. Rows that repeat
     a doc_id are one document if their texts link, and each is answered. An empty table gives
     no rows; other columns are ignored.
     """
-    signed = written(signed_sets(docs, opt), "signed-sets")
+    signed = written(signed_sets(docs, opt, *keep), "signed-sets")
     classes = written(_classes(signed), "set-classes")
     links = join_blocks(blocks_of(docs, signed, classes, opt), opt, True)
-    found = components(links.select("u", "v"))
-    named = written(
-        classes.join(found, classes["first_id"] == found["node"], "left").select("h1", "h2", F.coalesce("component", "first_id").alias("component_id")), "named-classes"
-    )
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
-    linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # Sets are named by their hash, as texts that do not link can share a doc_id.
+    found = written(components(links.select("u", "v")), "set-components")
+    joined = classes.join(found, classes["h1"] == found["node"], "left")
+    least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    named = written(joined.join(least, "component", "left").select("h1", "h2", F.coalesce("least_id", "first_id").alias("component_id")), "named-classes")
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", *keep)
+    linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", *keep)
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *keep)
     return linked.unionByName(alone)
 
 
