@@ -56,8 +56,8 @@ def end_links(e):
 
 @entry("closed_loops", ", p AS (SELECT sheet_id, (max_x - min_x) * (max_y - min_y) AS area FROM e WHERE kind = 'Polyline' AND handle % 3 = 0 AND max_x > min_x + 1 AND max_y > min_y + 1) SELECT sheet_id, count(*) AS loops, round(sum(area), 6) AS area FROM p GROUP BY sheet_id")
 def closed_loops(e):
-    """Outlines of one polyline in three, which lie apart, each close a loop."""
-    outline = C.segments(e.filter("kind = 'Polyline' AND handle % 3 = 0 AND max_x > min_x + 1 AND max_y > min_y + 1"))
+    """Outlines of polylines, which lie apart, each close a loop."""
+    outline = C.segments(e.filter("kind = 'Polyline' AND max_x > min_x + 1 AND max_y > min_y + 1"))
     return C.closed_loops(outline, 1e-6).groupBy("sheet_id").agg(F.count(F.lit(1)).alias("loops"), F.round(F.sum("area"), 6).alias("area"))
 
 
