@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,29 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, at what the session allows or
+    BATCH_BYTES, whichever is less: a task holds a batch several times over in two processes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    units = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = now.rstrip("bkmgBKMG")
+    size = int(digits) * units[now[len(digits) :].lower().rstrip("b")] if digits.isdigit() else 0
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def raw_texts(column: pa.Array, at_once: int = 256) -> Iterator[bytes]:
+    """The texts of an Arrow column in UTF-8, a null one as empty, without holding all of
+    them a second time."""
+    for begin in range(0, len(column), at_once):
+        for t in column.slice(begin, at_once).cast(pa.binary()).to_pylist():
+            yield t or b""
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo the number of folds; null ids have no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

@@ -1,23 +1,33 @@
 """N-gram Jaccard self-join of documents by a prefix tree.
 
-Sets of word n-grams that might link share a block; within a block the sets, in one global
-order of n-grams, form a prefix tree. A probe walks the tree depth first, carries the overlap
-of a shared prefix along, and leaves a subtree as soon as the mismatches on its prefix, with
-all that remains matching, rule out the required similarity.
+Every document is a set of hashed word n-grams in one global order: elements that are rare in
+the corpus first (by a count sketch over all documents), by hash within either kind. Sets that
+might link share a block; within a block they form a prefix tree. A probe finds the subtrees
+that hold one of its own leading elements, walks them depth first, carries the overlap of a
+shared prefix along, and leaves a subtree as soon as the mismatches on its prefix, with all
+that remains matching, rule out the required similarity.
 
 Blocks lose no link. Two sets of similarity t differ in at most d elements. If hashes deal the
 elements to more than d parts, each difference breaks one part, so of more than d parts with
 elements at least one is equal in both sets. Equal parts have equal signatures. Elements that
-are frequent in the corpus (by a count sketch over all documents) are left out of the parts,
-so that a passage of many documents does not tie them together; only a set that then has too
-few parts with elements is signed with all its elements as well. Which elements are left out
-is the same for all documents, so this too loses no link. Sets joined by chains of equal
-signatures are one cluster of candidates. Large clusters are cut into chunks, and every pair
-of chunks is a block of bounded size. Documents with equal sets are one class throughout.
+are frequent in the corpus are left out of the parts, so that a passage of many documents does
+not tie them together; a set that then has too few parts with elements is signed with all its
+elements as well, and one that has too few even so with its leading elements one by one. Which
+elements are left out is the same for all documents, so this too loses no link.
+
+Documents with equal sets are one class throughout. Classes that share signatures are compared
+in two steps. First a few rounds put each class, once, into the block of one of its shared
+signatures; links found there join near copies into components, and in later rounds one class
+speaks for all of its component that share a block. Then every signature that still ties
+different components is followed: the classes that share such signatures, in chains, are a
+cluster and all its pairs of different components are compared. A cluster above the size of a
+block is cut into chunks and each pair of chunks is a block, which is quadratic in what the
+first step has left of a cluster. Blocks are bounded by the number of elements.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,24 +35,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import table, written
+from drawlake.llm.common import raw_texts, small_batches, table, written
 from drawlake.llm.components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+FREQUENT = np.uint64(1 << 63)  # marks the key of an element that is frequent in the corpus
+ONE = np.uint64(1)
 FILTER_BITS = 1 << 18
-SKETCH = 1 << 18
-SKETCH_SHIFT = np.uint64(64 - 18)
 
 
 @dataclass(frozen=True)
 class JoinOptions:
     words: int = 5
     least: int = 80  # similarity, in hundredths
-    chunk: int = 512  # sets of a cluster that one block takes from one chunk
+    block: int = 2_000_000  # elements of the sets that one task compares
     class_ratio: float = 0.75  # sizes of one size class, least over most
+    rounds: int = 2  # that put each class into one block, before all signatures are followed
 
     def links(self, inter: int, union: int) -> bool:
         return 100 * inter >= self.least * union
@@ -51,6 +63,11 @@ class JoinOptions:
         """Most elements in which two linked sets differ whose sizes add up to `total`."""
         return total * (100 - self.least) // (100 + self.least)
 
+    def leading(self, n: int) -> int:
+        """How many of the first elements of a set, in any global order, hold one that it
+        shares with each set linked to it."""
+        return n - -(-n * self.least // 100) + 1
+
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -84,13 +101,28 @@ def shingle_set(raw: bytes, n: int) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])]
 
 
+class Frequent:
+    """Which elements are frequent: by the leading bits of the hash."""
+
+    def __init__(self, marks: np.ndarray):
+        self.marks = marks
+        self.shift = np.uint64(64 - (len(marks).bit_length() - 1))
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """The elements in the global order: sorted keys, the rare ones first."""
+        x = h >> ONE
+        x |= np.where(self.marks[(h >> self.shift).astype(np.int64)], FREQUENT, np.uint64(0))
+        x.sort()
+        return x
+
+
 class SizeClasses:
     """Size classes and, for each, the number of parts."""
 
     def __init__(self, opt: JoinOptions):
         self.opt = opt
         first = 1
-        while opt.most_apart(2 * first + 1) < 1:  # smaller sets link only if equal
+        while opt.least < 100 and opt.most_apart(2 * first + 1) < 1:  # smaller sets link only if equal
             first += 1
         self.bounds = [first]
 
@@ -100,15 +132,13 @@ class SizeClasses:
             self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] / self.opt.class_ratio)))
         return int(np.searchsorted(self.bounds, n, side="right")) - 1
 
-    def keys(self, n: int) -> list[int]:
-        """Classes under which a set of size n is signed: its own, and the next one if a
-        larger set that links to it can lie there."""
-        c = self.of(n)
-        top = n * 100 // self.opt.least
-        if c < 0:
-            return [0] if top >= self.bounds[0] else []
-        self.of(top)
-        return [c, c + 1] if top >= self.bounds[c + 1] else [c]
+    def keys(self, n: int) -> range:
+        """Classes under which a set of size n is signed: its own, and those above it where a
+        larger set that links to it can lie. The larger of two sets names the class they share."""
+        if self.opt.least >= 100:
+            return range(0)
+        top = self.of(n * 100 // self.opt.least)
+        return range(max(self.of(n), 0), top + 1)
 
     def parts(self, c: int) -> tuple[int, int]:
         """Number of parts of class c, and the most differences of a linked pair."""
@@ -118,55 +148,61 @@ class SizeClasses:
         return apart + 2 + apart // 4, apart
 
 
-def _part_signatures(h: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Signatures of those of k parts that have elements. Parts are ranges of the hash."""
-    sums = np.append(np.uint64(0), np.cumsum(_mixed(h * _K[0] + _K[1]), dtype=np.uint64))
-    edges = np.arange(1, k, dtype=np.uint64) * np.uint64((2**64 - 1) // k)
-    at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+def _part_signatures(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Signatures of those of k parts that have elements. Parts are ranges of the 63 bits."""
+    sums = np.append(np.uint64(0), np.cumsum(_mixed(x * _K[0] + _K[1]), dtype=np.uint64))
+    edges = np.arange(1, k, dtype=np.uint64) * np.uint64((2**63 - 1) // k)
+    at = np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
     count = np.diff(at)
     sig = sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64) * _K[2]
     sig = _mixed(sig + np.arange(k, dtype=np.uint64) * _K[3] + np.array([seed], np.uint64) * _K[4])
     return sig[count > 0]
 
 
-def signatures(h: np.ndarray, classes: SizeClasses, common: np.ndarray | None = None) -> np.ndarray:
-    """Signatures of a set, for its size classes. common: by the leading bits of an element,
-    whether it is left out. If either of two linked sets has more parts with elements than
-    the pair has differences, they share the signature of such a part. Otherwise both sign
-    all their elements too, and if that gives too few parts as well, as for very small sets,
-    with a signature of their size class."""
+def signatures(keys: np.ndarray, classes: SizeClasses) -> np.ndarray:
+    """Signatures of a set, for its size classes. If either of two linked sets has more parts
+    with rare elements than the pair has differences, they share the signature of such a part.
+    Otherwise both sign all their elements too, and if that gives too few parts as well, as
+    for very small sets, each of their leading elements: these hold a common one."""
     out = []
-    rare = h if common is None else h[~common[h >> SKETCH_SHIFT]]
-    for c in classes.keys(len(h)):
+    n_rare = int(np.searchsorted(keys, FREQUENT))
+    rare, every = keys[:n_rare], None
+    for c in classes.keys(len(keys)):
         k, apart = classes.parts(c)
         out.append(_part_signatures(rare, k, 3 * c + 1))
         if len(out[-1]) <= apart:
-            out.append(_part_signatures(h, k, 3 * c + 2))
+            every = np.sort(keys & ~FREQUENT) if every is None else every
+            out.append(_part_signatures(every, k, 3 * c + 2))
             if len(out[-1]) <= apart:
-                out.append(_mixed(np.array([3 * c + 3], np.uint64) * _K[1]))
+                out.append(_mixed(keys[: classes.opt.leading(len(keys))] * _K[2] + np.array([3 * c + 3], np.uint64) * _K[1]))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def common_elements(docs: DataFrame, opt: JoinOptions) -> np.ndarray:
-    """For each of SKETCH buckets of the hash whether its elements count as frequent: its
-    documents' count stands well above that of the middle bucket. All documents are counted;
-    the driver gets at most SKETCH numbers."""
+def frequent_elements(docs: DataFrame, opt: JoinOptions) -> Frequent:
+    """Counts the documents of all elements in buckets of their hash and marks the buckets
+    that stand well above the middle one, at most one in sixteen of them. There are 2^16 to
+    2^22 buckets, by the number of documents; the driver gets a number for each of them."""
+    bits = min(22, max(16, math.ceil(math.log2(docs.count() + 1)) + 2))
+    shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            for raw in batch.column(0).cast(pa.binary()).to_pylist():
-                h = shingle_set(raw or b"", opt.words)
-                at, n = np.unique((h >> SKETCH_SHIFT).astype(np.int64), return_counts=True)
-                total[at] += n
+            for raw in raw_texts(batch.column(0)):
+                h = (shingle_set(raw, opt.words) >> shift).astype(np.int64)
+                if len(h):  # sorted, so that equal buckets are next to one another
+                    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                    total[h[first]] += np.diff(np.append(first, len(h))).astype(np.int32)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+        for begin in range(0, len(at), 1 << 16):
+            part = at[begin : begin + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
 
     sums = docs.select("text").mapInArrow(count, "bucket INT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(SKETCH)
+    total = np.zeros(1 << bits)
     total[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     middle = float(np.median(total))
-    return total > middle + 8 * middle**0.5 + 16
+    return Frequent(total > max(middle + 8 * middle**0.5 + 16, float(np.quantile(total, 15 / 16))))
 
 
 def set_identity(h: np.ndarray) -> tuple[int, int]:
@@ -175,208 +211,314 @@ def set_identity(h: np.ndarray) -> tuple[int, int]:
     return whole >> 64, whole & (2**64 - 1)
 
 
-def signed_sets(docs: DataFrame, opt: JoinOptions, *keep: str) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (identity of the set), sigs and the columns to keep."""
-    common = common_elements(docs, opt)
+def signed_sets(docs: DataFrame, opt: JoinOptions, frequent: Broadcast, *keep: str) -> DataFrame:
+    """doc_id, n (set size), h1 and h2 (identity of the set), sigs, text_hash and the columns
+    to keep. Of rows with equal sets in one batch only the first one carries signatures."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(opt)
+        classes, marks = SizeClasses(opt), frequent.value
+        none = np.empty(0, np.uint64)
         for batch in batches:
-            n, ids, sigs = [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                h = shingle_set(raw or b"", opt.words)
+            n, ids, sigs, seen = [], [], [], set()
+            for named, raw in zip(batch.column(0).is_valid().to_pylist(), raw_texts(batch.column(1)), strict=True):
+                h = shingle_set(raw, opt.words)
                 n.append(len(h))
                 ids.append(set_identity(h))
-                sigs.append(signatures(h, classes, common))
+                if not named or not len(h) or ids[-1] in seen:
+                    sigs.append(none)
+                    continue
+                seen.add(ids[-1])
+                sigs.append(signatures(marks.keys(h), classes))
             offsets = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
-            values = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64))
+            values = pa.array(np.concatenate(sigs).view(np.int64) if sigs else none.view(np.int64))
             pair = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), values), *batch.columns[2:]],
-                names=["doc_id", "n", "h1", "h2", "sigs", *keep],
+                names=["doc_id", "n", "h1", "h2", "sigs", "text_hash", *keep],
             )
 
-    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select("doc_id", "text", *keep).mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, sigs ARRAY<BIGINT>" + kept)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *keep)
+    return rows.mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, sigs ARRAY<BIGINT>, text_hash BIGINT" + kept)
 
 
 class PrefixTree:
-    """Sets of one block as a prefix tree. Elements are numbered by falling frequency in the
-    block, so that similar sets share long prefixes. Sorted sets with the lengths of their
-    common prefixes stand for the tree: a subtree is a run of neighbours with a long enough
-    common prefix."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), np.int64)
-        rank[np.lexsort((values, -counts))] = np.arange(len(values))
-        coded, at = rank[inverse], 0
-        paths = []
-        for s in sets:
-            paths.append(np.sort(coded[at : at + len(s)]))
-            at += len(s)
+    """Sets of one block, in the global order of their elements, as a prefix tree. Sorted sets
+    with the lengths of their common prefixes stand for the tree: a subtree is a run of
+    neighbours with a long enough common prefix."""
+
+    def __init__(self, sets: list[np.ndarray], opt: JoinOptions):
+        values, coded = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([0] + [len(s) for s in sets])
+        paths = [coded[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.width = len(values)
         self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
         self.paths = [paths[i] for i in self.order]
-        self.common = [0] * len(sets)
-        for i in range(1, len(sets)):
+        n = len(sets)
+        self.common = np.zeros(n + 1, np.int64)  # of each path and the one before; 0 after the last
+        for i in range(1, n):
             a, b = self.paths[i - 1], self.paths[i]
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             self.common[i] = int(differ[0]) if len(differ) else m
-
-
-def tree_join(ids: list[int], sets: list[np.ndarray], opt: JoinOptions, side: list[int] | None = None, skip_connected: bool = True):
-    """Yield (id, id, intersection, union) of linked sets. side: only sets of different
-    sides are compared, if given. skip_connected: pairs that links found so far connect
-    already are passed over, so the links span the components without listing every pair."""
+        self.shorter = np.full(n + 1, n, np.int64)  # the next place with a shorter common prefix
+        stack: list[int] = []
+        for i in range(n + 1):
+            while stack and self.common[stack[-1]] > self.common[i]:
+                self.shorter[stack.pop()] = i
+            stack.append(i)
+        leading = [p[: opt.leading(len(p))] for p in self.paths]
+        owner = np.repeat(np.arange(n), [len(p) for p in leading])
+        flat = np.concatenate(leading)
+        by = np.argsort(flat, kind="stable")
+        self.owners = owner[by]  # places of the sets that lead with an element, by element
+        self.starts = np.searchsorted(flat[by], np.arange(self.width + 1))
+        self.leading = leading
+
+    def sharing(self, a: int) -> np.ndarray:
+        """Places after a of the sets that lead with one of its leading elements, in order."""
+        spans = zip(self.starts[self.leading[a]].tolist(), self.starts[self.leading[a] + 1].tolist(), strict=True)
+        parts = [self.owners[i:j] for i, j in spans if j - i > 1]
+        if not parts:
+            return np.empty(0, np.int64)
+        found = np.unique(np.concatenate(parts))
+        return found[np.searchsorted(found, a, side="right") :]
+
+    def leave(self, b: int, depth: int) -> int:
+        """The first place after the subtree of b at that depth."""
+        b += 1
+        while self.common[b] >= depth and b < len(self.paths):
+            b = int(self.shorter[b])
+        return b
+
+
+def tree_join(
+    names: list, sets: list[np.ndarray], opt: JoinOptions, group: list | None = None, side: list[int] | None = None, spanning: bool = True
+) -> Iterator[tuple]:
+    """Yield (name, name, intersection, union) of linked sets, each given as sorted keys of the
+    global order. side: only sets of different sides are compared, if given. group: sets of
+    one group are connected already. spanning: pairs that are connected, by groups or by links
+    found so far, are passed over, so the links span the components without listing every pair."""
     if len(sets) < 2:
         return
-    tree = PrefixTree(sets)
-    paths, common = tree.paths, tree.common
-    n = len(paths)
-    parent = list(range(n))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    same_id: dict[int, int] = {}
-    names = [ids[i] for i in tree.order]
-    sides = [side[i] for i in tree.order] if side else None
-    for i, name in enumerate(names):
-        if name in same_id:
-            parent[find(i)] = find(same_id[name])
-        same_id.setdefault(name, i)
+    tree = PrefixTree(sets, opt)
+    paths, common, n = tree.paths, tree.common, len(sets)
+    label = np.array([group[i] for i in tree.order], np.int64) if group else np.arange(n)
+    sides = np.array([side[i] for i in tree.order]) if side else None
+    left = len(np.unique(label))
+    sizes = np.array([len(p) for p in paths])
     member = np.zeros(tree.width, bool)
-    steps = np.arange(max(map(len, paths)) + 1)
+    steps = np.arange(int(sizes.max()) + 1)
     for a in range(n - 1):
+        if spanning and left == 1:
+            return
         x = paths[a]
         nx = len(x)
+        found = tree.sharing(a)
+        low, top = -(-nx * opt.least // 100), nx * 100 // opt.least
+        found = found[(sizes[found] >= low) & (sizes[found] <= top)]
+        if spanning:
+            found = found[label[found] != label[a]]
+        if sides is not None:
+            found = found[sides[found] != sides[a]]
+        if not len(found):
+            continue
+        # What each candidate shares with the one before: the least common prefix in between.
+        prefix = np.minimum.reduceat(common, found + 1)[:-1] if len(found) > 1 else None
         member[x] = True
-        top = nx * 100 // opt.least
-        low = -(-nx * opt.least // 100)
         apart = opt.most_apart(nx + top)
         over = np.zeros(1, np.int64)  # overlap of x with each prefix of the path walked last
-        shared = 0  # common prefix of that path and the current one
-        known = None  # the path walked last
-        dead = -1  # its shortest prefix that rules a link out, -1 if there is none
-        root = find(a)
-        for b in range(a + 1, n):
-            shared = min(shared, common[b]) if known is not None else 0
-            if dead >= 0 and shared >= dead:
-                continue  # still in the subtree that was left
-            if skip_connected and find(b) == root or sides and sides[a] == sides[b]:
+        shared, at, walked = 0, 0, -1
+        while at < len(found):
+            b = int(found[at])
+            if walked >= 0:
+                shared = min(shared, int(prefix[walked:at].min()))
+            if spanning and label[b] == label[a]:
+                if walked >= 0:  # the path walked last stays, with what is shared up to here
+                    walked = at
+                at += 1
                 continue
             y = paths[b]
             ny = len(y)
-            if not low <= ny <= top:
-                continue
             over = np.concatenate([over[: shared + 1], over[shared] + np.cumsum(member[y[shared:]])])
-            known, dead, shared = y, -1, ny
+            walked, shared = at, ny
             # After t elements of y: those of y that x lacks, and those of x up to there that y lacks.
             gone = steps[1 : ny + 1] + np.searchsorted(x, y, side="right") - 2 * over[1:]
             bad = np.flatnonzero(gone > apart)
             if len(bad):
-                dead = int(bad[0]) + 1
+                at = int(np.searchsorted(found, tree.leave(b, int(bad[0]) + 1)))
                 continue
             inter = int(over[-1])
             if opt.links(inter, nx + ny - inter):
-                yield names[a], names[b], inter, nx + ny - inter
-                if skip_connected:
-                    parent[find(b)] = root
-                    root = find(a)
+                yield names[tree.order[a]], names[tree.order[b]], inter, nx + ny - inter
+                if spanning:
+                    label[label == label[b]] = label[a]
+                    left -= 1
+            at += 1
         member[x] = False
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chain sets of equal signature: (set, set before it) from rows in order. Nothing but
-    the last row is kept, so the size of a group does not matter."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            sig, h = np.append(last[0], sig), np.append(last[1], h)
-        pair = np.flatnonzero((sig[1:] == sig[:-1]) & (h[1:] != h[:-1]))
-        last = sig[-1:], h[-1:]
-        u, v = np.unique(np.stack([h[pair + 1], h[pair]], axis=1), axis=0).T if len(pair) else (h[:0], h[:0])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-
-def blocks_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, opt: JoinOptions) -> DataFrame:
-    """The blocks with their texts: cluster, i, j (chunks), doc_id, name (h1 of the set), chunk,
-    text. A doc_id that several sets share comes with each of its texts under each name."""
-    rows = signed.filter("doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), "h1")
-    star = rows.repartition("sig").sortWithinPartitions("sig", "h1").mapInArrow(_neighbours, "u BIGINT, v BIGINT").distinct()
-    clusters = written(components(star), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    members = classes.join(clusters, classes["h1"] == clusters["node"]).select(F.col("first_id").alias("doc_id"), F.col("h1").alias("name"), "component")
-    placed = members.join(sizes, "component").select(
-        "doc_id", "name", F.col("component").alias("cluster"), F.ceil(F.col("m") / opt.chunk).cast("int").alias("q")
-    ).withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("q")).cast("int"))
-    placed = written(placed, "members")
-    # A filter of fixed size (FILTER_BITS numbers at most) drops most texts before the shuffle.
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).alias("bit")
-    bits = F.broadcast(placed.select(bit(F.col("doc_id"))).distinct())
-    texts = docs.select("doc_id", "text", bit(F.col("doc_id"))).join(bits, "bit", "left_semi").drop("bit").join(placed, "doc_id")
-
-    # Texts are shuffled rather than sets of 64-bit hashes, which do not compress.
-    other = F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other")
-    return texts.select("cluster", "q", "doc_id", "name", "chunk", "text", other).select(
-        "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc_id", "name", "chunk", "text"
-    )
-
-
-def join_blocks(blocks: DataFrame, opt: JoinOptions, skip_connected: bool) -> DataFrame:
-    """Links found by the trees of all blocks: u, v (names of sets), inter, total."""
+def shared_signatures(signed: DataFrame) -> DataFrame:
+    """sig, h1 of the signatures that sets of different identity share; a few rows come twice.
+    Rows are dealt by range of signature and identity, so the rows of a frequent signature
+    spread over many tasks; the first and last signature of a task, which may go on in another
+    one, are kept unseen."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_sig, kept_h = np.empty(0, np.int64), np.empty(0, np.int64)
+        opening = True
+        first = None
+
+        def out(sig: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(h)], names=["sig", "h1"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.concatenate([kept_sig, batch.column(0).to_numpy()])
+            h = np.concatenate([kept_h, batch.column(1).to_numpy()])
+            if opening:
+                first, opening = sig[0], False
+            alike = sig[1:] == sig[:-1]
+            new = np.append(True, ~(alike & (h[1:] == h[:-1])))  # repeats of a row go
+            sig, h = sig[new], h[new]
+            alike = sig[1:] == sig[:-1]
+            tied = np.append(alike, False) | np.append(False, alike) | (sig == first)
+            # The last row waits: the next batch may go on with its signature.
+            if len(sig) > 1:
+                keep = tied[:-1]
+                yield out(sig[:-1][keep], h[:-1][keep])
+            if tied[-1]:
+                yield out(sig[-1:], h[-1:])
+            kept_sig, kept_h = sig[-1:], h[-1:]
+        if len(kept_sig):
+            yield out(kept_sig, kept_h)
+
+    rows = signed.select(F.explode("sigs").alias("sig"), "h1")
+    ordered = rows.repartitionByRange("sig", "h1").sortWithinPartitions("sig", "h1")
+    return ordered.mapInArrow(shared, "sig BIGINT, h1 BIGINT")
+
+
+def join_blocks(blocks: DataFrame, opt: JoinOptions, frequent: Broadcast, spanning: bool) -> DataFrame:
+    """Links found by the trees of all blocks: u, v (names of sets), inter, total. blocks:
+    block, i, j (chunks), h1, comp (component so far), chunk, text. Sets of the block's two
+    chunks are compared with one another, and within a block of one chunk."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "name"], kind="stable")
-        sets = [shingle_set((t or "").encode(), opt.words) for t in rows["text"]]
-        named = np.array([set_identity(h)[0] for h in sets], np.uint64).view(np.int64) == rows["name"].to_numpy()
-        rows, sets = rows[named], [h for h, mine in zip(sets, named, strict=True) if mine]
+        rows = rows.drop_duplicates("h1").sort_values("h1")
+        sets = [frequent.value.keys(shingle_set(t.encode(), opt.words)) for t in rows["text"]]
         side = rows["chunk"].tolist() if key[1] != key[2] else None
-        found = list(tree_join(rows["name"].tolist(), sets, opt, side, skip_connected))
+        found = list(tree_join(rows["h1"].tolist(), sets, opt, rows["comp"].tolist(), side, spanning))
         return pd.DataFrame(found, columns=["u", "v", "inter", "total"]).astype("int64")
 
-    return blocks.groupBy("cluster", "i", "j").applyInPandas(run, "u BIGINT, v BIGINT, inter BIGINT, total BIGINT")
-
-
-def _classes(signed: DataFrame) -> DataFrame:
-    return signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
+    return blocks.groupBy("block", "i", "j").applyInPandas(run, "u BIGINT, v BIGINT, inter BIGINT, total BIGINT")
+
+
+def _chunked(members: DataFrame, opt: JoinOptions, across: bool) -> DataFrame:
+    """Cut the members (block, h1, n, ...) of each block into chunks of bounded size: adds chunk,
+    i and j. across: every pair of chunks is a block too, so a member comes once for each chunk."""
+    sizes = members.groupBy("block").agg(F.ceil(F.sum("n") / opt.block).cast("int").alias("q"))
+    rows = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("h1"), F.col("q")).cast("int"))
+    if not across:
+        return rows.select("*", F.col("chunk").alias("i"), F.col("chunk").alias("j")).drop("q")
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    return rows.select("*", F.least("chunk", "_other").alias("i"), F.greatest("chunk", "_other").alias("j")).drop("q", "_other")
+
+
+class _Candidates:
+    """Classes that share signatures, with the text of one document of each."""
+
+    def __init__(self, docs: DataFrame, opt: JoinOptions, *keep: str):
+        spark = docs.sparkSession
+        small_batches(spark)
+        self.opt, self.docs = opt, docs
+        # 2^22 marks at most.
+        self.frequent = spark.sparkContext.broadcast(frequent_elements(docs, opt))
+        self.signed = written(signed_sets(docs, opt, self.frequent, *keep), "signed-sets")
+        named = self.signed.filter("n > 0 AND doc_id IS NOT NULL")
+        self.classes = written(
+            named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"))
+            .select("h1", "h2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash")), "set-classes"
+        )
+        self.shared = written(shared_signatures(self.signed), "shared-signatures")
+        # For each round, the least of a class's shared signatures in an order of its own.
+        picks = [F.min(F.xxhash64("sig", F.lit(r))).alias(f"pick{r}") for r in range(opt.rounds)]
+        tied = self.shared.groupBy("h1").agg(F.count(F.lit(1)).alias("_sigs"), *picks)
+        self.members = written(self.classes.join(tied, "h1").drop("_sigs"), "tied-classes")
+        self.texts = written(self._texts(), "class-texts")
+
+    def _texts(self) -> DataFrame:
+        """h1 and text of one document of each class that shares a signature."""
+        wanted = self.members.select("h1", F.col("first_id").alias("doc_id"), "text_hash")
+        # A filter of fixed size (FILTER_BITS numbers at most) drops most texts before the shuffle.
+        bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS)).alias("bit")
+        rows = self.docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash")).withColumn("bit", bit)
+        found = rows.join(F.broadcast(wanted.select(bit).distinct()), "bit", "left_semi")
+        once = found.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+        return wanted.join(once, ["doc_id", "text_hash"]).select("h1", "text")
+
+    def links(self, members: DataFrame, spanning: bool) -> DataFrame:
+        rows = members.select("block", "i", "j", "h1", "comp", "chunk").join(self.texts, "h1")
+        return join_blocks(rows, self.opt, self.frequent, spanning)
+
+    def clusters(self, comps: DataFrame | None) -> DataFrame:
+        """Classes in clusters that signatures tie together: block, h1, comp, n. comps: h1 and
+        comp; signatures within one component tie nothing."""
+        rows = self.members.select("h1", "n") if comps is None else self.members.select("h1", "n").join(comps, "h1", "left")
+        comp = F.col("h1") if comps is None else F.coalesce("comp", "h1")
+        rows = written(self.shared.join(rows.withColumn("comp", comp), "h1"), "signed-components")
+        ties = rows.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("h1").alias("hub")).filter("_a != _b")
+        tied = written(rows.join(ties.select("sig", "hub"), "sig").select("h1", "hub", "comp", "n").distinct(), "ties")
+        found = written(components(tied.select(F.col("h1").alias("u"), F.col("hub").alias("v"))), "clusters")
+        return tied.select("h1", "comp", "n").distinct().join(found, F.col("h1") == F.col("node")).select(F.col("component").alias("block"), "h1", "comp", "n")
+
+    def spanning_links(self) -> DataFrame:
+        """Links that connect what is linked: u, v."""
+        links, comps = None, None
+        for r in range(self.opt.rounds):
+            rows = self.members.select("h1", "n", F.col(f"pick{r}").alias("block"))
+            if comps is None:
+                rows = rows.withColumn("comp", F.col("h1"))
+            else:
+                # One class speaks for those of its component that are in the block.
+                rows = rows.join(comps, "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
+                rows = rows.groupBy("block", "comp").agg(F.min(F.struct("h1", "n")).alias("_one")).select("block", "comp", "_one.h1", "_one.n")
+            several = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("block")
+            rows = written(_chunked(rows.join(several, "block"), self.opt, False), "block-members")
+            new = written(self.links(rows, True).select("u", "v"), "links")
+            links = new if links is None else links.unionByName(new)
+            comps = written(components(links).select(F.col("node").alias("h1"), F.col("component").alias("comp")), "components")
+        rest = written(_chunked(self.clusters(comps), self.opt, True), "cluster-members")
+        new = written(self.links(rest, True).select("u", "v"), "links")
+        return new if links is None else links.unionByName(new)
 
 
 def similar_pairs(docs: DataFrame, opt: JoinOptions = JoinOptions()) -> DataFrame:
-    """Every link between classes of equal sets: u, v (smallest doc_id of each class), inter, total."""
-    signed = written(signed_sets(docs, opt), "signed-sets")
-    classes = written(_classes(signed), "set-classes")
-    links = join_blocks(blocks_of(docs, signed, classes, opt), opt, False).distinct()
-    first = lambda side: classes.select(F.col("h1").alias(side), F.col("first_id").alias(f"{side}_id"))
+    """Every link between classes of equal sets: u, v (smallest doc_id of each class), inter, total.
+    Rows are treated as by similar_components."""
+    found = _Candidates(docs, opt)
+    links = found.links(written(_chunked(found.clusters(None), opt, True), "cluster-members"), False).distinct()
+    first = lambda side: found.classes.select(F.col("h1").alias(side), F.col("first_id").alias(f"{side}_id"))
     return links.join(first("u"), "u").join(first("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), "inter", "total")
 
 
 def similar_components(docs: DataFrame, opt: JoinOptions = JoinOptions(), *keep: str) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by
-    links, itself included) and the columns to keep.
+    links, itself included) and the columns to keep, whose names must not be those of this
+    module's tables (n, h1, h2, sigs, text_hash, component_id).
 
     Null, empty and blank texts have an empty set and are alone. A row without a doc_id
     cannot be named by others: it is alone too and its component_id is null. Rows that repeat
-    a doc_id are one document if their texts link, and each is answered. An empty table gives
-    no rows; other columns are ignored.
+    a doc_id are one document if their texts link, and each is answered. Very long texts are
+    read whole. An empty table gives no rows; other columns are ignored.
     """
-    signed = written(signed_sets(docs, opt, *keep), "signed-sets")
-    classes = written(_classes(signed), "set-classes")
-    links = join_blocks(blocks_of(docs, signed, classes, opt), opt, True)
+    found = _Candidates(docs, opt, *keep)
     # Sets are named by their hash, as texts that do not link can share a doc_id.
-    found = written(components(links.select("u", "v")), "set-components")
-    joined = classes.join(found, classes["h1"] == found["node"], "left")
+    comps = written(components(found.spanning_links()), "set-components")
+    joined = found.classes.join(comps, found.classes["h1"] == comps["node"], "left")
     least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("least_id"))
     named = written(joined.join(least, "component", "left").select("h1", "h2", F.coalesce("least_id", "first_id").alias("component_id")), "named-classes")
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", *keep)
+    rows = found.signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", *keep)
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", *keep)
     alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *keep)
     return linked.unionByName(alone)
