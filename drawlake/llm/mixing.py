@@ -152,10 +152,34 @@ def mixture(docs: DataFrame, opt: MixOptions = MixOptions(), *keep: str) -> Data
     """The mix: slot, offset (in the slot), source, block, round, doc_id, size, start, end and
     the columns to keep. Ordered by slot and offset, the words start to end (exclusive) of the
     documents are the mixed text. block counts the blocks of a source's tape from 0, going
-    round it; round is how often the document has come before.
+    round it; round is how often the document has come before; at is its place on the tape.
+    Odd rows are treated as by mix.
     """
     placed, slots = _prepared(docs, opt, *keep)
-    return _drawn(placed, slots, opt).select("slot", "offset", "source", F.col("turn").alias("block"), "round", "doc_id", "size", "start", "end", *keep)
+    return _drawn(placed, slots, opt).select("slot", "offset", "source", F.col("turn").alias("block"), "round", "at", "doc_id", "size", "start", "end", *keep)
+
+
+def whole_documents(docs: DataFrame, opt: MixOptions = MixOptions()) -> DataFrame:
+    """The rows of `docs` in the order of the mix, each as often as the mix takes it: in every
+    round that takes at least half of its words, at the slot where the round begins it. Sources
+    above their target so lose documents and those below it repeat theirs.
+
+    Rows are told apart by two hashes of all their columns, whatever these are called; equal
+    rows are interchangeable, so each comes as often as the mix takes them together. Null and
+    blank texts have no words and are not taken. Null ids and null sources are values like
+    any other. An empty table gives no rows.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in columns])
+    print1, print2 = F.xxhash64(nulls, *columns).alias("print1"), F.xxhash64(F.lit("second"), nulls, *columns).alias("print2")
+    drawn = mixture(docs.select("doc_id", "source", "text", print1, print2), opt, "print1", "print2")
+    rounds = drawn.groupBy("print1", "print2", "source", "at", "round", "size").agg(
+        F.sum(F.col("end") - F.col("start")).alias("words"), F.min(F.struct("slot", "offset")).alias("begin")
+    )
+    copies = rounds.filter("2 * words >= size").select("print1", "print2", "begin")
+    rows = docs.select(print1, print2, F.struct(*columns).alias("row")).groupBy("print1", "print2").agg(F.first("row").alias("row"))
+    out = rows.join(copies, ["print1", "print2"]).select("row", "begin").orderBy("begin")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix(docs: DataFrame, opt: MixOptions = MixOptions()) -> DataFrame:

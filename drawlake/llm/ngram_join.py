@@ -211,9 +211,9 @@ def set_identity(h: np.ndarray) -> tuple[int, int]:
     return whole >> 64, whole & (2**64 - 1)
 
 
-def signed_sets(docs: DataFrame, opt: JoinOptions, frequent: Broadcast, *keep: str) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (identity of the set), sigs, text_hash and the columns
-    to keep. Of rows with equal sets in one batch only the first one carries signatures."""
+def signed_sets(docs: DataFrame, opt: JoinOptions, frequent: Broadcast) -> DataFrame:
+    """doc_id, n (set size), h1 and h2 (identity of the set), sigs, text_hash. Of rows with
+    equal sets in one batch only the first one carries signatures."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, marks = SizeClasses(opt), frequent.value
@@ -233,13 +233,12 @@ def signed_sets(docs: DataFrame, opt: JoinOptions, frequent: Broadcast, *keep: s
             values = pa.array(np.concatenate(sigs).view(np.int64) if sigs else none.view(np.int64))
             pair = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), values), *batch.columns[2:]],
-                names=["doc_id", "n", "h1", "h2", "sigs", "text_hash", *keep],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), values), batch.column(2)],
+                names=["doc_id", "n", "h1", "h2", "sigs", "text_hash"],
             )
 
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *keep)
-    return rows.mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, sigs ARRAY<BIGINT>, text_hash BIGINT" + kept)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, sigs ARRAY<BIGINT>, text_hash BIGINT")
 
 
 class PrefixTree:
@@ -428,13 +427,13 @@ def _chunked(members: DataFrame, opt: JoinOptions, across: bool) -> DataFrame:
 class _Candidates:
     """Classes that share signatures, with the text of one document of each."""
 
-    def __init__(self, docs: DataFrame, opt: JoinOptions, *keep: str):
+    def __init__(self, docs: DataFrame, opt: JoinOptions):
         spark = docs.sparkSession
         small_batches(spark)
         self.opt, self.docs = opt, docs
         # 2^22 marks at most.
         self.frequent = spark.sparkContext.broadcast(frequent_elements(docs, opt))
-        self.signed = written(signed_sets(docs, opt, self.frequent, *keep), "signed-sets")
+        self.signed = written(signed_sets(docs, opt, self.frequent), "signed-sets")
         named = self.signed.filter("n > 0 AND doc_id IS NOT NULL")
         self.classes = written(
             named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"))
@@ -502,27 +501,28 @@ def similar_pairs(docs: DataFrame, opt: JoinOptions = JoinOptions()) -> DataFram
     return links.join(first("u"), "u").join(first("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), "inter", "total")
 
 
-def similar_components(docs: DataFrame, opt: JoinOptions = JoinOptions(), *keep: str) -> DataFrame:
+def similar_components(docs: DataFrame, opt: JoinOptions = JoinOptions()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by
-    links, itself included) and the columns to keep, whose names must not be those of this
-    module's tables (n, h1, h2, sigs, text_hash, component_id).
+    links, itself included), text_hash (xxhash64 of the text, which tells rows that repeat a
+    doc_id apart).
 
     Null, empty and blank texts have an empty set and are alone. A row without a doc_id
     cannot be named by others: it is alone too and its component_id is null. Rows that repeat
     a doc_id are one document if their texts link, and each is answered. Very long texts are
     read whole. An empty table gives no rows; other columns are ignored.
     """
-    found = _Candidates(docs, opt, *keep)
+    found = _Candidates(docs, opt)
     # Sets are named by their hash, as texts that do not link can share a doc_id.
     comps = written(components(found.spanning_links()), "set-components")
     joined = found.classes.join(comps, found.classes["h1"] == comps["node"], "left")
     least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("least_id"))
     named = written(joined.join(least, "component", "left").select("h1", "h2", F.coalesce("least_id", "first_id").alias("component_id")), "named-classes")
-    rows = found.signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", *keep)
-    linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", *keep)
-    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *keep)
+    rows = found.signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", "text_hash")
+    answer = ("doc_id", "n_shingles", "component_id", "text_hash")
+    linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"]).select(*answer)
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")).select(*answer)
     return linked.unionByName(alone)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), JoinOptions(words=3, least=90))
+    return similar_components(table(spark, sf_dir, "documents"), JoinOptions(words=3, least=90)).drop("text_hash")
