@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlake.llm.common import shared_dir, table, written
 from drawlake.llm.exact_dedup import DigestIndex, exact_dedup, normalised_digest
-from drawlake.llm.mixing import MixOptions, mixture
+from drawlake.llm.mixing import MixOptions, whole_documents
 from drawlake.llm.ngram_join import JoinOptions, similar_components
 from drawlake.llm.packing import PackOptions, pack, token_pieces
 from drawlake.llm.quality_rules import fit_rules, keep_good
@@ -23,52 +22,69 @@ from drawlake.llm.quality_rules import fit_rules, keep_good
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned decision list rejects go. Rules learn from the labelled
-    documents of this stage's input."""
+    documents of this stage's input.
+
+    Null, empty and blank texts have too few words and go. Repeated rows are judged alike, a
+    null doc_id like any other. Extra columns may have any name. An empty table stays empty.
+    """
     return keep_good(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
-#: Stands for a null doc_id in joins.
-NO_ID = -(2**63)
+def _row(docs: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs can clash with a stage's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def _rows(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, also where a doc_id is repeated or null."""
+    """Of equal texts (up to white space) one row stays: the longest, then the one of the
+    smallest doc_id, a null doc_id last, then by a hash of all columns, so that reruns agree.
+
+    Null, empty and blank texts are equal. Repeated rows leave one. Any column may be null and
+    extra columns may have any name. An empty table stays empty.
+    """
     judged = exact_dedup(docs, DigestIndex(spark, shared_dir(spark, "pipeline_index"))).filter("kept")
-    name = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
-    keep = judged.groupBy(name, F.col("text_sha256").alias("_digest")).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = docs.select("*", name, normalised_digest(F.col("text")).alias("_digest"))
-    chosen = rows.join(keep, ["_id", "_digest"])
-    # A kept digest has one doc_id, so rows that share both repeat one row. The longest stays.
-    single, several = chosen.filter("_rows = 1"), chosen.filter("_rows > 1")
-    order = W.partitionBy("_id", "_digest").orderBy(F.length("text").desc_nulls_last())
-    first = several.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return single.select(*docs.columns).unionByName(first.select(*docs.columns))
+    name = lambda c: (F.coalesce(c, F.lit(0)).alias("id"), F.isnull(c).alias("no_id"))
+    keep = judged.select(*name(F.col("doc_id")), F.col("text_sha256").alias("digest")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.length(F.coalesce("text", F.lit(""))), F.xxhash64(*columns)).alias("order")
+    rows = docs.select(_row(docs), *name(F.col("doc_id")), normalised_digest(F.col("text")).alias("digest"), order)
+    # A kept digest has one doc_id, so rows that share both are copies of one another.
+    keys = ["id", "no_id", "digest"]
+    return _rows(rows.join(keep, keys).groupBy(*keys).agg(F.max_by("row", "order").alias("row")), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that is linked at a similarity of 0.8 on five-word shingles, the
-    document with the smallest doc_id stays. Rows without a doc_id stay. Of rows that repeat
-    a doc_id only those go whose own text is linked to a smaller one."""
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    grouped = similar_components(rows, JoinOptions(words=5, least=80), "_text_hash")
-    gone = grouped.filter("doc_id != component_id").select("doc_id", "_text_hash").distinct()
-    return rows.join(gone, ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
+    document with the smallest doc_id stays.
+
+    Rows without a doc_id stay, and so do null, empty and blank texts. Of rows that repeat a
+    doc_id only those go whose own text is linked to a smaller one. Extra columns may have
+    any name. An empty table stays empty.
+    """
+    grouped = similar_components(docs, JoinOptions(words=5, least=80))
+    gone = grouped.filter("doc_id != component_id").select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    rows = docs.select(_row(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    return _rows(rows.join(gone, ["id", "text_hash"], "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix, each as often as the mix takes it: in every round
-    that takes at least half of the text, at the slot where the round begins it. Sources above
-    their target so lose documents and those below it repeat theirs. Documents stay whole, as
-    the next stage packs documents."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    words = F.sum(F.col("end") - F.col("start"))
-    rounds = mixture(rows, MixOptions(), "_row").groupBy("_row", "round", "size").agg(F.min(F.struct("slot", "offset")).alias("_first"), words.alias("_words_taken"))
-    copies = rounds.filter("2 * _words_taken >= size").select("_row", "_first")
-    return rows.join(copies, "_row").orderBy("_first").select(*docs.columns)
+    """Documents in the order of the mix and as often as it takes them. They stay whole, as the
+    next stage packs documents. Nulls, empty texts, repeated rows and empty tables: see
+    whole_documents."""
+    return whole_documents(docs, MixOptions())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of at most 4096 tokens."""
+    """Pieces of all documents, placed in sequences of at most 4096 tokens.
+
+    Null and empty texts are a piece of the end id alone. Repeated rows and rows without a
+    doc_id are packed each for itself. Texts of more than 4096 tokens are cut. Extra columns
+    are left out. An empty table gives no rows.
+    """
     import public_tokenizers
 
     opt = PackOptions()
@@ -88,6 +104,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the last stage returns for the table of documents. Odd rows: see the
+    stages. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
