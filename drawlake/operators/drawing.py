@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from drawlake.functions import boxes as B
 from drawlake.functions import cadtext as T
 from drawlake.functions import kinds as K
-from drawlake.operators.spatial import best_per, box_join, box_of, connected, prefixed, written
+from drawlake.operators.spatial import best_per, box_join, box_of, connected, prefixed
+from drawlake.storage import written
 
 # --- sheets and bands ---------------------------------------------------------------------
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawlake.functions.boxes import box, inflated, intersects
+from drawlake.storage import components
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
@@ -54,35 +52,9 @@ def best_per(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir and read back."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="drawlake-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Components of each sheet's graph: nodes (sheet_id, handle), edges (sheet_id, a, b, any
-    direction). Adds component, the smallest handle reachable. Each round takes the least
-    label among neighbours and then the label of the label, so chains shorten by doubling;
-    rounds are written to the shared folder, and only a count reaches the driver."""
-    both = written(edges.select("sheet_id", "a", "b").unionByName(edges.select("sheet_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    touched = written(both.groupBy("sheet_id", F.col("a").alias("handle")).agg(F.min("b").alias("m")).select("sheet_id", "handle", F.least("handle", "m").alias("label")))
-    for _ in range(most_rounds):
-        seen = both.join(touched.select("sheet_id", F.col("handle").alias("b"), "label"), ["sheet_id", "b"]).groupBy("sheet_id", F.col("a").alias("handle")).agg(F.min("label").alias("near"))
-        step = touched.join(seen, ["sheet_id", "handle"]).withColumn("next", F.least("label", "near"))
-        jump = touched.select("sheet_id", F.col("handle").alias("next"), F.col("label").alias("far"))
-        after = written(step.join(jump, ["sheet_id", "next"], "left").select("sheet_id", "handle", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")))
-        touched = after.select("sheet_id", "handle", "label")
-        if after.filter("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-    out = nodes.join(touched, ["sheet_id", "handle"], "left")
-    return out.withColumn("component", F.coalesce("label", "handle")).drop("label")
+    direction). Adds component, the smallest handle reachable."""
+    found = components(edges.select("sheet_id", F.col("a").alias("u"), F.col("b").alias("v")), "sheet_id")
+    out = nodes.join(found.withColumnRenamed("node", "handle"), ["sheet_id", "handle"], "left")
+    return out.withColumn("component", F.coalesce("component", "handle"))
