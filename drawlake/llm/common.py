@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drawlake.storage import shared_dir, written
+
+__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "raw_texts", "shared_dir", "small_batches", "table", "words_of", "written"]
+
 #: The white space of the contracts: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
 WORD_GAP = "[ \\t-\\r]+"
@@ -19,24 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's spark.checkpoint.dir; where that is unset
-    (single-machine tests) a temporary folder becomes the checkpoint folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="drawlake-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 BATCH_BYTES = 8 << 20
 
 
@@ -60,6 +44,17 @@ def raw_texts(column: pa.Array, at_once: int = 256) -> Iterator[bytes]:
             yield t or b""
 
 
+MOST_FREQUENT = 1000
+
+
+def frequent_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """Keys that hold more than one row in MOST_FREQUENT of all, so fewer than that number of
+    keys however large the table is; they may be broadcast. counts: a row for each key, with
+    its number of rows in column n."""
+    total = counts.agg(F.sum(n).alias("n")).first()["n"] or 0
+    return counts.filter(F.col(n) * MOST_FREQUENT > total).select(key)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo the number of folds; null ids have no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

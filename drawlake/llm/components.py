@@ -1,39 +1,5 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components, as the corpus operators import them."""
 
-from __future__ import annotations
+from drawlake.storage import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from drawlake.llm.common import written
-
-
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """edges: u, v (bigint, any order, repeats allowed). Returns node, component for every
-    node with an edge to another one; component is the smallest node reachable. Every round
-    is written to the shared folder, so a lost executor costs a part of one round; nothing
-    but a count and a checksum reaches the driver. No edges give no rows."""
-    now = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = written(now, "edges")
-    before = None
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = written(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
-        state = _state(now)
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+__all__ = ["components"]

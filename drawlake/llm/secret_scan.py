@@ -8,11 +8,12 @@ and joins findings back to every path that carries the blob.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from drawlake.llm.common import shared_dir, table
+from drawlake.llm.common import frequent_keys, shared_dir, table, written
 
 #: The base rules of the contract. kind: pattern, group whose length counts, least length.
 BASE_RULES = {
@@ -27,11 +28,12 @@ MORE_RULES = {
     "forge_token": (r"gh[pousr]_[A-Za-z0-9]+", 0, 24),
 }
 RULES = BASE_RULES | MORE_RULES
-RULE_VERSION = "2"
 #: What a text must contain before a rule is tried on it.
 NEEDED = {"assign": ("=", ":"), "access": ("AKIA",), "private_key": ("-----BEGIN",), "jwt": ("eyJ",), "forge_token": ("gh",)}
+#: The rules name their version, so that findings of changed rules are never served for new ones.
+RULE_VERSION = hashlib.sha256(repr([sorted(RULES.items()), list(RULES), sorted(NEEDED.items())]).encode()).hexdigest()[:16]
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
-LEDGER_SCHEMA = f"blob STRING, rule_version STRING, spans {SPAN}"
+LEDGER_SCHEMA = f"blob STRING, spans {SPAN}"
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -73,20 +75,38 @@ def scan(text: Column) -> Column:
 
 
 class BlobLedger:
-    """Scanned pairs of blob and rule version, as a parquet table under `path`."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    """Scanned pairs of blob and rule version, under `path`. Each rule version has a table of
+    its own that is bucketed and sorted by blob, so that a run reads the findings of its own
+    version only and joins them without shuffling them."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _table(self, rule_version: str) -> tuple[str, str]:
+        folder = f"{self.path}/rule_version={rule_version}"
+        name = "blobs_" + hashlib.md5(folder.encode()).hexdigest()[:24]
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} ({LEDGER_SCHEMA}) USING parquet "
+                f"CLUSTERED BY (blob) SORTED BY (blob) INTO {self.buckets} BUCKETS LOCATION '{folder}'"
+            )
+        return name, folder
 
     def rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
-        except AnalysisException:  # nothing has been scanned yet
-            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        """All pairs: blob, spans, rule_version."""
+        return self.spark.read.schema(LEDGER_SCHEMA + ", rule_version STRING").parquet(self.path)
 
     def known(self, rule_version: str) -> DataFrame:
         """Findings of a rule version by blob; a pair that two runs have appended counts once."""
-        return self.rows().filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "spans")
+        return self.spark.table(self._table(rule_version)[0]).groupBy("blob").agg(F.first("spans").alias("spans"))
+
+    def add(self, found: DataFrame, rule_version: str) -> None:
+        """Append findings (blob, spans)."""
+        name, folder = self._table(rule_version)
+        (
+            found.repartition(self.buckets, "blob").write.mode("append").format("parquet").option("path", folder)
+            .bucketBy(self.buckets, "blob").sortBy("blob").saveAsTable(name)
+        )
 
 
 def find_secrets(versions: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -94,20 +114,23 @@ def find_secrets(versions: DataFrame, ledger: BlobLedger, rule_version: str = RU
 
     `versions` has doc_id (the path) and text, a row for each historical version. A null
     text is an empty one and has no spans. Repeated rows are each answered. A null doc_id is
-    a path like any other. An empty table gives no rows; other columns are ignored.
+    a path like any other. Very long texts are scanned whole. An empty table gives no rows;
+    other columns are ignored.
     """
-    texts = versions.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    paths = texts.select("doc_id", "blob")
-    unseen = (
-        paths.groupBy("blob").agg(F.min("doc_id").alias("first_path"))
-        .join(ledger.known(rule_version).select("blob"), "blob", "left_anti")
-    )
-    once = texts.hint("shuffle_hash").join(
+    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob")
+    paths = written(versions.select("doc_id", blob), "blob-paths")
+    blobs = written(paths.groupBy("blob").agg(F.min("doc_id").alias("first_path"), F.count(F.lit(1)).alias("n")), "blobs")
+    unseen = written(blobs.hint("merge").join(ledger.known(rule_version).select("blob").hint("merge"), "blob", "left_anti").select("blob", "first_path"), "unseen-blobs")
+    # The copies of a frequent blob spread over many tasks, as the path is a part of the key.
+    once = versions.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), blob).join(
         unseen.withColumnRenamed("blob", "b"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first_path")), "left_semi"
     )
-    found = once.select("blob", F.lit(rule_version).alias("rule_version"), scan(F.col("text")).alias("spans"))
-    found.write.mode("append").parquet(ledger.path)
-    return paths.join(ledger.known(rule_version), "blob").select("doc_id", "blob", "spans")
+    ledger.add(once.select("blob", scan(F.col("text")).alias("spans")), rule_version)
+    known = ledger.known(rule_version)
+    often = F.broadcast(written(frequent_keys(blobs, "blob", "n"), "frequent-blobs"))
+    answers = F.broadcast(known.join(often, "blob", "left_semi"))
+    found = paths.join(answers, "blob").unionByName(paths.join(often, "blob", "left_anti").hint("merge").join(known.hint("merge"), "blob"))
+    return found.select("doc_id", "blob", "spans")
 
 
 def joined(spans: Column) -> Column:

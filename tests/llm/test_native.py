@@ -38,7 +38,7 @@ def test_dedup_later_batches_lose(spark, odd_docs):
     assert [r.kept for r in first] == [True]
     second = {r.doc_id: r for r in X.exact_dedup(odd_docs.filter("doc_id IN (1, 3)"), index, "two").collect()}
     assert (second[1].kept, second[1].keep_id, second[3].kept) == (False, 2, True)
-    assert index.flat().count() == 2
+    assert index.bucketed().count() == 2
 
 
 def test_dedup_of_nothing(spark, no_docs):
@@ -175,3 +175,32 @@ def test_schedule_turns_have_no_gaps(spark):
     for got in by.values():
         assert [t for _, t in sorted(got)] == list(range(len(got)))
     assert abs(len(by[1]) - 200) <= 2
+
+
+def test_dedup_of_extreme_ids_and_indexes_of_one_name(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "ab"), (0, "a  b"), (None, "a   b"), (5, "c"), (-(2**63), "c")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    base = shared_dir(spark, "i")
+    for folder in ("one", "two"):
+        got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in X.exact_dedup(df, X.DigestIndex(spark, f"{base}/{folder}/idx", 4)).collect()}
+        by_text = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert got[None, by_text("ab")] == (None, 4, True) and got[-(2**63), by_text("ab")] == (None, 4, False)
+        assert got[-(2**63), by_text("c")] == (-(2**63), 2, True) and got[5, by_text("c")] == (-(2**63), 2, False)
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = [(i, "the same text, token=abcdefgh" if i % 3 == 0 else f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = X.exact_dedup(df, X.DigestIndex(spark, shared_dir(spark, "i"), 4)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(i, 0 if i % 3 == 0 else i, 100 if i % 3 == 0 else 1) for i in range(300)]
+    found = S.find_secrets(df, S.BlobLedger(spark, shared_dir(spark, "l"), 4)).collect()
+    assert sorted((r.doc_id, len(r.spans)) for r in found) == [(i, int(i % 3 == 0)) for i in range(300)]
+
+
+def test_findings_of_changed_rules_are_not_served(spark, monkeypatch):
+    import importlib
+
+    before = S.RULE_VERSION
+    monkeypatch.setitem(S.RULES, "hex", ("[0-9a-f]+", 0, 30))
+    again = S.hashlib.sha256(repr([sorted(S.RULES.items()), list(S.RULES), sorted(S.NEEDED.items())]).encode()).hexdigest()[:16]
+    assert again != before and importlib.reload(S).RULE_VERSION == before
