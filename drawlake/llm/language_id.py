@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, table
+from drawlake.llm.common import fold, raw_texts, small_batches, table
 
 BUCKETS = 1 << 15
 CHUNK = 1 << 20  # bytes of text that are worked on at once
@@ -79,7 +79,7 @@ def fit_languages(docs: DataFrame, learn: Column) -> LanguageModel:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = raw_texts(batch.column(1))
             by: dict[str, list[bytes]] = {}
             for lang, t in zip(langs, texts, strict=True):
                 by.setdefault(lang, []).append(t)
@@ -91,6 +91,7 @@ def fit_languages(docs: DataFrame, learn: Column) -> LanguageModel:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     sums = rows.mapInArrow(count, "lang STRING, bucket INT, n BIGINT").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel, opt: MixtureOptions = Mixtur
     with score 0. Equal proportions go to the language that comes first by name. An empty
     table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     # Languages times BUCKETS numbers: bounded by the number of learned languages.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -172,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel, opt: MixtureOptions = Mixtur
         m = shared.value
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = list(raw_texts(batch.column(1)))
             pred, score, sets = [], [], []
             for i, j in _chunks(texts):
                 part = texts[i:j]

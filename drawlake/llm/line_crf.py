@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, table
+from drawlake.llm.common import fold, raw_texts, small_batches, table
 
 CHUNK = 1 << 20
 
@@ -181,7 +181,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, opt: CrfOptions = CrfOptions
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [line_features([t or b""])[0].astype("<f4").tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            blobs = [line_features([t])[0].astype("<f4").tobytes() for t in raw_texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = [r for r in sample.mapInArrow(extract, "doc_id BIGINT, quality INT, x BINARY").collect() if r["x"]]
@@ -202,10 +202,11 @@ def quality(docs: DataFrame, model: CrfModel | None) -> DataFrame:
     nothing to learn from. Repeated rows score alike. An empty table gives no rows; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = list(raw_texts(batch.column(1)))
             score, lines = np.zeros(len(texts)), [[] for _ in texts]
             begin, size = 0, 0
             for i in range(len(texts) + 1):

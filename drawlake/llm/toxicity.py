@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, table
+from drawlake.llm.common import fold, raw_texts, small_batches, table
 
 _MARKS = bytearray(range(256))
 for _c in range(128):
@@ -52,7 +52,7 @@ def features(word: bytes) -> list[bytes]:
 class WordScores(dict):
     """Summed weights by word, computed once a word and bounded in size."""
 
-    def __init__(self, weights: dict[bytes, float], most: int = 1_000_000):
+    def __init__(self, weights: dict[bytes, float], most: int = 250_000):
         self.weights, self.most = weights, most
 
     def __missing__(self, word: bytes) -> float:
@@ -78,17 +78,28 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def vocabulary(sample: DataFrame, opt: ToxicityOptions) -> list[bytes]:
-    """Words that toxic documents of the sample hold more often than others, by chi-square."""
+    """Words that toxic documents of the sample hold more often than others, by chi-square.
+    Words above 64 bytes count through their beginnings only. Counts leave a task in parts of
+    bounded size and are summed in the shuffle."""
+
+    def counted(n: dict[bytes, int], t: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(n, pa.binary()), pa.array(n.values(), pa.int64()), pa.array([t.get(f, 0) for f in n], pa.int64())], names=["word", "n", "t"]
+        )
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[bytes, int] = {}
+        t: dict[bytes, int] = {}
         for batch in batches:
-            out: dict[bytes, list[int]] = {}
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                for f in {f for w in set((text or b"").translate(_MARKS).split()) if len(w) <= 64 for f in features(w)}:
-                    n = out.setdefault(f, [0, 0])
-                    n[0] += 1
-                    n[1] += toxic == 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array([n[0] for n in out.values()], pa.int64()), pa.array([n[1] for n in out.values()], pa.int64())], names=["word", "n", "t"])
+            for toxic, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                for f in {f for w in set(text.translate(_MARKS).split()) for f in features(w) if len(f) <= 64}:
+                    n[f] = n.get(f, 0) + 1
+                    if toxic == 1:
+                        t[f] = t.get(f, 0) + 1
+                if len(n) > 200_000:
+                    yield counted(n, t)
+                    n, t = {}, {}
+        yield counted(n, t)
 
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("t")).first()
     if not size["n"] or not size["t"]:
@@ -102,7 +113,10 @@ def vocabulary(sample: DataFrame, opt: ToxicityOptions) -> list[bytes]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     """Learn from at most opt.most_labelled documents. The driver gets their sentences'
-    words of the vocabulary only. Without toxic examples every score is near 0."""
+    words of the vocabulary only. Null labels and null ids are left out, a null or empty text
+    has no sentence; of labels that repeat an id the greatest counts. Without toxic examples,
+    as with empty tables, every score is near 0."""
+    small_batches(docs.sparkSession)
     sample = _labelled(docs, labels, opt.most_labelled)
     words = vocabulary(sample, opt)
     if not words:
@@ -112,8 +126,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = Toxi
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, found = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                parts = [s for s in (x.split() for x in sentences(text or b"")) if s]
+            for text in raw_texts(batch.column(1)):
+                parts = [s for s in (x.split() for x in sentences(text)) if s]
                 hits = [sorted(index[f] for w in set(s) for f in features(w) if f in index) for s in parts]
                 total.append(len(parts))
                 found.append([h for h in hits if h])
@@ -172,13 +186,21 @@ def toxicity(docs: DataFrame, model: ToxicityModel, opt: ToxicityOptions = Toxic
     empty table gives no rows; other columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(model.weights)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            got = [score_text(t or b"", model, opt.locate, scores) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            spots = [[{"start": a, "end": b, "score": p} for a, b, p in x] for _, x in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(spots, kind)], names=["doc_id", "score", "sentences"])
+            got, ends, spots = [], [0], []
+            for text in raw_texts(batch.column(1)):
+                score, found = score_text(text, model, opt.locate, scores)
+                got.append(score)
+                spots += found
+                ends.append(len(spots))
+            parts = list(zip(*spots, strict=True)) or [(), (), ()]
+            flat = pa.StructArray.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64())], names=["start", "end", "score"])
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), spans], names=["doc_id", "score", "sentences"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, score DOUBLE, sentences ARRAY<STRUCT<start:BIGINT,end:BIGINT,score:DOUBLE>>")
 
