@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import shared_dir, table
+from drawlake.llm.common import raw_texts, shared_dir, small_batches, table
 from drawlake.llm.tokens import encoder
 
 MAGIC = b"DLT1"
@@ -135,7 +135,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path:
             )
 
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = list(raw_texts(batch.column(1)))
             for doc_id, got in zip(batch.column(0).to_pylist(), enc.encode_many(texts), strict=True):
                 got += end
                 docs_in.append(doc_id)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import compress, filterfalse, pairwise
 
 import numpy as np
 
@@ -76,13 +77,20 @@ class PieceEncoder:
     def _known(self, keys: set[bytes]) -> None:
         """Encode those of the keys that the cache lacks. Keys of letters only go to the library
         many at a time: each is one pre-token, and a token's mark tells where it begins or ends."""
-        cache, plain, rest = self.cache, [], []
-        for k in keys.difference(cache):
-            body = k[1:] if self.mode == "byte" and k[:1] == b" " else k
-            joins = (self.mode == "word" or body is not k) and (body.isalpha() if body.isascii() else body.decode("utf8").isalpha())
-            (plain if joins else rest).append(k)
+        cache, new = self.cache, [k for k in keys if k not in self.cache]
+        # Letters of ASCII are told apart at once, the others after decoding.
+        if self.mode == "byte":
+            plain = [k for k in new if k[:1] == b" " and k[1:].isalpha()]
+            other = [k for k in new if not (k[:1] == b" " and k[1:].isalpha())]
+            joins = [k[:1] == b" " and not k.isascii() and k[1:].decode("utf8").isalpha() for k in other]
+        else:
+            plain = [k for k in new if k.isalpha()]
+            other = [k for k in new if not k.isalpha()]
+            joins = [not k.isascii() and k.decode("utf8").isalpha() for k in other]
+        plain += compress(other, joins)
+        rest = [k for k, j in zip(other, joins, strict=True) if not j]
         gap = b"" if self.mode == "byte" else b" "
-        groups = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        groups = [plain[at : at + 128] for at in range(0, len(plain), 128)]
         encoded = self.tokenizer.encode_batch_fast([gap.join(g).decode("utf8") for g in groups], add_special_tokens=False)
         for group, e in zip(groups, encoded, strict=True):
             ids = np.array(e.ids, self.dtype)
@@ -92,32 +100,32 @@ class PieceEncoder:
                 continue
             cuts = np.append(marks, len(ids)) if self.mode == "byte" else np.append(0, marks + 1)
             raw, places = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-            for k, a, b in zip(group, places, places[1:], strict=False):
-                cache[k] = raw[a:b]
+            cache.update(zip(group, [raw[a:b] for a, b in pairwise(places)], strict=True))
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             cache.update(zip(part, self._library([k.decode("utf8") for k in part]), strict=True))
 
-    def _miss(self, pieces: set[bytes]) -> None:
+    def _miss(self, pieces: set[bytes], specials: bool) -> None:
         """Learn pieces: marks at the end of a piece are tokens of their own, and in word mode
-        capitals do not matter, so most new pieces are put together from known ones."""
-        cache, cut, plain = self.cache, {}, set()
-        word = self.mode == "word"
-        for p in pieces:
-            if b"<|" in p:
-                plain.add(p)
-                continue
-            key = p.lower() if word else p
-            if _LETTER[key[-1]]:
-                plain.add(key)
-                if key != p:
-                    cut[p] = (key,)
+        capitals do not matter, so most new pieces are put together from known ones. specials:
+        whether the texts may hold special tokens."""
+        cache, word = self.cache, self.mode == "word"
+        cut: dict[bytes, tuple[bytes, ...]] = {}
+        whole = {p for p in pieces if b"<|" in p} if specials else set()
+        plain = set(whole)
+        if word:
+            lowered = {p: p.lower() for p in pieces if p not in whole}
+            cut.update((p, (k,)) for p, k in lowered.items() if k != p)
+        else:
+            lowered = {p: p for p in pieces if p not in whole} if whole else dict.fromkeys(pieces)
+        plain.update(k or p for p, k in lowered.items() if _LETTER[p[-1]])
+        for p, k in lowered.items():
+            if _LETTER[p[-1]]:
                 continue
+            key = k or p
             bare = key.rstrip(_MARKS)
             if len(bare) == len(key) or not bare.strip() or not _ends_in_letter(bare):
                 plain.add(key)
-                if key != p:
-                    cut[p] = (key,)
             else:
                 cut[p] = (bare, key[len(bare) :])
                 plain.update(cut[p])
@@ -148,18 +156,19 @@ class PieceEncoder:
             self.cache.clear()
         out: list[bytes | None] = [None] * len(texts)
         cut: list[list[bytes]] = [[]] * len(texts)
-        whole, seen = [], set()
+        known = self.cache.__contains__
+        whole, fresh, specials = [], set(), False
         for i, raw in enumerate(texts):
             if self.mode == "whole" or self.mode == "byte" and self._unsafe(raw):
                 whole.append(i)
                 continue
+            specials = specials or b"<|" in raw
             cut[i] = raw.split() if self.mode == "word" else _BYTE_PIECE.findall(raw)
-            seen.update(cut[i])
+            fresh.update(filterfalse(known, cut[i]))
         for i, ids in zip(whole, self._library([texts[i].decode("utf8") for i in whole]), strict=True):
             out[i] = ids
-        fresh = seen.difference(self.cache)
         long = {p for p in fresh if len(p) > 256}  # not worth keeping
-        self._miss(fresh - long)
+        self._miss(fresh - long if long else fresh, specials)
         get = self.cache.__getitem__
         once = dict(zip(long, self._library([p.decode("utf8") for p in long]), strict=True))
         for i, pieces in enumerate(cut):
