@@ -20,6 +20,7 @@ from drawlake.llm.common import table, words_of, written
 GOLDEN = 0.6180339887498949
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
+MOST_SOURCES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,6 @@ class MixOptions:
     most_repeats: int = 3
     block: int = 256  # tokens of a block
     chunk: int = 4096  # documents, or slots, that are ordered by one task at a time
-    make_up: bool = True  # slots after the last point for sources that got too few
 
 
 def source_targets(sized: DataFrame, opt: MixOptions) -> DataFrame:
@@ -63,34 +63,44 @@ def source_targets(sized: DataFrame, opt: MixOptions) -> DataFrame:
     )
 
 
-def schedule(spark: SparkSession, targets: list, opt: MixOptions) -> DataFrame:
+CELLS = 1024
+
+
+def schedule(spark: SparkSession, targets: DataFrame | list, opt: MixOptions) -> DataFrame:
     """Slots of the mix in order: slot, rank (of the source), turn (rank of the slot among
-    those of its source, from 0). The points need no state, so any range of slots can be made
-    anywhere; turns come from counts per chunk of slots and a window within the chunk. A source
-    gets a few points more or fewer than the blocks it needs; missing turns follow the last point."""
-    need = {t["rank"]: -(-int(t["target"]) // opt.block) for t in targets}
-    total = sum(need.values())
-    ends, at = [], 0
-    for rank, n in sorted(need.items()):
-        at += n
-        ends.append((rank, n, at / max(total, 1)))
-    slots = spark.range(total).withColumnRenamed("id", "slot")
-    u = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    rank = F.lit(ends[-1][0] if ends else 0)
-    for r, _, end in reversed(ends[:-1]):
-        rank = F.when(u < end, F.lit(r)).otherwise(rank)
-    slots = slots.select("slot", rank.cast("bigint").alias("rank"), F.floor(F.col("slot") / opt.chunk).alias("chunk"))
+    those of its source, from 0). targets: rank and target of each source.
+
+    The points need no state, so any range of slots can be made anywhere. A point's source is
+    the one whose interval of the cumulative targets holds it: both are dealt to CELLS cells, so
+    that is an equality join with a recheck, whatever the number of sources. Turns come from
+    counts per chunk of slots and a window within the chunk. A source gets a few points more
+    or fewer than the blocks it needs; missing turns follow the last point.
+    """
+    if not isinstance(targets, DataFrame):
+        targets = spark.createDataFrame([(t["rank"], float(t["target"])) for t in targets], "rank BIGINT, target DOUBLE")
+    need = F.ceil(F.floor("target") / opt.block).cast("bigint")
+    needed = targets.select(F.col("rank").cast("bigint").alias("rank"), need.alias("need"))
+    # A row per source goes through a single task.
+    upto = needed.withColumn("upto", F.sum("need").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    total = upto.agg(F.max("upto")).first()[0] or 0
+    spans = upto.filter("need > 0").select("rank", ((F.col("upto") - F.col("need")) / total).alias("low"), (F.col("upto") / total).alias("high"))
+    last = F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1).cast("bigint"))
+    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), last)))
+    points = spark.range(total).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("u"))
+    points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
+    slots = points.join(spans, "cell").filter("low <= u AND u < high").select("slot", "rank", F.floor(F.col("slot") / opt.chunk).alias("chunk"))
+    slots = written(slots, "mix-slots")
     counts = slots.groupBy("rank", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = _running(counts, ["rank"], "chunk", "n", "before")
     within = W.partitionBy("rank", "chunk").orderBy("slot")
     turn = F.coalesce("before", F.lit(0)) + F.row_number().over(within) - 1
     drawn = slots.join(before, ["rank", "chunk"]).select("slot", "rank", turn.cast("bigint").alias("turn"))
-    if not opt.make_up:
-        return drawn
-    got = {r["rank"]: r["n"] for r in counts.groupBy("rank").agg(F.sum("n").alias("n")).collect()}  # a row per source
-    missing = sorted((turn, rank) for rank, n in need.items() for turn in range(got.get(rank, 0), n))
-    late = [(total + i, rank, turn) for i, (turn, rank) in enumerate(missing)]
-    return drawn.unionByName(spark.createDataFrame(late, "slot BIGINT, rank BIGINT, turn BIGINT")) if late else drawn
+    got = counts.groupBy("rank").agg(F.sum("n").alias("got"))
+    short = needed.join(got, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("bigint"))).filter("got < need")
+    missing = short.select("rank", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("turn"))
+    # A few rows per source, since the points are of low discrepancy.
+    late = missing.withColumn("slot", F.row_number().over(W.orderBy("turn", "rank")) + F.lit(total - 1))
+    return drawn.unionByName(late.select("slot", "rank", "turn"))
 
 
 def _running(counts: DataFrame, keys: list[str], order: str, value: str, out: str, group: int = 1024) -> DataFrame:
@@ -126,10 +136,12 @@ def _prepared(docs: DataFrame, opt: MixOptions, *keep: str) -> tuple[DataFrame,
     spark = docs.sparkSession
     sized = written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), *keep), "mix-sizes")
     targets = written(source_targets(sized, opt), "mix-targets")
+    if (n := targets.count()) > MOST_SOURCES:  # a row per source is broadcast
+        raise ValueError(f"{n} sources; at most {MOST_SOURCES} can be mixed")
     goal = F.floor("target").cast("bigint")
     # Places of rows that tie in the tape's order are chosen once.
     placed = written(tape(sized, targets, opt).withColumn("goal", goal), "mix-tape")
-    slots = schedule(spark, targets.collect(), opt)  # a row per source
+    slots = schedule(spark, targets, opt)
     turns = slots.join(F.broadcast(targets.select("rank", goal.alias("goal"))), "rank").withColumn("begin", F.col("turn") * opt.block)
     return placed, turns.select("slot", "rank", "turn", "begin", F.least(F.lit(opt.block), F.col("goal") - F.col("begin")).alias("length")).filter("length > 0")
 
@@ -186,7 +198,7 @@ def mix(docs: DataFrame, opt: MixOptions = MixOptions()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words in the mix).
 
     Null and blank texts have size 0 and take part with 0. A null source is a source of its
-    own. Rows that repeat a doc_id are documents of their own. Without any word in the table
+    own. More than MOST_SOURCES sources are an error. Rows that repeat a doc_id are documents of their own. Without any word in the table
     every target and every taken is 0. An empty table gives no rows; other columns are ignored.
     """
     placed, slots = _prepared(docs, opt)
@@ -197,8 +209,7 @@ def mix(docs: DataFrame, opt: MixOptions = MixOptions()) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL counts the points alone.
-    return mix(table(spark, sf_dir, "documents"), MixOptions(make_up=False)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
@@ -209,12 +220,8 @@ l AS (SELECT *, (total - 3 * coalesce(sum(source_size) OVER (ORDER BY source_siz
     / sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT *, first_value(CASE WHEN level * weight <= 3 * source_size THEN level END IGNORE NULLS) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS set_level FROM l),
 t AS (SELECT source, rank, source_size, CASE WHEN set_level IS NULL THEN 3.0::DOUBLE * source_size ELSE least(3.0::DOUBLE * source_size, set_level * weight) END AS target FROM f),
-n AS (SELECT *, CAST(floor(target) AS BIGINT) AS goal, (CAST(floor(target) AS BIGINT) + 255) // 256 AS need FROM t),
-c AS (SELECT *, sum(need) OVER (ORDER BY rank) AS upto, sum(need) OVER () AS slots FROM n),
-p AS (SELECT ((i + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(CAST((SELECT max(slots) FROM c) AS BIGINT))) AS i)),
-k AS (SELECT rank, count(*) AS got FROM (SELECT (SELECT coalesce(min(rank), (SELECT max(rank) FROM c)) FROM c WHERE p.u < CAST(upto AS DOUBLE) / CAST(slots AS DOUBLE)) AS rank FROM p) GROUP BY rank),
-a AS (SELECT d.doc_id, d.size, c.source_size, c.target, least(c.goal, coalesce(k.got, 0) * 256) AS fin,
-    coalesce(sum(d.size) OVER (PARTITION BY c.rank ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN k ON k.rank = c.rank)
+a AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS fin,
+    coalesce(sum(d.size) OVER (PARTITION BY t.rank ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(fin // greatest(source_size, 1) * size + greatest(0, least(size, fin % greatest(source_size, 1) - pos)) AS BIGINT) AS taken FROM a
 """
