@@ -29,11 +29,14 @@ PLACED = PIECES + ", sequence_id BIGINT, offset BIGINT"
 
 @dataclass(frozen=True)
 class PackOptions:
-    """Limits of a sequence; None for no limit. weights: of tokens, documents, attention."""
+    """Limits of a sequence; None for no limit. weights: of tokens, documents, attention. By default a sequence
+    may hold as many documents as tokens and the attention cost of one piece that fills it,
+    the tightest limits that no sequence of at most `tokens` tokens can break; what is left of
+    them still tells sequences with equal room apart."""
 
     tokens: int = 4096
-    documents: int | None = None
-    attention: int | None = None
+    documents: int | None = 4096
+    attention: int | None = 4096**2
     rule: str = "norm"  # or "dot"
     weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
     group: int = 8192  # pieces that one task packs together
@@ -105,12 +108,14 @@ def pack(pieces: DataFrame, opt: PackOptions = PackOptions()) -> DataFrame:
     """Place the pieces of `token_pieces`: adds sequence_id and offset.
 
     Rows that repeat doc_id and piece are packed each for itself; ties in length keep the
-    order of doc_id, piece and checksum, so reruns agree. An empty table gives no rows.
+    order of doc_id, piece and checksum, so reruns over the same files agree. A null doc_id is
+    a value like any other. An empty table gives no rows.
     """
     kept = written(pieces, "pieces")
     n = kept.count()
     groups, used = max(1, -(-n // opt.group)), 0
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # Dealt by row, so that equal rows spread over the groups.
+    dealt = kept.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     done: list[DataFrame] = []
     while True:
         placed = dealt.groupBy("_group").applyInPandas(_placer(opt, used), PLACED + ", open BOOLEAN")

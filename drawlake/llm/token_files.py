@@ -48,34 +48,47 @@ class EliasFano:
         high[places] = 1
         return cls(n, low, lows, np.packbits(high, bitorder="little").tobytes(), places[::SAMPLE].astype("<u4"))
 
-    def select(self, i: int) -> int:
-        """The place of the i-th set bit, from the directory's nearest entry before it."""
-        at = int(self.directory[i // SAMPLE])
-        left = i % SAMPLE
-        byte, skip = divmod(at, 8)
-        while True:
-            ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.highs, np.uint8, min(64, len(self.highs) - byte), byte), bitorder="little"))
-            ones = ones[ones >= skip]
-            if left < len(ones):
-                return byte * 8 + int(ones[left])
-            left -= len(ones)
-            byte, skip = byte + 64, 0
-
-    def __getitem__(self, i: int) -> int:
-        value = 0
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The places of the i-th set bits, each found from the directory's nearest entry before
+        it, a byte at a time for all that have not arrived."""
+        highs = np.frombuffer(self.highs, np.uint8)
+        at = self.directory[i // SAMPLE].astype(np.int64)
+        left, byte = i % SAMPLE, at >> 3
+        word = highs[byte] & (0xFF << (at & 7) & 0xFF).astype(np.uint8)
+        ahead = np.flatnonzero(left >= _ONES[word])
+        while len(ahead):
+            left[ahead] -= _ONES[word[ahead]]
+            byte[ahead] += 1
+            word[ahead] = highs[byte[ahead]]
+            ahead = ahead[left[ahead] >= _ONES[word[ahead]]]
+        return byte * 8 + _NTH[word, left]
+
+    def __getitem__(self, i: int | np.ndarray) -> int | np.ndarray:
+        """The i-th number, or those of an array of places."""
+        place = np.atleast_1d(np.asarray(i, np.int64))
+        value = self.select(place) - place
         if self.low:
-            first, last = i * self.low, (i + 1) * self.low
-            chunk = int.from_bytes(self.lows[first // 8 : (last + 7) // 8], "little")
-            value = chunk >> first % 8 & ((1 << self.low) - 1)
-        return (self.select(i) - i) << self.low | value
+            lows = np.frombuffer(self.lows + b"\0" * 8, np.uint8)
+            first = place * self.low
+            # Eight bytes hold any lower part and the bits before it, as parts have 56 bits at most.
+            chunk = np.ascontiguousarray(lows[(first >> 3)[:, None] + np.arange(8)]).view("<u8")[:, 0]
+            part = chunk >> (first & 7).astype(np.uint64) & np.uint64((1 << self.low) - 1)
+            value = value << self.low | part.astype(np.int64)
+        return value if np.ndim(i) else int(value[0])
 
     def decode(self) -> np.ndarray:
-        """All numbers at once."""
+        """All numbers at once, without the directory."""
         high = np.flatnonzero(np.unpackbits(np.frombuffer(self.highs, np.uint8), bitorder="little"))[: self.n] - np.arange(self.n)
         bits = np.unpackbits(np.frombuffer(self.lows, np.uint8), bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
         return (high.astype(np.int64) << self.low) + bits.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1).astype(np.int64)
+#: By byte and n, the place of the n-th set bit; rows end with places of bits that are not set.
+_NTH = np.argsort(1 - _BITS, axis=1, kind="stable")
+
+
 def write_shard(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
     n = len(doc_ids)
     ef = EliasFano.encode(np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64))
@@ -115,7 +128,9 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path:
     """Encode whole texts in ascending doc_id order into shard files under `path`.
 
     Null texts are empty: they hold the end id alone. Null ids come first; rows that repeat
-    a doc_id follow one another in the order of their texts. Returns the written table: part
+    a doc_id follow one another in the order of a hash of their texts, and may be many, as
+    ranges part them too. Texts of any length are encoded whole. An empty table gives no
+    shard; other columns are ignored. Returns the written table: part
     (number of the doc_id range), seq (within it), first (ids of the part before this shard),
     n_docs, n_ids, payload.
     """
@@ -149,7 +164,9 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path:
         if docs_in:
             yield shard()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
 
@@ -171,7 +188,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for first, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(payload.as_py())
-                bounds = shard.bounds.decode()
+                bounds = shard.bounds[np.arange(len(shard.doc_ids) + 1)]
                 wide = shard.ids.astype("<u4")
                 crcs = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -124,3 +124,57 @@ def test_best_fit(lengths, rule):
         assert offset[seq == s][order].tolist() == np.cumsum([0, *mine[order]])[:-1].tolist()
     plain, _ = K.best_fit(np.array(lengths), K.PackOptions(tokens=20, rule=rule))
     assert plain.max() + 1 <= fewest(lengths, 20) * 11 / 9 + 1
+
+
+def test_what_is_left_of_every_capacity_chooses_the_bin():
+    """With no weight on documents and attention cost, other sequences take some pieces, and
+    tight limits on them take more sequences."""
+    moved, more = 0, 0
+    for seed in range(40):
+        lengths = np.random.RandomState(seed).randint(1, 40, 60)
+        all_three, _ = K.best_fit(lengths, K.PackOptions(tokens=100, documents=20, attention=5000, weights=(1.0, 0.5, 0.5)))
+        only_tokens, _ = K.best_fit(lengths, K.PackOptions(tokens=100, documents=20, attention=5000, weights=(1.0, 0.0, 0.0)))
+        tight, _ = K.best_fit(lengths, K.PackOptions(tokens=100, documents=4, attention=3000))
+        moved += not np.array_equal(all_three, only_tokens)
+        more += tight.max() > only_tokens.max()
+        for s in range(tight.max() + 1):
+            assert (tight == s).sum() <= 4 and (lengths[tight == s] ** 2).sum() <= 3000 and lengths[tight == s].sum() <= 100
+    assert moved > 10 and more > 10
+
+
+def test_rows_that_repeat_spread_over_groups(spark):
+    rows = [(None, 0, 0, 1, 5)] * 500 + [(i, 0, 0, 30, i) for i in range(100)]
+    got = K.pack(spark.createDataFrame(rows, K.PIECES).repartition(3), K.PackOptions(tokens=100, documents=100, attention=10_000, group=64)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    assert len(got) == 600
+    for g in by.values():
+        at = 0
+        for r in sorted(g, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 100
+
+
+def test_select_of_many_equals_select_of_one():
+    r = np.random.RandomState(2)
+    for top in (5, 300, 10**6, 10**12):
+        values = np.sort(r.randint(0, top, 1000)).astype(np.uint64)
+        x = T.EliasFano.encode(values)
+        places = r.randint(0, 1000, 400)
+        assert x[places].tolist() == values[places].tolist() == [x[int(i)] for i in places]
+
+
+def test_readers_need_the_select_directory(spark, odd_docs):
+    """The reader finds documents by the directory: a wrong one gives wrong places."""
+    import public_tokenizers
+
+    path = shared_dir(spark, "shards")
+    shards = T.write_token_shards(odd_docs, public_tokenizers.path("byte_bpe_50k.json"), 2, path)
+    shard = T.Shard(shards.first().payload)
+    n = len(shard.doc_ids)
+    right = shard.bounds[np.arange(n + 1)].tolist()
+    assert right == shard.bounds.decode().tolist()
+    shard.bounds.directory = shard.bounds.directory + 1
+    assert shard.bounds[np.arange(n + 1)].tolist() != right
