@@ -1,13 +1,18 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line with a word is good or bad. Its features are shape statistics of the line and of
-its neighbours; transitions carry the label along. Lines learn from their document's label.
-Forward-backward marginals, weighted by line length, aggregate into the document's score.
+its neighbours; transitions carry the label along. Only documents have labels: those of lines
+are latent, and a document's label is evidence on each of its lines, which bear another one
+with some probability. Expectation-maximisation starts from lines without transitions; then
+forward-backward with the evidence gives each line and each pair of neighbours its expected
+labels, and the chain is fitted to these. So labels may change within a document, and the
+transitions learn how often they do. Forward-backward marginals, weighted by line length,
+aggregate into the document's score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,9 +49,11 @@ N_FEATURES = 3 * N_OWN + 3  # own, previous, next; no previous, no next, constan
 @dataclass(frozen=True)
 class CrfOptions:
     most_labelled: int = 6_000
-    rounds: int = 150
+    rounds: int = 100  # gradient steps of a fit
+    passes: int = 2  # of expectation and maximisation, after the fit without transitions
     step: float = 0.05
     decay: float = 1e-3
+    stray: float = 0.3  # probability that a line's label is not its document's
 
 
 @dataclass(frozen=True)
@@ -136,26 +143,55 @@ def forward_backward(node: np.ndarray, transitions: np.ndarray, first: np.ndarra
 
 
 def fit_chain(x: np.ndarray, owner: np.ndarray, good: np.ndarray, opt: CrfOptions = CrfOptions()) -> CrfModel:
-    """Maximise the likelihood of the lines' labels (good: one for each line)."""
+    """Learn from the documents' labels (good: one for each line), which are evidence on the
+    lines' latent ones."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     mean[-1], scale[-1] = 0, 1
     x = (x - mean) / scale
     first, count = _order(owner)
-    inner = np.ones(len(x), bool)
-    inner[first] = False
-    to = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (good[to - 1].astype(int), good[to].astype(int)), 1)
     p = np.zeros(x.shape[1] + 4)
+    lines = np.append(np.ones(x.shape[1]), np.zeros(4))  # the transitions stay 0 at first
+    p = _ascend(lambda q: lines * evidence_gradient(x, first, count, good, q, opt.stray)[1], p, len(x), opt)
+    for _ in range(opt.passes):
+        marginal, pairs, _ = forward_backward(_nodes(x, p) + _seen(good, opt.stray), p[-4:].reshape(2, 2), first, count)
+        held = np.append(x.T @ np.exp(marginal[:, 1]), pairs.ravel())
+
+        def gradient(q: np.ndarray, held: np.ndarray = held) -> np.ndarray:
+            free, free_pairs, _ = forward_backward(_nodes(x, q), q[-4:].reshape(2, 2), first, count)
+            return held - np.append(x.T @ np.exp(free[:, 1]), free_pairs.ravel())
+
+        p = _ascend(gradient, p, len(x), opt)
+    return CrfModel(mean, scale, p[:-4], p[-4:].reshape(2, 2))
+
+
+def _ascend(gradient: Callable[[np.ndarray], np.ndarray], p: np.ndarray, n: int, opt: CrfOptions) -> np.ndarray:
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, opt.rounds + 1):
-        node = np.zeros((len(x), 2))
-        node[:, 1] = x @ p[:-4]
-        marginal, pairs, _ = forward_backward(node, p[-4:].reshape(2, 2), first, count)
-        g = np.append(x.T @ (np.exp(marginal[:, 1]) - good), (pairs - seen).ravel()) / len(x) + opt.decay * p
+        g = opt.decay * p - gradient(p) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p -= opt.step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return CrfModel(mean, scale, p[:-4], p[-4:].reshape(2, 2))
+        p = p - opt.step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return p
+
+
+def _nodes(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    node = np.zeros((len(x), 2))
+    node[:, 1] = x @ p[:-4]
+    return node
+
+
+def _seen(good: np.ndarray, stray: float) -> np.ndarray:
+    """Log probability of the document's label given each label of the line."""
+    return np.log(np.where(np.stack([good == 0, good == 1], axis=1), 1 - stray, max(stray, 1e-12)))
+
+
+def evidence_gradient(x: np.ndarray, first: np.ndarray, count: np.ndarray, good: np.ndarray, p: np.ndarray, stray: float) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the evidence and its gradient: expected features given the evidence,
+    less those without it. p: weights and transitions."""
+    transitions, node = p[-4:].reshape(2, 2), _nodes(x, p)
+    free, free_pairs, z = forward_backward(node, transitions, first, count)
+    held, held_pairs, z_held = forward_backward(node + _seen(good, stray), transitions, first, count)
+    grad = np.append(x.T @ (np.exp(held[:, 1]) - np.exp(free[:, 1])), (held_pairs - free_pairs).ravel())
+    return float((z_held - z).sum()), grad
 
 
 def line_marginals(texts: list[bytes], model: CrfModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +207,9 @@ def line_marginals(texts: list[bytes], model: CrfModel) -> tuple[np.ndarray, np.
 
 def fit_quality(docs: DataFrame, labels: DataFrame, opt: CrfOptions = CrfOptions()) -> CrfModel | None:
     """Learn from at most opt.most_labelled documents, those with the smallest hash of the
-    id. None if the labels hold no example."""
+    id. Null labels and null ids are left out, null and empty texts have no line; of labels
+    that repeat an id the least counts. None if that leaves no example, as with empty tables."""
+    small_batches(docs.sparkSession)
     ids = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))

@@ -111,6 +111,24 @@ def vocabulary(sample: DataFrame, opt: ToxicityOptions) -> list[bytes]:
     return [bytes(r["word"]) for r in best.select("word").collect()]
 
 
+def noisy_or_loss(
+    params: np.ndarray, y: np.ndarray, bare: np.ndarray, doc: np.ndarray, sent: np.ndarray, word: np.ndarray, decay: float
+) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the documents' labels y with its decay, and its gradient.
+    params: weights of words and the bias. bare: for each document its sentences without a
+    known word. doc: the document of each other sentence; sent and word: pairs of sentence
+    and word."""
+    w, b = params[:-1], params[-1]
+    z = b + np.bincount(sent, w[word], minlength=len(doc))
+    a = np.bincount(doc, np.logaddexp(0, z), minlength=len(y)) + bare * np.logaddexp(0, b)
+    a = np.maximum(a, 1e-9)  # minus the logarithm of the probability that no sentence is toxic
+    gone = np.exp(-a)
+    loss = np.where(y > 0, -np.log(-np.expm1(-a)), a).sum() / len(y) + 0.5 * decay * (w * w).sum()
+    da = np.where(y > 0, -gone / -np.expm1(-a), 1.0) / len(y)
+    dz = da[doc] / (1 + np.exp(-z))
+    return loss, np.append(np.bincount(word, dz[sent], minlength=len(w)) + decay * w, dz.sum() + (da * bare).sum() / (1 + np.exp(-b)))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     """Learn from at most opt.most_labelled documents. The driver gets their sentences'
     words of the vocabulary only. Null labels and null ids are left out, a null or empty text
@@ -144,14 +162,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = Toxi
     params[-1] = -5.0
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, opt.rounds + 1):
-        w, b = params[:-1], params[-1]
-        z = b + np.bincount(sent, w[word], minlength=len(doc))
-        soft = np.logaddexp(0, z)
-        a = np.bincount(doc, soft, minlength=len(y)) + bare * np.logaddexp(0, b)
-        gone = np.exp(-np.maximum(a, 1e-9))
-        da = np.where(y > 0, -gone / (1 - gone), 1.0) / len(y)
-        dz = da[doc] / (1 + np.exp(-z))
-        g = np.append(np.bincount(word, dz[sent], minlength=len(w)) + opt.decay * w, dz.sum() + (da * bare).sum() / (1 + np.exp(-b)))
+        g = noisy_or_loss(params, y, bare, doc, sent, word, opt.decay)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params -= opt.step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return ToxicityModel({x: float(k) for x, k in zip(words, params, strict=False) if abs(k) > 1e-3}, float(params[-1]))

@@ -138,3 +138,135 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert C.quality(no_docs, m).count() == 0
     none = C.fit_quality(no_docs, spark.createDataFrame([], "doc_id BIGINT, quality INT"))
     assert none is None and {r.score for r in C.quality(odd_docs, none).collect()} == {0.0}
+
+
+def numeric(f, p, step=1e-5):
+    return np.array([(f(p + step * e) - f(p - step * e)) / (2 * step) for e in np.eye(len(p))])
+
+
+def test_noisy_or_gradient_and_loss_by_hand():
+    r = np.random.RandomState(1)
+    docs = [([[0, 1], [2]], 1, 1), ([[1]], 0, 0), ([], 2, 0), ([[0, 2], [0], [1, 2]], 0, 1)]  # sentences' words, other sentences, label
+    y, bare = np.array([d[2] for d in docs], float), np.array([d[1] for d in docs], float)
+    doc = np.array([i for i, d in enumerate(docs) for _ in d[0]])
+    flat = [s for d in docs for s in d[0]]
+    sent, word = np.array([i for i, s in enumerate(flat) for _ in s]), np.array([w for s in flat for w in s])
+
+    def by_hand(p):
+        total = 0.0
+        for sentences, others, label in docs:
+            none = 1.0
+            for s in [*sentences, *[[]] * others]:
+                none *= 1 - 1 / (1 + np.exp(-(p[-1] + sum(p[w] for w in s))))
+            total -= np.log(1 - none if label else none)
+        return total / len(docs) + 0.05 * (p[:-1] ** 2).sum()
+
+    p = r.randn(4)
+    loss, g = T.noisy_or_loss(p, y, bare, doc, sent, word, 0.1)
+    assert np.isclose(loss, by_hand(p)) and np.allclose(g, numeric(by_hand, p), atol=1e-6)
+
+
+def test_evidence_gradient_equals_enumeration():
+    r = np.random.RandomState(4)
+    owner, good = np.array([0, 0, 0, 1, 2, 2]), np.array([1, 1, 1, 0, 0, 0.0])
+    x, p, stray = r.randn(6, 3), r.randn(7), 0.2
+    first, count = C._order(owner)
+
+    def by_hand(p):
+        trans, total = p[-4:].reshape(2, 2), 0.0
+        for d in range(3):
+            lines = np.flatnonzero(owner == d)
+            held = free = 0.0
+            for y in itertools.product((0, 1), repeat=len(lines)):
+                w = np.exp(sum(k * (x[i] @ p[:-4]) for i, k in zip(lines, y, strict=True)) + sum(trans[a, b] for a, b in itertools.pairwise(y)))
+                free += w
+                held += w * np.prod([1 - stray if k == good[i] else stray for i, k in zip(lines, y, strict=True)])
+            total += np.log(held / free)
+        return total
+
+    value, g = C.evidence_gradient(x, first, count, good, p, stray)
+    assert np.isclose(value, by_hand(p)) and np.allclose(g, numeric(by_hand, p), atol=1e-5)
+
+
+def test_lines_may_differ_from_their_document():
+    """Bad documents hold some lines like those of good ones: these are found good, and the
+    chain learns that labels change."""
+    r = np.random.RandomState(5)
+    x, owner, good, truth = [], [], [], []
+    for d in range(200):
+        bad = d % 2
+        for k in range(10):
+            fine = not bad or k < 2
+            x.append([(2.0 if fine else -2.0) + 0.5 * r.randn(), 1.0])
+            owner.append(d)
+            good.append(float(not bad))
+            truth.append(fine)
+    x, owner, good, truth = np.array(x), np.array(owner), np.array(good), np.array(truth)
+    m = C.fit_chain(x, owner, good)
+    node = np.zeros((len(x), 2))
+    node[:, 1] = (x - m.mean) / m.scale @ m.weights
+    first, count = C._order(owner)
+    marginal = np.exp(C.forward_backward(node, m.transitions, first, count)[0][:, 1])
+    assert ((marginal > 0.5) == truth).mean() > 0.98
+    assert marginal[truth & (good == 0)].mean() > 0.5
+
+
+def languages_by_hand(text, m, opt):
+    """Words' likelihoods by trigrams, expectation-maximisation and the penalised choice, in loops."""
+    raw = b" " + bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in text) + b" "
+    words, at = [], None
+    for i in range(1, len(raw) - 1):
+        if raw[i] == 32:
+            at = None
+            continue
+        h = (raw[i - 1] * 0x9E3779B1 + raw[i] * 0x85EBCA77 + raw[i + 1] * 0xC2B2AE3D) % 2**32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % 2**32
+        h ^= h >> 13
+        if at is None:
+            words.append(np.zeros(len(m.languages)))
+            at = True
+        words[-1] = words[-1] + m.log_p[h % L.BUCKETS]
+    if not words:
+        return np.zeros(len(m.languages))
+    q = [np.maximum(np.exp(w - w.max()), opt.floor) for w in words]
+
+    def em(pi, rounds):
+        for _ in range(rounds):
+            pi = sum(pi * w / (pi * w).sum() for w in q) / len(q)
+        return pi
+
+    n = len(m.languages)
+    pi = em(np.full(n, 1 / n), opt.rounds)
+    order = sorted(range(n), key=lambda k: -pi[k])
+    best, chosen = -np.inf, None
+    for k in range(1, n + 1):
+        p = np.array([max(pi[j], 1e-9) if j in order[:k] else 0.0 for j in range(n)])
+        p = p / p.sum()
+        if k > 1:
+            p = em(p, opt.refits)
+        fit = sum(np.log((p * w).sum()) for w in q) - opt.penalty * k * np.log(len(q) + 1)
+        if fit > best:
+            best, chosen = fit, p
+    return chosen
+
+
+def test_languages_equal_plain_loops():
+    r = np.random.RandomState(6)
+    m, opt = model(), L.MixtureOptions()
+    alphabet = b"abcdefghij  \n\tXYZ\xc3\xa9"
+    texts = [bytes(r.choice(list(alphabet), n)) for n in (0, 1, 5, 40, 200, 700)] + [b"  ", b"a", b"AbC dEf " * 30]
+    for t, p in zip(texts, L.proportions(texts, m, opt), strict=True):
+        assert np.allclose(p, languages_by_hand(t, m, opt), atol=2e-3)
+
+
+def test_learned_languages_equal_plain_counts(spark):
+    rows = [(1, "ab AB", "x"), (2, "abc", "y"), (3, None, "x"), (4, "zz", None), (5, "ba", "x")]
+    m = L.fit_languages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), F.col("doc_id") != 5)
+    counts = {"x": np.zeros(L.BUCKETS), "y": np.zeros(L.BUCKETS)}
+    for _, t, lang in rows[:2]:
+        counts[lang] += np.bincount(L._trigrams(L._joined([t.encode()])[0])[0], minlength=L.BUCKETS)
+    assert m.languages == ("x", "y")
+    for k, lang in enumerate(m.languages):
+        want = counts[lang] + 0.5
+        assert np.allclose(m.log_p[:, k], np.log(want / want.sum()), atol=1e-5)

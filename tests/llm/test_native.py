@@ -118,6 +118,34 @@ def test_rules_keep_everything_without_signal():
     assert Q.learn_rules({"n_words": r.rand(600)}, r.rand(600) < 0.1, np.arange(600) % 3 != 0) == []
 
 
+def test_one_rule_equals_trying_every_condition():
+    """Growing picks the condition of greatest gain of all; pruning drops what does not help."""
+    r = np.random.RandomState(7)
+    x = {k: r.randint(0, 12, 120).astype(float) for k in ("a", "b")}
+    bad = (x["a"] > 7) & (x["b"] < 6) | (r.rand(120) < 0.05)
+
+    def gain(hit, live):
+        p, n = (live & bad).sum(), (live & ~bad).sum()
+        p1, n1 = (hit & bad).sum(), (hit & ~bad).sum()
+        return p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p / (p + n))) if p1 else -1.0
+
+    live, rule = np.ones(120, bool), Q.grow(x, bad)
+    for c in rule:
+        values = {k: np.unique(v[live]) for k, v in x.items()}
+        tried = [gain(live & (v >= t if up else v < t), live) for k, v in x.items() for t in (values[k][1:] + values[k][:-1]) / 2 for up in (True, False)]
+        assert np.isclose(gain(live & c.holds(x), live), max(tried)) and max(tried) > 0
+        live = live & c.holds(x)
+    assert len(rule) == 4 or not (live & ~bad).any() or max(tried) <= 1e-9 or rule
+
+    def worth(part):
+        hit = np.all([c.holds(x) for c in part], axis=0)
+        return ((hit & bad).sum() - (hit & ~bad).sum()) / max(1, hit.sum()) if hit.any() else -1.0
+
+    cut = Q.prune(rule, x, bad)
+    assert cut == rule[: len(cut)] and all(worth(rule[:k]) >= worth(rule[: k + 1]) for k in range(len(cut), len(rule)))
+    assert len(cut) == 1 or worth(cut[:-1]) < worth(cut)
+
+
 def test_keep_good_keeps_columns(spark, odd_docs, no_docs):
     rule = [(Q.Condition("capitals_per_char", True, 0.5),)]
     kept = Q.keep_good(odd_docs, rule)
