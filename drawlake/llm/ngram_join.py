@@ -13,12 +13,14 @@ elements at least one is equal in both sets. Equal parts have equal signatures.
 are frequent in the corpus are left out of the parts, so that a passage of many documents does
 not tie them together; a set that then has too few parts with elements is signed with all its
 elements as well, and one that has too few even so with its leading elements one by one. Which
-elements are left out is the same for all documents, so this too loses no link.
+elements are left out is the same for all documents, so this too loses no link. A set with f
+parts shares at least f - d signatures with each set linked to it, so a set whose signatures are
+shared less often, with whatever sets, has no link and goes.
 
 Documents with equal sets are one class throughout. Classes that share signatures are compared
-in two steps. First a few rounds put each class, once, into the block of one of its shared
-signatures; links found there join near copies into components, and in later rounds one class
-speaks for all of its component that share a block. Then every signature that still ties
+in two steps. First a few rounds put the classes of frequent signatures, once each, into the
+block of one of these; links found there join near copies into components, and in later rounds
+one class speaks for all of its component that share a block. Then every signature that still ties
 different components is followed: the classes that share such signatures, in chains, are a
 cluster and all its pairs of different components are compared. A cluster above the size of a
 block is cut into chunks and each pair of chunks is a block, which is quadratic in what the
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from drawlake.llm.common import raw_texts, small_batches, table, written
 from drawlake.llm.components import components
+from drawlake.storage import drop_written
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 FREQUENT = np.uint64(1 << 63)  # marks the key of an element that is frequent in the corpus
@@ -54,7 +57,8 @@ class JoinOptions:
     least: int = 80  # similarity, in hundredths
     block: int = 2_000_000  # elements of the sets that one task compares
     class_ratio: float = 0.75  # sizes of one size class, least over most
-    rounds: int = 2  # that put each class into one block, before all signatures are followed
+    rounds: int = 2  # that put classes into one block each, before all signatures are followed
+    crowd: int = 8  # classes of such a block, at least
 
     def links(self, inter: int, union: int) -> bool:
         return 100 * inter >= self.least * union
@@ -159,48 +163,75 @@ def _part_signatures(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return sig[count > 0]
 
 
-def signatures(keys: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Signatures of a set, for its size classes. If either of two linked sets has more parts
-    with rare elements than the pair has differences, they share the signature of such a part.
-    Otherwise both sign all their elements too, and if that gives too few parts as well, as
-    for very small sets, each of their leading elements: these hold a common one."""
-    out = []
+KINDS = np.uint64(63)  # the trailing bits of a signature name its size class
+
+
+def signatures(keys: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, list[int], list[int]]:
+    """Signatures of a set, for its size classes: the signatures, the classes by the trailing
+    bits, and for each the least number that the set shares with a set linked to it. If either
+    of two linked sets has more parts with rare elements than the pair has differences, they
+    share the signature of such a part. Otherwise both sign all their elements too, and if
+    that gives too few parts as well, as for very small sets, each of their leading elements:
+    these hold a common one."""
+    out, kinds, least = [], [], []
     n_rare = int(np.searchsorted(keys, FREQUENT))
     rare, every = keys[:n_rare], None
     for c in classes.keys(len(keys)):
         k, apart = classes.parts(c)
-        out.append(_part_signatures(rare, k, 3 * c + 1))
-        if len(out[-1]) <= apart:
+        sigs = _part_signatures(rare, k, 3 * c + 1)
+        kinds.append(c & int(KINDS))
+        least.append(max(1, len(sigs) - apart))
+        if len(sigs) <= apart:
             every = np.sort(keys & ~FREQUENT) if every is None else every
-            out.append(_part_signatures(every, k, 3 * c + 2))
-            if len(out[-1]) <= apart:
-                out.append(_mixed(keys[: classes.opt.leading(len(keys))] * _K[2] + np.array([3 * c + 3], np.uint64) * _K[1]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            more = _part_signatures(every, k, 3 * c + 2)
+            sigs = np.append(sigs, more)
+            if len(more) <= apart:
+                sigs = np.append(sigs, _mixed(keys[: classes.opt.leading(len(keys))] * _K[2] + np.array([3 * c + 3], np.uint64) * _K[1]))
+        out.append(sigs & ~KINDS | np.uint64(kinds[-1]))
+    return np.concatenate(out) if out else np.empty(0, np.uint64), kinds, least
 
 
 def frequent_elements(docs: DataFrame, opt: JoinOptions) -> Frequent:
     """Counts the documents of all elements in buckets of their hash and marks the buckets
     that stand well above the middle one, at most one in sixteen of them. There are 2^16 to
-    2^22 buckets, by the number of documents; the driver gets a number for each of them."""
-    bits = min(22, max(16, math.ceil(math.log2(docs.count() + 1)) + 2))
+    2^22 buckets, growing with the cube root of the number of documents, so that a task's
+    counts stay small beside its texts; the driver gets a number for each bucket."""
+    n_docs = docs.count()
+    bits = min(22, 16 + max(0, math.ceil((math.log2(n_docs + 1) - 16) / 3)))
     shift = np.uint64(64 - bits)
+    slices, parts = 16, max(1, math.isqrt(n_docs // 5000))
+    width = (1 << bits) // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int32)
+        total = np.zeros(1 << bits, "<i8")
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 h = (shingle_set(raw, opt.words) >> shift).astype(np.int64)
                 if len(h):  # sorted, so that equal buckets are next to one another
                     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                    total[h[first]] += np.diff(np.append(first, len(h))).astype(np.int32)
-        at = np.flatnonzero(total)
-        for begin in range(0, len(at), 1 << 16):
-            part = at[begin : begin + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
+                    total[h[first]] += np.diff(np.append(first, len(h)))
+        yield packed({i: total[i * width : (i + 1) * width] for i in range(slices)})
+
+    def packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
-    sums = docs.select("text").mapInArrow(count, "bucket INT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(counts.as_py(), "<i8")
+                sums[i] = sums[i] + x if i in sums else x
+        if sums:
+            yield packed(sums)
+
+    schema = "slice INT, counts BINARY"
+    counts = docs.select("text").mapInArrow(count, schema)
+    # Vectors of counts are added up in two steps, of which each holds one vector at a time.
+    counts = counts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).repartition("slice", "part").mapInArrow(add, schema)
+    counts = counts.repartition("slice").mapInArrow(add, schema).toArrow()
     total = np.zeros(1 << bits)
-    total[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    for i, x in zip(counts.column("slice").to_pylist(), counts.column("counts").to_pylist(), strict=True):
+        total[i * width : (i + 1) * width] += np.frombuffer(x, "<i8")
     middle = float(np.median(total))
     return Frequent(total > max(middle + 8 * middle**0.5 + 16, float(np.quantile(total, 15 / 16))))
 
@@ -212,33 +243,38 @@ def set_identity(h: np.ndarray) -> tuple[int, int]:
 
 
 def signed_sets(docs: DataFrame, opt: JoinOptions, frequent: Broadcast) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (identity of the set), sigs, text_hash. Of rows with
-    equal sets in one batch only the first one carries signatures."""
+    """doc_id, n (set size), h1 and h2 (identity of the set), text_hash, sigs, kinds and least
+    (see signatures). Of rows with equal sets in one batch only the first one carries
+    signatures."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, marks = SizeClasses(opt), frequent.value
         none = np.empty(0, np.uint64)
         for batch in batches:
-            n, ids, sigs, seen = [], [], [], set()
+            n, ids, seen = [], [], set()
+            sigs, kinds, least = [], [], []
             for named, raw in zip(batch.column(0).is_valid().to_pylist(), raw_texts(batch.column(1)), strict=True):
                 h = shingle_set(raw, opt.words)
                 n.append(len(h))
                 ids.append(set_identity(h))
-                if not named or not len(h) or ids[-1] in seen:
-                    sigs.append(none)
-                    continue
-                seen.add(ids[-1])
-                sigs.append(signatures(marks.keys(h), classes))
+                once = named and len(h) and ids[-1] not in seen
+                found = signatures(marks.keys(h), classes) if once else (none, [], [])
+                seen.add(ids[-1]) if once else None
+                for column, values in zip((sigs, kinds, least), found, strict=True):
+                    column.append(values)
             offsets = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
             values = pa.array(np.concatenate(sigs).view(np.int64) if sigs else none.view(np.int64))
             pair = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), values), batch.column(2)],
-                names=["doc_id", "n", "h1", "h2", "sigs", "text_hash"],
-            )
+                [
+                    batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), batch.column(2),
+                    pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(kinds, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "n", "h1", "h2", "text_hash", "sigs", "kinds", "least"],
+            )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, sigs ARRAY<BIGINT>, text_hash BIGINT")
+    return rows.mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, text_hash BIGINT, sigs ARRAY<BIGINT>, kinds ARRAY<INT>, least ARRAY<INT>")
 
 
 class PrefixTree:
@@ -398,6 +434,17 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(shared, "sig BIGINT, h1 BIGINT")
 
 
+def likely(shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """The rows of shared signatures of sets that share enough of them to be linked. needs: h1,
+    kind, least."""
+    kind = F.col("sig").bitwiseAND(F.lit(int(KINDS))).cast("int").alias("kind")
+    rows = shared.select("sig", "h1", kind)
+    enough = rows.groupBy("h1", "kind").agg(F.count(F.lit(1)).alias("m")).join(needs, ["h1", "kind"]).filter("m >= least").select("h1", "kind")
+    rows = rows.join(enough, ["h1", "kind"])
+    ties = rows.groupBy("sig").agg(F.min("h1").alias("_a"), F.max("h1").alias("_b")).filter("_a != _b").select("sig")
+    return rows.join(ties, "sig").select("sig", "h1")
+
+
 def join_blocks(blocks: DataFrame, opt: JoinOptions, frequent: Broadcast, spanning: bool) -> DataFrame:
     """Links found by the trees of all blocks: u, v (names of sets), inter, total. blocks:
     block, i, j (chunks), h1, comp (component so far), chunk, text. Sets of the block's two
@@ -433,13 +480,20 @@ class _Candidates:
         self.opt, self.docs = opt, docs
         # 2^22 marks at most.
         self.frequent = spark.sparkContext.broadcast(frequent_elements(docs, opt))
-        self.signed = written(signed_sets(docs, opt, self.frequent), "signed-sets")
+        signed = written(signed_sets(docs, opt, self.frequent), "signed-sets")
+        self.signed = written(signed.select("doc_id", "n", "h1", "h2", "text_hash"), "sets")
         named = self.signed.filter("n > 0 AND doc_id IS NOT NULL")
         self.classes = written(
             named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"))
             .select("h1", "h2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash")), "set-classes"
         )
-        self.shared = written(shared_signatures(self.signed), "shared-signatures")
+        needs = signed.select("h1", F.explode(F.arrays_zip("kinds", "least")).alias("x")).groupBy("h1", F.col("x.kinds").alias("kind")).agg(F.min("x.least").alias("least"))
+        needs = written(needs, "signature-needs")
+        self.shared = written(shared_signatures(signed), "shared-signatures")
+        drop_written(signed)
+        for _ in range(opt.rounds):
+            before, self.shared = self.shared, written(likely(self.shared, needs), "shared-signatures")
+            drop_written(before)
         # For each round, the least of a class's shared signatures in an order of its own.
         picks = [F.min(F.xxhash64("sig", F.lit(r))).alias(f"pick{r}") for r in range(opt.rounds)]
         tied = self.shared.groupBy("h1").agg(F.count(F.lit(1)).alias("_sigs"), *picks)
@@ -482,7 +536,8 @@ class _Candidates:
                 # One class speaks for those of its component that are in the block.
                 rows = rows.join(comps, "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
                 rows = rows.groupBy("block", "comp").agg(F.min(F.struct("h1", "n")).alias("_one")).select("block", "comp", "_one.h1", "_one.n")
-            several = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("block")
+            # Small groups are compared at once with their clusters, where each class comes once too.
+            several = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") >= self.opt.crowd).select("block")
             rows = written(_chunked(rows.join(several, "block"), self.opt, False), "block-members")
             new = written(self.links(rows, True).select("u", "v"), "links")
             links = new if links is None else links.unionByName(new)
