@@ -7,11 +7,11 @@ give the same rows; it is written from the definition, not from the Spark plan.
 from __future__ import annotations
 
 
-from drawlake.plans import more, primitives, rows, shapes, tables
+from drawlake.plans import components, more, primitives, rows, shapes, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (rows, shapes, tables, more, primitives):
+for part in (rows, shapes, tables, more, primitives, components):
     for name, (query, sql) in part.ENTRIES.items():
         QUERIES[name] = query
         if sql:
