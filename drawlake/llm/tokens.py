@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import compress, filterfalse, pairwise
+from itertools import compress, pairwise
 
 import numpy as np
 
@@ -156,17 +156,17 @@ class PieceEncoder:
             self.cache.clear()
         out: list[bytes | None] = [None] * len(texts)
         cut: list[list[bytes]] = [[]] * len(texts)
-        known = self.cache.__contains__
-        whole, fresh, specials = [], set(), False
+        whole, seen, specials = [], set(), False
         for i, raw in enumerate(texts):
             if self.mode == "whole" or self.mode == "byte" and self._unsafe(raw):
                 whole.append(i)
                 continue
             specials = specials or b"<|" in raw
             cut[i] = raw.split() if self.mode == "word" else _BYTE_PIECE.findall(raw)
-            fresh.update(filterfalse(known, cut[i]))
+            seen.update(cut[i])
         for i, ids in zip(whole, self._library([texts[i].decode("utf8") for i in whole]), strict=True):
             out[i] = ids
+        fresh = seen.difference(self.cache)
         long = {p for p in fresh if len(p) > 256}  # not worth keeping
         self._miss(fresh - long if long else fresh, specials)
         get = self.cache.__getitem__
