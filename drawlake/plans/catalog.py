@@ -7,11 +7,11 @@ give the same rows; it is written from the definition, not from the Spark plan.
 from __future__ import annotations
 
 
-from drawlake.plans import blocks, cells, components, more, primitives, rows, shapes, tables, views
+from drawlake.plans import blocks, cells, components, grids, more, primitives, rows, shapes, tables, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (rows, shapes, tables, more, primitives, components, views, blocks, cells):
+for part in (rows, shapes, tables, more, primitives, components, views, blocks, cells, grids):
     for name, (query, sql) in part.ENTRIES.items():
         QUERIES[name] = query
         if sql:
