@@ -60,12 +60,16 @@ def trace_loops(lines: list[tuple[int, float, float, float, float]], tolerance:
     unused segment in order starts a walk that takes the first unused neighbour. Returns the
     segment numbers and the enclosed area of each loop."""
     nodes: list[tuple[float, float]] = []
+    cells: dict[tuple[int, int], list[int]] = {}  # nodes by cell of the tolerance
 
     def node(x: float, y: float) -> int:
-        for i, (a, b) in enumerate(nodes):
-            if (a - x) ** 2 + (b - y) ** 2 <= tolerance**2:
-                return i
+        cx, cy = int(x // tolerance), int(y // tolerance)
+        near = (i for dx in (-1, 0, 1) for dy in (-1, 0, 1) for i in cells.get((cx + dx, cy + dy), ()))
+        first = min((i for i in near if (nodes[i][0] - x) ** 2 + (nodes[i][1] - y) ** 2 <= tolerance**2), default=None)
+        if first is not None:
+            return first
         nodes.append((x, y))
+        cells.setdefault((cx, cy), []).append(len(nodes) - 1)
         return len(nodes) - 1
 
     ends = [(node(x0, y0), node(x1, y1)) for _, x0, y0, x1, y1 in lines]
@@ -117,17 +121,52 @@ def greedy_distinct(rows: DataFrame, most_overlap: float = 0.75) -> DataFrame:
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "handle"], ascending=[False, True], kind="stable")
-        kept: list[tuple] = []
-        for r in g.itertuples(index=False):
-            for k in kept:
-                w = min(r.max_x, k.max_x) - max(r.min_x, k.min_x)
-                h = min(r.max_y, k.max_y) - max(r.min_y, k.min_y)
-                common = max(0.0, w) * max(0.0, h)
-                joint = (r.max_x - r.min_x) * (r.max_y - r.min_y) + (k.max_x - k.min_x) * (k.max_y - k.min_y) - common
-                if joint > 0 and common / joint >= most_overlap:
-                    break
-            else:
-                kept.append(r)
-        return pd.DataFrame({"sheet_id": int(key[0]), "handle": [int(k.handle) for k in kept]})
+        x0, y0, x1, y1 = (g[c].to_numpy(float) for c in ("min_x", "min_y", "max_x", "max_y"))
+        area = (x1 - x0) * (y1 - y0)
+        kept = np.empty(0, np.int64)
+        for i in range(len(g)):
+            w = np.minimum(x1[i], x1[kept]) - np.maximum(x0[i], x0[kept])
+            h = np.minimum(y1[i], y1[kept]) - np.maximum(y0[i], y0[kept])
+            common = np.maximum(0.0, w) * np.maximum(0.0, h)
+            joint = area[i] + area[kept] - common
+            if not ((joint > 0) & (common >= most_overlap * joint)).any():
+                kept = np.append(kept, i)
+        return pd.DataFrame({"sheet_id": int(key[0]), "handle": g["handle"].to_numpy()[kept]})
 
     return rows.select("sheet_id", "handle", "score", "min_x", "min_y", "max_x", "max_y").groupBy("sheet_id").applyInPandas(run, "sheet_id BIGINT, handle BIGINT")
+
+
+def lloyd(x: np.ndarray, k: int, rounds: int = 50, seed: int = 42) -> np.ndarray:
+    """Cluster of each row: k-means from seeds that are far apart, until nothing moves. Each
+    row goes to the nearest centre, the first one of equals."""
+    k = max(1, min(k, len(np.unique(x, axis=0))))
+    r = np.random.RandomState(seed)
+    centres = x[[r.randint(len(x))]]
+    while len(centres) < k:  # the row that is farthest from all centres
+        far = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        centres = np.vstack([centres, x[int(far.argmax())]])
+    label = np.full(len(x), -1)
+    for _ in range(rounds):
+        now = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        if (now == label).all():
+            break
+        label = now
+        centres = np.array([x[label == j].mean(axis=0) if (label == j).any() else centres[j] for j in range(k)])
+    return label
+
+
+def sheet_clusters(e: DataFrame) -> DataFrame:
+    """sheet_id, handle, cluster: k-means on centre and size, each scaled to 0 to 1 in its sheet,
+    with as many clusters as the sheet has texts, or half its polylines if it has none. A sheet
+    is a model of its own, so sheets run side by side, one to a task."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("handle")
+        x = g[["ax", "ay", "w", "h"]].to_numpy(float)
+        span = x.max(axis=0) - x.min(axis=0)
+        x = (x - x.min(axis=0)) / np.where(span > 0, span, 1.0)
+        k = int(g["kind"].isin(["Text", "MText"]).sum()) or int((g["kind"] == "Polyline").sum()) // 2
+        return pd.DataFrame({"sheet_id": key[0], "handle": g["handle"].to_numpy(), "cluster": lloyd(x, k)})
+
+    rows = e.filter("min_x IS NOT NULL").select("sheet_id", "handle", "kind", "ax", "ay", (F.col("max_x") - F.col("min_x")).alias("w"), (F.col("max_y") - F.col("min_y")).alias("h"))
+    return rows.groupBy("sheet_id").applyInPandas(run, "sheet_id BIGINT, handle BIGINT, cluster INT")

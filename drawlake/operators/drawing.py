@@ -73,32 +73,46 @@ def simple_regions(e: DataFrame) -> DataFrame:
 # --- entity to region ----------------------------------------------------------------------
 
 
+def _regions_of(e: DataFrame, regions: DataFrame) -> DataFrame:
+    """Adds the few regions of each sheet as one array, so that picking one needs no further shuffle."""
+    columns = ("region_id", "region_kind", "min_x", "min_y", "max_x", "max_y", "confidence")
+    packed = regions.groupBy("sheet_id").agg(F.collect_list(F.struct(*columns)).alias("_regions"))
+    return e.join(packed, "sheet_id", "left")
+
+
+def _box_of(r: Column) -> B.Box:
+    return B.Box(*[r[c] for c in B.Box._fields])
+
+
 def best_region(e: DataFrame, regions: DataFrame, near: float = 12.0) -> DataFrame:
     """For each entity the region that holds its anchor (smallest first), else the one that
     it overlaps most, else the nearest within `near`. Ties go to area, confidence, region_id."""
-    r = prefixed(regions, "r_")
-    b, rb = B.box(), B.box("r_")
-    inside = B.contains_point(rb, F.col("ax"), F.col("ay"), 1.0)
-    overlap, gap = B.overlap_of_smaller(b, rb), B.box_distance(b, rb)
-    tier = F.when(inside, 0).when(overlap > 0, 1).when(gap <= near, 2)
-    key = F.when(tier == 0, F.lit(0.0)).when(tier == 1, -overlap).otherwise(gap)
-    pairs = e.join(r, "sheet_id").withColumn("tier", tier).filter(F.col("tier").isNotNull()).withColumn("_key", key).withColumn("_area", rb.area)
-    order = [F.col("tier"), F.col("_key"), F.col("_area"), F.col("r_confidence").desc(), F.col("r_region_id")]
-    chosen = best_per(pairs, ["sheet_id", "handle"], order).select("sheet_id", "handle", F.col("r_region_id").alias("region_id"), F.col("r_region_kind").alias("region_kind"), F.col("tier").cast("int").alias("tier"))
-    return e.join(chosen, ["sheet_id", "handle"], "left")
+    b = B.box()
+
+    def rated(r: Column) -> Column:
+        rb = _box_of(r)
+        overlap, gap = B.overlap_of_smaller(b, rb), B.box_distance(b, rb)
+        tier = F.when(B.contains_point(rb, F.col("ax"), F.col("ay"), 1.0), 0).when(overlap > 0, 1).when(gap <= near, 2)
+        key = F.when(tier == 0, F.lit(0.0)).when(tier == 1, -overlap).otherwise(gap)
+        return F.struct(tier.alias("tier"), key.alias("key"), rb.area.alias("area"), (-r["confidence"]).alias("doubt"), r["region_id"].alias("region_id"), r["region_kind"].alias("region_kind"))
+
+    best = F.array_min(F.filter(F.transform("_regions", rated), lambda x: x["tier"].isNotNull()))
+    return _regions_of(e, regions).withColumn("_best", best).select(*e.columns, "_best.region_id", "_best.region_kind", F.col("_best.tier").cast("int").alias("tier"))
 
 
 def scored_region(e: DataFrame, regions: DataFrame) -> DataFrame:
     """For each entity the region with 0.65 for its anchor and 0.35 for its centre inside, if
     at least 0.15. Only regions that it touches count."""
-    r = prefixed(regions, "r_")
-    rb = B.box("r_")
     b = B.box()
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    score = flag(B.contains_point(rb, F.col("ax"), F.col("ay"))) * 0.65 + flag(B.contains_point(rb, b.center_x, b.center_y)) * 0.35
-    pairs = e.join(r, "sheet_id").filter(B.intersects(b, rb)).withColumn("score", score).filter("score >= 0.15")
-    chosen = best_per(pairs, ["sheet_id", "handle"], [F.col("score").desc(), F.col("r_region_id")])
-    return e.join(chosen.select("sheet_id", "handle", F.col("r_region_id").alias("region_id"), F.col("r_region_kind").alias("region_kind"), "score"), ["sheet_id", "handle"], "left")
+
+    def rated(r: Column) -> Column:
+        rb = _box_of(r)
+        score = flag(B.contains_point(rb, F.col("ax"), F.col("ay"))) * 0.65 + flag(B.contains_point(rb, b.center_x, b.center_y)) * 0.35
+        return F.struct((-F.when(B.intersects(b, rb), score).otherwise(0.0)).alias("less"), r["region_id"].alias("region_id"), r["region_kind"].alias("region_kind"))
+
+    best = F.array_min(F.filter(F.transform("_regions", rated), lambda x: -x["less"] >= 0.15))
+    return _regions_of(e, regions).withColumn("_best", best).select(*e.columns, "_best.region_id", "_best.region_kind", (-F.col("_best.less")).alias("score"))
 
 
 def is_table_border(kind: Column) -> Column:

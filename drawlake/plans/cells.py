@@ -126,6 +126,20 @@ def logical_cells(d):
     return C.logical_cells(lines(d))
 
 
+@entry("cut_cells", f"{CELLS_SQL}, nr AS (SELECT *, count(*) OVER (PARTITION BY sheet_id, axis) AS n, nxt = max(nxt) OVER (PARTITION BY sheet_id, axis) AS is_last FROM nx WHERE nxt IS NOT NULL) SELECT d.handle, x.place AS col, CAST(y.n - 1 - y.place AS INTEGER) AS row FROM d JOIN nr x ON x.sheet_id = d.sheet_id AND x.axis = 'x' AND d.x >= x.cut AND (d.x < x.nxt OR (x.is_last AND d.x = x.nxt)) JOIN nr y ON y.sheet_id = d.sheet_id AND y.axis = 'y' AND d.y >= y.cut AND (d.y < y.nxt OR (y.is_last AND d.y = y.nxt)) WHERE text IS NOT NULL")
+def cut_cells(d):
+    """The cell of each text between the cuts of its sheet: half-open, the last one closed, rows
+    counted from the top. The few cuts of a sheet travel as two sorted arrays."""
+    cuts = C.line_cuts(lines(d))
+    some = lambda axis: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("axis") == axis, F.array("cut", "next"))))))
+    packed = cuts.groupBy("sheet_id").agg(some("x").alias("xs"), some("y").alias("ys"))
+    # How many cuts are not above a place gives its cell; the last cut belongs to the last cell.
+    at = lambda v, c: F.least(F.size(F.filter(c, lambda k: k <= F.col(v))), F.size(c) - 1) - 1
+    inside = lambda v, c: (F.col(v) >= F.get(F.col(c), F.lit(0))) & (F.col(v) <= F.get(F.col(c), F.size(c) - 1))
+    x = d.filter("text IS NOT NULL").join(packed, "sheet_id").filter(inside("x", "xs") & inside("y", "ys"))
+    return x.select("handle", at("x", F.col("xs")).alias("col"), (F.size("ys") - 2 - at("y", F.col("ys"))).alias("row"))
+
+
 def text_points(d):
     return d.filter("text IS NOT NULL").select("sheet_id", "handle", F.col("x").alias("px"), F.col("y").alias("py"))
 

@@ -54,7 +54,7 @@ def end_links(e):
     return links.select("a_handle", "a_seq", "b_handle", "b_seq", F.round("distance", 6).alias("distance"))
 
 
-@entry("closed_loops", ", p AS (SELECT sheet_id, (max_x - min_x) * (max_y - min_y) AS area FROM e WHERE kind = 'Polyline' AND handle % 3 = 0 AND max_x > min_x + 1 AND max_y > min_y + 1) SELECT sheet_id, count(*) AS loops, round(sum(area), 6) AS area FROM p GROUP BY sheet_id")
+@entry("closed_loops", ", p AS (SELECT sheet_id, (max_x - min_x) * (max_y - min_y) AS area FROM e WHERE kind = 'Polyline' AND max_x > min_x + 1 AND max_y > min_y + 1) SELECT sheet_id, count(*) AS loops, round(sum(area), 6) AS area FROM p GROUP BY sheet_id")
 def closed_loops(e):
     """Outlines of polylines, which lie apart, each close a loop."""
     outline = C.segments(e.filter("kind = 'Polyline' AND max_x > min_x + 1 AND max_y > min_y + 1"))
@@ -137,14 +137,9 @@ def dense_cores(e):
 
 @entry("kmeans_boxes", None)
 def kmeans_boxes(e):
-    """Centres and sizes, scaled to the unit range, in twelve k-means clusters."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-
-    rows = e.select("handle", "ax", "ay", (F.col("max_x") - F.col("min_x")).alias("w"), (F.col("max_y") - F.col("min_y")).alias("h"))
-    vectors = VectorAssembler(inputCols=["ax", "ay", "w", "h"], outputCol="raw").transform(rows)
-    scaled = MinMaxScaler(inputCol="raw", outputCol="features").fit(vectors).transform(vectors)
-    return KMeans(k=12, seed=42, maxIter=20).fit(scaled).transform(scaled).select("handle", F.col("prediction").alias("cluster"))
+    """Centres and sizes of each sheet, scaled to its range, in as many clusters as it has texts.
+    Iteration has no SQL; tested against its definition."""
+    return C.sheet_clusters(e)
 
 
 @entry("robust_bounds", ", k AS (SELECT e.*, s.* EXCLUDE (sheet_id), max_x - min_x <= 1e-9 AND max_y - min_y <= 1e-9 AND depth > 0 AS point FROM e JOIN s USING (sheet_id)) SELECT sheet_id, min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM k WHERE NOT point GROUP BY sheet_id")

@@ -322,11 +322,11 @@ def grid_cell(e):
     return e.filter("ax < 900 AND ay < 620").select("handle", col.alias("col"), row.alias("row"))
 
 
-@entry("tile_coverage", "t AS (SELECT DISTINCT sheet_id, CAST(r.r AS INTEGER) AS row, CAST(c.c AS INTEGER) AS col FROM e, range(10) r(r), range(10) c(c) WHERE min_x <= c.c * 160 + 200 AND max_x >= c.c * 160 AND min_y <= r.r * 160 + 200 AND max_y >= r.r * 160) SELECT sheet_id, count(*) AS tiles FROM t GROUP BY sheet_id")
+@entry("tile_coverage", "t AS (SELECT DISTINCT sheet_id, row, col FROM (SELECT sheet_id, row, unnest(range(CAST(greatest(0, ceil((min_x - 200) / 160)) AS BIGINT), CAST(floor(max_x / 160) AS BIGINT) + 1)) AS col FROM (SELECT *, unnest(range(CAST(greatest(0, ceil((min_y - 200) / 160)) AS BIGINT), CAST(floor(max_y / 160) AS BIGINT) + 1)) AS row FROM e))) SELECT sheet_id, count(*) AS tiles FROM t GROUP BY sheet_id")
 def tile_coverage(e):
-    """Distinct tiles of 200 units that overlap by a fifth and meet a box."""
+    """Distinct tiles of 200 units, from 0 on, that overlap by a fifth and meet a box."""
     low = lambda c: F.greatest(F.lit(0), F.ceil((c - 200) / 160))
-    high = lambda c: F.least(F.lit(9), F.floor(c / 160))
+    high = lambda c: F.floor(c / 160)
     span = lambda a, b: F.explode(F.when(low(F.col(a)) <= high(F.col(b)), F.sequence(low(F.col(a)), high(F.col(b)))))
     tiles = e.withColumn("col", span("min_x", "max_x")).withColumn("row", span("min_y", "max_y"))
     return tiles.select("sheet_id", "row", "col").distinct().groupBy("sheet_id").agg(F.count(F.lit(1)).alias("tiles"))

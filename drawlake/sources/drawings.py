@@ -48,7 +48,8 @@ ENTITIES_SQL = (
 
 def leaf_boxes(trees: DataFrame, levels: int = 8) -> DataFrame:
     """Leaves of nested JSON nodes with children, as boxes. `trees` has tree_id and a struct
-    column `node` of box and children; one explode for each level that the schema has."""
+    column `node` of box and children; one explode for each level that the schema has, which
+    may be `levels` at most."""
     out, level = None, trees.select("tree_id", "node.*")
     for _ in range(levels):
         columns = level.columns
@@ -58,6 +59,8 @@ def leaf_boxes(trees: DataFrame, levels: int = 8) -> DataFrame:
         if "children" not in columns:
             break
         level = level.select("tree_id", F.explode("children").alias("node")).select("tree_id", "node.*")
+    else:
+        raise ValueError(f"trees are nested deeper than {levels}")
     return out
 
 
@@ -84,6 +87,6 @@ def expand_blocks(inserts: DataFrame, roots: DataFrame, most_depth: int = 32) ->
             (F.col("dx") + F.col("_x")).alias("dx"), (F.col("dy") + F.col("_y")).alias("dy"),
         )
         if now.isEmpty():
-            break
+            return out
         out = out.unionByName(now)
-    return out
+    raise ValueError(f"blocks are nested deeper than {most_depth}")

@@ -167,9 +167,24 @@ def test_unit_packs_equal_components_by_hand(spark, sf_dir, e):
         assert sum(u for u, _, _ in got[sheet]) == len(mine) and len(got[sheet]) <= len(set(root)) + len(mine)
 
 
-def test_kmeans_gives_every_box_one_of_twelve(spark, sf_dir):
-    got = catalog.QUERIES["kmeans_boxes"](spark, sf_dir)
-    assert got.count() > 0
+def test_kmeans_of_each_sheet(spark, sf_dir, e):
+    """As many clusters as texts, and every entity nearest to the mean of its own cluster."""
+    got = {r.handle: r.cluster for r in catalog.QUERIES["kmeans_boxes"](spark, sf_dir).collect()}
+    by = defaultdict(list)
+    for r in e.collect():
+        by[r.sheet_id].append(r)
+    for rows in by.values():
+        x = [[r.ax, r.ay, r.max_x - r.min_x, r.max_y - r.min_y] for r in rows]
+        low, high = [min(c) for c in zip(*x, strict=True)], [max(c) for c in zip(*x, strict=True)]
+        x = [[(v - a) / (b - a) if b > a else 0.0 for v, a, b in zip(p, low, high, strict=True)] for p in x]
+        groups = defaultdict(list)
+        for r, p in zip(rows, x, strict=True):
+            groups[got[r.handle]].append(p)
+        assert len(groups) <= max(1, sum(r.kind in ("Text", "MText") for r in rows))
+        means = {g: [sum(c) / len(ps) for c in zip(*ps, strict=True)] for g, ps in groups.items()}
+        apart = lambda p, q: sum((a - b) ** 2 for a, b in zip(p, q, strict=True))
+        for r, p in zip(rows, x, strict=True):
+            assert apart(p, means[got[r.handle]]) <= min(apart(p, m) for m in means.values()) + 1e-9
 
 
 def test_analysis_fields(spark, sf_dir):
@@ -218,3 +233,53 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, spark.read.schema(rows.schema).json(path).collect())) == sorted(map(tuple, rows.collect()))
     docs = [json.loads(r.document) for r in sinks.part_list(rows, "demo").collect()]
     assert sorted(d["part_count"] for d in docs) == [1, 2] and all(len(d["parts"]) == d["part_count"] for d in docs if "parts" in d)
+
+
+def test_capture_plans_and_reports(spark, tmp_path):
+    tiles = spark.createDataFrame([(1, 0, 2), (1, 1, 0)], "sheet_id BIGINT, row INT, col INT")
+    got = {r.id: (list(r.min), list(r.max)) for r in sinks.capture_plan(tiles).collect()}
+    assert got == {"R0_C2": ([320.0, 0.0], [520.0, 200.0]), "R1_C0": ([0.0, 160.0], [200.0, 360.0])}
+    path = str(tmp_path / "report")
+    sinks.write_report(spark.createDataFrame([(2, "b"), (1, "a")], "sheet_id BIGINT, line STRING"), path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["a", "b"]
+
+
+def test_sheets_as_a_stream(spark, tmp_path):
+    from drawlake.operators.spatial import box_of
+    from drawlake.streaming.sheets import run_sheets
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 3.0), (1, -1.0, 1.0, 1.0, 1.0), (2, 5.0, 5.0, 6.0, 7.0)], "sheet_id BIGINT, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    run_sheets(stream, lambda b: box_of(b, "sheet_id"), out, str(tmp_path / "check")).awaitTermination()
+    got = {r.sheet_id: (r.min_x, r.max_y, r.n) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (-1.0, 3.0, 2), 2: (5.0, 7.0, 1)}
+
+
+def test_analysis_takes_other_parts(spark, e):
+    from drawlake.operators import drawing as D
+    from drawlake.plans.analyze import Analysis
+
+    parts = Analysis(detect=lambda x: D.band_regions(x).filter("region_kind = 'Geometry'"), extract=(lambda x: x.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("n")),))
+    found = parts.run(e)
+    assert {r.region_kind for r in found["regions"].collect()} == {"Geometry"}
+    assert found["entities"].count() == e.count() and found["fields"].columns == ["sheet_id", "n"]
+
+
+def test_trees_deeper_than_the_limit_are_an_error(spark):
+    from drawlake.sources.drawings import expand_blocks, leaf_boxes
+
+    box = {"id": "a", "min_x": 0.0, "min_y": 0.0, "max_x": 1.0, "max_y": 1.0}
+    leaf = "struct<id:string,min_x:double,min_y:double,max_x:double,max_y:double"
+    schema = f"tree_id BIGINT, node {leaf},children:array<{leaf},children:array<{leaf}>>>>>"
+    node = box | {"children": [box | {"id": "b", "children": [box | {"id": "c"}]}, box | {"id": "d", "children": []}]}
+    trees = spark.createDataFrame([(1, node)], schema)
+    assert sorted(r.id for r in leaf_boxes(trees).collect()) == ["c", "d"]
+    with pytest.raises(ValueError, match="nested deeper"):
+        leaf_boxes(trees, 2)
+    chain = spark.createDataFrame([(i, i + 1, 1.0, 0.0) for i in range(6)], "parent BIGINT, child BIGINT, dx DOUBLE, dy DOUBLE")
+    roots = spark.createDataFrame([(0,)], "node BIGINT")
+    assert expand_blocks(chain, roots).count() == 7
+    with pytest.raises(ValueError, match="nested deeper"):
+        expand_blocks(chain, roots, 3)
