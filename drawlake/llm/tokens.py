@@ -8,6 +8,7 @@ encoded whole. The ids equal those of `encode(text, add_special_tokens=False)`.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -143,13 +144,19 @@ class PieceEncoder:
         out: list[bytes] = []
         run: list[bytes] = []
         size = 0
-        for raw in texts:
-            run.append(raw)
-            size += len(raw)
-            if size >= chunk:
-                out += self._run(run)
-                run, size = [], 0
-        return out + self._run(run)
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the lists of pieces would be searched again and again
+        try:
+            for raw in texts:
+                run.append(raw)
+                size += len(raw)
+                if size >= chunk:
+                    out += self._run(run)
+                    run, size = [], 0
+            return out + self._run(run)
+        finally:
+            if collects:
+                gc.enable()
 
     def _run(self, texts: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.most_cached:
