@@ -283,3 +283,25 @@ def test_trees_deeper_than_the_limit_are_an_error(spark):
     assert expand_blocks(chain, roots).count() == 7
     with pytest.raises(ValueError, match="nested deeper"):
         expand_blocks(chain, roots, 3)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_zones_merge_in_order(seed):
+    from drawlake.operators.contours import merge_zone_list
+
+    r = random.Random(seed)
+    zones = [{"sheet_id": 1, "zone_id": i, "zone_kind": r.choice("ab"), "min_x": (x := r.random() * 50), "min_y": (y := r.random() * 50), "max_x": x + 5 + r.random() * 20, "max_y": y + 5 + r.random() * 20, "score": r.random()} for i in range(20)]
+    kept = merge_zone_list([dict(z) for z in zones])
+    assert sum(k["parts"] for k in kept) == len(zones)
+    # Every zone lies in one kept zone of its kind at least, and each kept zone scores as its best part.
+    for z in zones:
+        around = [k for k in kept if k["zone_kind"] == z["zone_kind"] and k["min_x"] <= z["min_x"] and k["max_x"] >= z["max_x"] and k["min_y"] <= z["min_y"] and k["max_y"] >= z["max_y"]]
+        assert around
+    best = {kind: max(z["score"] for z in zones if z["zone_kind"] == kind) for kind in "ab"}
+    assert {kind: max(k["score"] for k in kept if k["zone_kind"] == kind) for kind in "ab"} == best
+    assert [(k["zone_kind"], -k["score"]) for k in kept] == sorted((k["zone_kind"], -k["score"]) for k in kept)
+
+
+def test_merged_zones_query(spark, sf_dir, e):
+    got = catalog.QUERIES["merged_zones"](spark, sf_dir).collect()
+    assert sum(r.parts for r in got) == e.filter("kind = 'BlockReference'").count()
