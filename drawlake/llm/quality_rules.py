@@ -41,7 +41,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     one = docs.select(
         *docs.columns,
-        words_of(F.col("text")).alias("_words"),
+        # A word is hashed once; windows of words hash these hashes.
+        F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("_words"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]")).alias("_lines"),
         F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
         without(SYMBOLS).cast("bigint").alias("n_symbols"),
