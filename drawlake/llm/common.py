@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from drawlake.storage import shared_dir, written
 
-__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "raw_texts", "shared_dir", "small_batches", "table", "words_of", "written"]
+__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "frugal", "raw_texts", "shared_dir", "small_batches", "table", "words_of", "written"]
 
 #: The white space of the contracts: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,6 +37,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function over batches that gives freed memory back when a task ends, as the worker
+    stays for other stages. Only glibc can be asked to; elsewhere Arrow's pool alone is trimmed."""
+
+    def trimmed(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return trimmed
+
+
 def raw_texts(column: pa.Array, at_once: int = 256) -> Iterator[bytes]:
     """The texts of an Arrow column in UTF-8, a null one as empty, without holding all of
     them a second time."""

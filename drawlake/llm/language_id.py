@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, raw_texts, small_batches, table
+from drawlake.llm.common import fold, frugal, raw_texts, small_batches, table
 
 BUCKETS = 1 << 15
 CHUNK = 1 << 20  # bytes of text that are worked on at once
@@ -93,7 +93,7 @@ def fit_languages(docs: DataFrame, learn: Column) -> LanguageModel:
 
     small_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sums = rows.mapInArrow(count, "lang STRING, bucket INT, n BIGINT").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.mapInArrow(frugal(count), "lang STRING, bucket INT, n BIGINT").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
     n = np.zeros((BUCKETS, len(langs)))
     if langs:
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: LanguageModel, opt: MixtureOptions = Mixtur
                 names=["doc_id", "lang_pred", "score", "languages"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id BIGINT, lang_pred STRING, score DOUBLE, languages ARRAY<STRUCT<lang:STRING,share:DOUBLE>>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(predict), "doc_id BIGINT, lang_pred STRING, score DOUBLE, languages ARRAY<STRUCT<lang:STRING,share:DOUBLE>>")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

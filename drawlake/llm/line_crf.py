@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, raw_texts, small_batches, table
+from drawlake.llm.common import fold, frugal, raw_texts, small_batches, table
 
 CHUNK = 1 << 20
 
@@ -262,7 +262,7 @@ def quality(docs: DataFrame, model: CrfModel | None) -> DataFrame:
                 [batch.column(0), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(lines, pa.list_(pa.float64()))], names=["doc_id", "score", "lines"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, score DOUBLE, lines ARRAY<DOUBLE>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id BIGINT, score DOUBLE, lines ARRAY<DOUBLE>")
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

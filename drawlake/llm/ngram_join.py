@@ -41,7 +41,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import raw_texts, small_batches, table, written
+from drawlake.llm.common import frugal, raw_texts, small_batches, table, written
 from drawlake.llm.components import components
 from drawlake.storage import drop_written
 
@@ -55,7 +55,7 @@ FILTER_BITS = 1 << 18
 class JoinOptions:
     words: int = 5
     least: int = 80  # similarity, in hundredths
-    block: int = 2_000_000  # elements of the sets that one task compares
+    block: int = 1_000_000  # elements of the sets that one task compares
     class_ratio: float = 0.75  # sizes of one size class, least over most
     rounds: int = 2  # that put classes into one block each, before all signatures are followed
     crowd: int = 8  # classes of such a block, at least
@@ -75,7 +75,7 @@ class JoinOptions:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -225,7 +225,7 @@ def frequent_elements(docs: DataFrame, opt: JoinOptions) -> Frequent:
             yield packed(sums)
 
     schema = "slice INT, counts BINARY"
-    counts = docs.select("text").mapInArrow(count, schema)
+    counts = docs.select("text").mapInArrow(frugal(count), schema)
     # Vectors of counts are added up in two steps, of which each holds one vector at a time.
     counts = counts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).repartition("slice", "part").mapInArrow(add, schema)
     counts = counts.repartition("slice").mapInArrow(add, schema).toArrow()
@@ -274,7 +274,7 @@ def signed_sets(docs: DataFrame, opt: JoinOptions, frequent: Broadcast) -> DataF
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(sign, "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, text_hash BIGINT, sigs ARRAY<BIGINT>, kinds ARRAY<INT>, least ARRAY<INT>")
+    return rows.mapInArrow(frugal(sign), "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, text_hash BIGINT, sigs ARRAY<BIGINT>, kinds ARRAY<INT>, least ARRAY<INT>")
 
 
 class PrefixTree:
@@ -431,7 +431,7 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
 
     rows = signed.select(F.explode("sigs").alias("sig"), "h1")
     ordered = rows.repartitionByRange("sig", "h1").sortWithinPartitions("sig", "h1")
-    return ordered.mapInArrow(shared, "sig BIGINT, h1 BIGINT")
+    return ordered.mapInArrow(frugal(shared), "sig BIGINT, h1 BIGINT")
 
 
 def likely(shared: DataFrame, needs: DataFrame) -> DataFrame:

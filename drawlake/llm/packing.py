@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import raw_texts, small_batches, table, written
+from drawlake.llm.common import frugal, raw_texts, small_batches, table, written
 from drawlake.llm.tokens import encoder
 
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, most: int) -
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(frugal(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, opt: PackOptions) -> tuple[np.ndarray, np.ndarray]:

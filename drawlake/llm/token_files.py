@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import raw_texts, shared_dir, small_batches, table
+from drawlake.llm.common import frugal, raw_texts, shared_dir, small_batches, table
 from drawlake.llm.tokens import encoder
 
 MAGIC = b"DLT1"
@@ -167,7 +167,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path:
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(frugal(encode), SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
 
 
@@ -196,7 +196,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.select("first", "payload").mapInArrow(decode, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
+    return placed.select("first", "payload").mapInArrow(frugal(decode), "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

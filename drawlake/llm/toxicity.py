@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, raw_texts, small_batches, table
+from drawlake.llm.common import fold, frugal, raw_texts, small_batches, table
 
 _MARKS = bytearray(range(256))
 for _c in range(128):
@@ -105,7 +105,7 @@ def vocabulary(sample: DataFrame, opt: ToxicityOptions) -> list[bytes]:
     if not size["n"] or not size["t"]:
         return []
     rate = size["t"] / size["n"]
-    counts = sample.mapInArrow(words, "word BINARY, n BIGINT, t BIGINT").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counts = sample.mapInArrow(frugal(words), "word BINARY, n BIGINT, t BIGINT").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     lift = F.col("t") - F.col("n") * rate
     best = counts.filter((F.col("t") >= opt.least_count) & (lift > 0)).orderBy((lift * lift / F.col("n")).desc(), "word").limit(opt.most_words)
     return [bytes(r["word"]) for r in best.select("word").collect()]
@@ -151,7 +151,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = Toxi
                 found.append([h for h in hits if h])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["toxic", "n", "found"])
 
-    rows = sample.mapInArrow(bags, "toxic INT, n BIGINT, found ARRAY<ARRAY<INT>>").collect()
+    rows = sample.mapInArrow(frugal(bags), "toxic INT, n BIGINT, found ARRAY<ARRAY<INT>>").collect()
     rows.sort(key=lambda r: (r["toxic"], r["n"], r["found"]))
     y = np.array([r["toxic"] == 1 for r in rows], float)
     bare = np.array([r["n"] - len(r["found"]) for r in rows], float)
@@ -213,7 +213,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, opt: ToxicityOptions = Toxic
             spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), spans], names=["doc_id", "score", "sentences"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, score DOUBLE, sentences ARRAY<STRUCT<start:BIGINT,end:BIGINT,score:DOUBLE>>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id BIGINT, score DOUBLE, sentences ARRAY<STRUCT<start:BIGINT,end:BIGINT,score:DOUBLE>>")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
