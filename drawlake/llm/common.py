@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from drawlake.storage import shared_dir, written
 
-__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "frugal", "raw_texts", "shared_dir", "small_batches", "table", "words_of", "written"]
+__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "frugal", "one_text_each", "raw_texts", "shared_dir", "small_batches", "table", "words_of", "written"]
 
 #: The white space of the contracts: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -74,6 +74,12 @@ def frequent_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     return counts.filter(F.col(n) * MOST_FREQUENT > total).select(key)
 
 
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of rows that repeat the keys the one whose text has the least hash: keys and text. So a
+    sample that is bounded by its ids is bounded by its rows."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("_one")).select(*keys, F.col("_one.text").alias("text"))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo the number of folds; null ids have no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

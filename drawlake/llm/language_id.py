@@ -73,7 +73,9 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def fit_languages(docs: DataFrame, learn: Column) -> LanguageModel:
     """Count trigrams by language over all rows for which `learn` holds and lang and text
-    are given. The driver gets BUCKETS numbers per language, however large the table is."""
+    are given. The driver gets BUCKETS numbers per language, however large the table is. Rows
+    without lang or text are left out, empty texts add nothing, repeated rows count each; an
+    empty table learns no language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

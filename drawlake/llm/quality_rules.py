@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import BLANKS, fold, table, words_of
+from drawlake.llm.common import BLANKS, fold, one_text_each, table, words_of
 
 #: The symbols that the contract counts.
 SYMBOLS = "#*$%&|<>"
@@ -189,11 +189,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return one_text_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "doc_id", "quality")
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> list[Rule]:
-    """Learn from at most `most` labelled documents. Without labels the list is empty."""
+    """Learn from at most `most` labelled documents. Null labels and null ids are left out, null
+    and empty texts fail the base rule and teach nothing; of labels that repeat an id the least
+    counts, of texts the one of least hash. Without labels, as with empty tables, the list is
+    empty."""
     stats = text_statistics(labelled_sample(docs, labels, most)).withColumn("base_failed", base_failed())
     rows = stats.select("doc_id", "quality", "base_failed", *[f(F.col).cast("double").alias(k) for k, f in FEATURES.items()]).collect()
     rows = [r for r in rows if not r["base_failed"]]

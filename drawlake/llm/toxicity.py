@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, frugal, raw_texts, small_batches, table
+from drawlake.llm.common import fold, frugal, one_text_each, raw_texts, small_batches, table, written
 
 _MARKS = bytearray(range(256))
 for _c in range(128):
@@ -28,6 +28,7 @@ _MARKS = bytes(_MARKS)
 @dataclass(frozen=True)
 class ToxicityOptions:
     most_labelled: int = 16_000  # documents to learn from, those with the smallest hash of the id
+    most_sentences: int = 50_000  # of a document to learn from; longer ones are left out of learning
     most_words: int = 2_000
     least_count: int = 6  # toxic documents that a word must occur in
     rounds: int = 400
@@ -74,7 +75,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return written(one_text_each(rows, "doc_id", "toxic").select("toxic", "text"), "toxicity-sample")  # read three times
 
 
 def vocabulary(sample: DataFrame, opt: ToxicityOptions) -> list[bytes]:
@@ -132,7 +134,8 @@ def noisy_or_loss(
 def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     """Learn from at most opt.most_labelled documents. The driver gets their sentences'
     words of the vocabulary only. Null labels and null ids are left out, a null or empty text
-    has no sentence; of labels that repeat an id the greatest counts. Without toxic examples,
+    has no sentence; of labels that repeat an id the greatest counts, of texts the one of least
+    hash. Without toxic examples,
     as with empty tables, every score is near 0."""
     small_batches(docs.sparkSession)
     sample = _labelled(docs, labels, opt.most_labelled)
@@ -143,13 +146,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = Toxi
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, found = [], []
-            for text in raw_texts(batch.column(1)):
+            kept, total, found = [], [], []
+            for i, text in enumerate(raw_texts(batch.column(1))):
                 parts = [s for s in (x.split() for x in sentences(text)) if s]
+                if len(parts) > opt.most_sentences:
+                    continue
+                kept.append(i)
                 hits = [sorted(index[f] for w in set(s) for f in features(w) if f in index) for s in parts]
                 total.append(len(parts))
                 found.append([h for h in hits if h])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["toxic", "n", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(total, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["toxic", "n", "found"])
 
     rows = sample.mapInArrow(frugal(bags), "toxic INT, n BIGINT, found ARRAY<ARRAY<INT>>").collect()
     rows.sort(key=lambda r: (r["toxic"], r["n"], r["found"]))

@@ -270,3 +270,18 @@ def test_learned_languages_equal_plain_counts(spark):
     for k, lang in enumerate(m.languages):
         want = counts[lang] + 0.5
         assert np.allclose(m.log_p[:, k], np.log(want / want.sum()), atol=1e-5)
+
+
+def test_samples_are_bounded_by_ids(spark):
+    """A labelled id that many rows repeat teaches once, and very long documents teach nothing."""
+    from drawlake.llm import quality_rules as Q
+
+    rows = [(1, f"line {k}\nof text {k}.") for k in range(50)] + [(2, "\n".join(["x y"] * 30)), (3, "all good here.\nYes.")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    ids = [i for i in (1, 2, 3) if docs.filter(F.col("doc_id") == i).select(fold(F.col("doc_id"), 5)).first()[0] != 0]
+    labels = spark.createDataFrame([(i, int(i != 2), int(i == 2)) for i in (1, 2, 3)], "doc_id BIGINT, quality INT, toxic INT")
+    assert Q.labelled_sample(docs, labels, 10).count() == len(ids)
+    short = C.fit_quality(docs.filter("doc_id = 2"), labels, C.CrfOptions(most_lines=10, rounds=2))
+    assert short is None
+    assert T._labelled(docs, labels, 10).count() == len(ids)
+    assert T.fit_toxicity(docs, labels, T.ToxicityOptions(most_sentences=5, least_count=1, rounds=2)) is not None
