@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from drawlake.storage import shared_dir, written
 
-__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "frugal", "one_text_each", "raw_texts", "shared_dir", "small_batches", "table", "words_of", "written"]
+__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "frugal", "one_text_each", "raw_texts", "shared_dir", "small_batches", "split_join", "table", "words_of", "written"]
 
 #: The white space of the contracts: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -74,6 +74,14 @@ def frequent_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     return counts.filter(F.col(n) * MOST_FREQUENT > total).select(key)
 
 
+def split_join(rows: DataFrame, values: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with values, which has one row for each key and in column n the number of
+    rows with it: the few frequent keys by broadcast, so that no task gets all rows of one."""
+    often = F.broadcast(written(frequent_keys(values, key, n), "frequent-keys"))
+    answers = F.broadcast(values.join(often, key, "left_semi"))
+    return rows.join(answers, key).unionByName(rows.join(often, key, "left_anti").join(values, key))
+
+
 def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
     """Of rows that repeat the keys the one whose text has the least hash: keys and text. So a
     sample that is bounded by its ids is bounded by its rows."""

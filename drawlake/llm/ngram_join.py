@@ -41,7 +41,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import frugal, raw_texts, small_batches, table, written
+from drawlake.llm.common import frugal, raw_texts, small_batches, split_join, table, written
 from drawlake.llm.components import components
 from drawlake.storage import drop_written
 
@@ -569,9 +569,10 @@ def similar_components(docs: DataFrame, opt: JoinOptions = JoinOptions()) -> Dat
     found = _Candidates(docs, opt)
     # Sets are named by their hash, as texts that do not link can share a doc_id.
     comps = written(components(found.spanning_links()), "set-components")
-    joined = found.classes.join(comps, found.classes["h1"] == comps["node"], "left")
-    least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = written(joined.join(least, "component", "left").select("h1", "h2", F.coalesce("least_id", "first_id").alias("component_id")), "named-classes")
+    linked = written(found.classes.join(comps, F.col("h1") == F.col("node")).select("h1", "h2", "first_id", "component"), "linked-classes")
+    least = written(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_n")), "component-ids")
+    single = found.classes.join(comps, F.col("h1") == F.col("node"), "left_anti").select("h1", "h2", F.col("first_id").alias("component_id"))
+    named = written(split_join(linked, least, "component", "_n").select("h1", "h2", "component_id").unionByName(single), "named-classes")
     rows = found.signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", "text_hash")
     answer = ("doc_id", "n_shingles", "component_id", "text_hash")
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"]).select(*answer)
