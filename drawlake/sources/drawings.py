@@ -90,3 +90,17 @@ def expand_blocks(inserts: DataFrame, roots: DataFrame, most_depth: int = 32) ->
             return out
         out = out.unionByName(now)
     raise ValueError(f"blocks are nested deeper than {most_depth}")
+
+
+def svg_centres(lines: DataFrame) -> DataFrame:
+    """Box centres of the rect, circle, ellipse and line elements in the lines of SVG text (column
+    value): element, x, y. Elements without their numbers are left out."""
+    tags = F.regexp_extract_all("value", F.lit(r"<(rect|circle|ellipse|line)\b[^>]*>"), F.lit(0))
+    t = lines.select(F.explode(tags).alias("tag")).withColumn("element", F.regexp_extract("tag", r"^<(\w+)", 1))
+    number = lambda name: F.expr(f"try_cast(regexp_extract(tag, '[ ]{name}=[\"]?(-?[0-9.]+)', 1) AS DOUBLE)")
+    middle = lambda p, size, c, a, b: (
+        F.when(F.col("element") == "rect", F.coalesce(number(p), F.lit(0.0)) + number(size) * 0.5)
+        .when(F.col("element") == "line", (number(a) + number(b)) * 0.5).otherwise(F.coalesce(number(c), F.lit(0.0)))
+    )
+    x, y = middle("x", "width", "cx", "x1", "x2"), middle("y", "height", "cy", "y1", "y2")
+    return t.select("element", x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")

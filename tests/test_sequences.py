@@ -305,3 +305,11 @@ def test_zones_merge_in_order(seed):
 def test_merged_zones_query(spark, sf_dir, e):
     got = catalog.QUERIES["merged_zones"](spark, sf_dir).collect()
     assert sum(r.parts for r in got) == e.filter("kind = 'BlockReference'").count()
+
+
+def test_svg_centres(spark):
+    from drawlake.sources.drawings import svg_centres
+
+    text = '<svg><rect x="10" y="20" width="4" height="6"/><circle cx="5" cy="-7.5" r="2"/>\n<line x1="0" y1="2" x2="10" y2="4" /><ellipse cx="1" cy="2" rx="3" ry="4"/><rect x="1"/><path d="M 0 0"/></svg>'
+    got = sorted(tuple(r) for r in svg_centres(spark.createDataFrame([(x,) for x in text.split("\n")], "value STRING")).collect())
+    assert got == [("circle", 5.0, -7.5), ("ellipse", 1.0, 2.0), ("line", 5.0, 3.0), ("rect", 12.0, 23.0)]
