@@ -11,7 +11,7 @@ from drawlake.operators import grids as G
 from drawlake.operators import views as V
 from drawlake.plans.primitives import r
 from drawlake.plans.rows import DIM, GEO, SHEETS_SQL, TEXT
-from drawlake.plans.shapes import CLUSTERS_SQL, VIEWS_SQL, VPAIRS_SQL, ZONES_SQL, block_views, reach
+from drawlake.plans.shapes import VIEWS_SQL, VPAIRS_SQL, ZONES_SQL, block_views, reach
 from drawlake.plans.views import CONTENT_SQL
 from drawlake.sources.drawings import ENTITIES_SQL, entities, with_derived
 from drawlake.sources.primitives import PRIMITIVES_SQL, primitives
