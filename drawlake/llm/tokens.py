@@ -12,7 +12,6 @@ import gc
 import json
 import os
 import re
-from collections.abc import Iterable
 from itertools import compress, pairwise
 
 import numpy as np
@@ -44,14 +43,13 @@ def encoder(path: str) -> PieceEncoder:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, most_cached: int = 600_000):
+    def __init__(self, path: str, most_cached: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_cached = most_cached
         self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # the cache before this one; what is used again moves on
         with open(path, encoding="utf8") as f:
             data = json.load(f)
         before = data.get("pre_tokenizer") or {}
@@ -77,18 +75,10 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unknown(self, keys: Iterable[bytes]) -> list[bytes]:
-        """Those of the keys that the older cache lacks too; the others move on to the cache."""
-        older = self.older
-        if not older:
-            return list(keys)
-        self.cache.update([(k, older[k]) for k in keys if k in older])
-        return [k for k in keys if k not in older]
-
     def _known(self, keys: set[bytes]) -> None:
         """Encode those of the keys that the cache lacks. Keys of letters only go to the library
         many at a time: each is one pre-token, and a token's mark tells where it begins or ends."""
-        cache, new = self.cache, self._unknown([k for k in keys if k not in self.cache])
+        cache, new = self.cache, [k for k in keys if k not in self.cache]
         # Letters of ASCII are told apart at once, the others after decoding.
         if self.mode == "byte":
             plain = [k for k in new if k[:1] == b" " and k[1:].isalpha()]
@@ -170,7 +160,7 @@ class PieceEncoder:
 
     def _run(self, texts: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.most_cached:
-            self.older, self.cache = self.cache, {}
+            self.cache.clear()
         out: list[bytes | None] = [None] * len(texts)
         cut: list[list[bytes]] = [[]] * len(texts)
         whole, seen, specials = [], set(), False
@@ -183,7 +173,7 @@ class PieceEncoder:
             seen.update(cut[i])
         for i, ids in zip(whole, self._library([texts[i].decode("utf8") for i in whole]), strict=True):
             out[i] = ids
-        fresh = set(self._unknown(seen.difference(self.cache)))
+        fresh = seen.difference(self.cache)
         long = {p for p in fresh if len(p) > 256}  # not worth keeping
         self._miss(fresh - long if long else fresh, specials)
         get = self.cache.__getitem__
