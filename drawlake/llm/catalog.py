@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawlake.llm import exact_dedup, language_id, line_crf, mixing, ngram_join, packing, quality_rules, secret_scan, token_files, toxicity
+from drawlake.llm import exact_dedup, kmeans, knn_join, language_id, lexical_search, line_crf, mixing, ngram_join, packing, quality_rules, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_token_files": token_files.op9_token_files,
     "op10_language_id": language_id.op10_language_id,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_exact_knn": knn_join.op12_exact_knn,
+    "op13_kmeans": kmeans.op13_kmeans,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_exact_knn": knn_join.SQL,
+    "op13_kmeans": kmeans.SQL,
 }
