@@ -15,8 +15,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +118,7 @@ def pack(pieces: DataFrame, opt: PackOptions = PackOptions()) -> DataFrame:
     dealt = kept.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     done: list[DataFrame] = []
     while True:
-        placed = dealt.groupBy("_group").applyInPandas(_placer(opt, used), PLACED + ", open BOOLEAN")
+        placed = dealt.groupBy("_group").applyInArrow(_placer(opt, used), PLACED + ", open BOOLEAN")
         used += groups
         if groups == 1:
             break
@@ -137,19 +137,31 @@ def pack(pieces: DataFrame, opt: PackOptions = PackOptions()) -> DataFrame:
     return placed.drop("open")
 
 
-def _placer(opt: PackOptions, used: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Packs a group. used: groups of earlier rounds, whose numbers are taken."""
+def _placer(opt: PackOptions, used: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Packs a group. used: groups of earlier rounds, whose numbers are taken. Ids stay in
+    Arrow, where a null beside them does not turn them into floating point."""
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
-        seq, offset = best_fit(rows["length"].to_numpy(), opt)
-        if "sequence_id" not in rows or seq.max() + 1 < rows["sequence_id"].nunique():
-            rows["sequence_id"] = seq + (used + int(key[0]) << 32)
-            rows["offset"] = offset
-        by = rows.groupby("sequence_id")["length"]
-        room = by.transform("sum") < opt.full * opt.tokens
-        rows["open"] = room & (by.transform("size") < opt.documents) if opt.documents else room
-        return rows.drop(columns="_group")
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        keys = [(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start"))
+        length = rows.column("length").to_numpy()
+        seq, offset = best_fit(length, opt)
+        if "sequence_id" in rows.column_names:
+            earlier = rows.column("sequence_id").to_numpy()
+            if seq.max() + 1 >= len(np.unique(earlier)):  # packing again gains nothing
+                seq, offset = earlier, rows.column("offset").to_numpy()
+            else:
+                seq = seq + (used + key[0].as_py() << 32)
+        else:
+            seq = seq + (used + key[0].as_py() << 32)
+        _, of = np.unique(seq, return_inverse=True)
+        open_ = np.bincount(of, weights=length) < opt.full * opt.tokens
+        if opt.documents:
+            open_ &= np.bincount(of) < opt.documents
+        rows = rows.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        for name, column in (("sequence_id", pa.array(seq, pa.int64())), ("offset", pa.array(offset, pa.int64())), ("open", pa.array(open_[of]))):
+            rows = rows.append_column(name, column)
+        return rows
 
     return place
 

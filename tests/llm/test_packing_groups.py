@@ -30,3 +30,11 @@ def test_pieces_that_never_share_end(spark):
     rows = [(i, 0, 0, 2500, i) for i in range(400)]
     got = K.pack(spark.createDataFrame(rows, K.PIECES), K.PackOptions(group=64)).collect()
     assert len({r.sequence_id for r in got}) == len(got) == 400
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    ids = [(1 << 53) + 1, (1 << 53) + 3, None, (1 << 63) - 1, -(1 << 63), None]
+    rows = [(d, 0, 0, 10 + i, i) for i, d in enumerate(ids)]
+    for opt in (K.PackOptions(), K.PackOptions(group=2)):
+        got = K.pack(spark.createDataFrame(rows, K.PIECES), opt).collect()
+        assert Counter(r.doc_id for r in got) == Counter(ids)
