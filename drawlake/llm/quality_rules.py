@@ -220,15 +220,16 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of `docs` that the rules keep, with all their columns. The filter also reads
-    a random column, which stops the optimizer from pushing the statistics into the scan's
-    filter, where each use would compute them anew."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(*extra).alias("_others")) if extra else docs
+    """The rows of `docs` that the rules keep, with all their columns, whatever their names.
+    The numbers of judged and kept rows are observed as `quality_rules`, for listeners of the
+    session; filters are not pushed below what is observed, so the statistics are computed
+    once and not again for each use in the filter."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select("doc_id", "text", F.struct(*columns).alias("_row"))
     judged = text_statistics(packed).withColumn("base_failed", base_failed())
-    judged = judged.withColumn("_kept", ~F.col("base_failed") & verdict(rules)).withColumn("_hold", F.rand(0))
-    kept = judged.filter(F.col("_kept") & (F.col("_hold") >= 0))
-    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_others.`{c}`").alias(c) for c in docs.columns])
+    judged = judged.withColumn("_kept", ~F.col("base_failed") & verdict(rules))
+    judged = judged.observe("quality_rules", F.count(F.lit(1)).alias("judged"), F.count_if(F.col("_kept")).alias("kept"))
+    return judged.filter("_kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

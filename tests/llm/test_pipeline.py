@@ -161,3 +161,13 @@ def test_run_equals_plain_stages(spark, sf_dir, docs):
     copies = Counter(d for (d, _), n in rounds.items() if 2 * n >= sizes[d])
     mixed = [r for r in left for _ in range(copies[r.doc_id])]
     assert_packed(P.run(spark, sf_dir).collect(), mixed)
+
+
+def test_stages_take_columns_of_any_name(spark, sf_dir):
+    names = ["a.b", "_row", "row", "kept", "_kept", "n_words", "size", "key", "at"]
+    texts = [" ".join(f"word{i}x{k}" for k in range(40)) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "s", *([i] * len(names))) for i, t in enumerate([*texts, texts[0]])], ["doc_id", "text", "source", *names])
+    docs = docs.withColumn("doc_id", docs.doc_id.cast("bigint"))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and all(r["a.b"] == r["at"] for r in out.collect())
