@@ -36,6 +36,19 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 LEDGER_SCHEMA = f"blob STRING, spans {SPAN}"
 
 
+def running(numbers: Column) -> Column:
+    """Sums of an array up to each place, in as many passes as its size has binary digits: each
+    pass adds to every sum the one 1, 2, 4 ... places before it."""
+    steps = F.sequence(F.lit(0), F.greatest(F.length(F.bin(F.size(numbers))), F.lit(1)) - 1)
+    zero = F.lit(0).cast("bigint")
+
+    def add(sums: Column, k: Column) -> Column:
+        before = F.concat(F.array_repeat(zero, F.call_function("shiftleft", F.lit(1), k)), sums)
+        return F.slice(F.zip_with(sums, before, lambda x, y: F.coalesce(x, zero) + y), F.lit(1), F.size(sums))
+
+    return F.aggregate(steps, numbers, add)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches of a rule, as code point spans, without those that
     are too short. Starts follow from the lengths of what lies between the matches."""
@@ -45,23 +58,17 @@ def spans_of(text: Column, kind: str) -> Column:
     between = lengths(F.split(text, quick, -1))
     whole = lengths(F.regexp_extract_all(text, F.lit(quick), F.lit(0)))
     value = lengths(F.regexp_extract_all(text, F.lit(quick), F.lit(group)))
-    parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("len"), value.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"))
-        out = F.when(x["value"] >= least, F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    gaps = F.slice(between, F.lit(1), F.size(whole))
+    ends = running(F.zip_with(gaps, whole, lambda gap, size: (gap + size).cast("bigint")))
+    parts = F.filter(F.arrays_zip(ends.alias("end"), whole.alias("len"), value.alias("value")), lambda x: x["value"] >= least)
+    spans = F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), (x["end"] - x["len"]).alias("start"), x["end"].alias("end")))
 
     possible = F.lit(True)
     if kind in NEEDED:
         possible = F.contains(text, F.lit(NEEDED[kind][0]))
         for more in NEEDED[kind][1:]:
             possible = possible | F.contains(text, F.lit(more))
-    found = F.aggregate(parts, start, step, lambda acc: F.coalesce(acc["out"], F.array().cast(SPAN)))
-    return F.when(possible & text.rlike(quick), found).otherwise(F.array().cast(SPAN))
+    return F.when(possible & text.rlike(quick), spans).otherwise(F.array().cast(SPAN))
 
 
 def scan(text: Column) -> Column:
@@ -113,7 +120,8 @@ def find_secrets(versions: DataFrame, ledger: BlobLedger, rule_version: str = RU
     """One row per input row: doc_id, blob, spans (array of kind, start, end).
 
     `versions` has doc_id (the path) and text, a row for each historical version. A null
-    text is an empty one and has no spans. Repeated rows are each answered. A null doc_id is
+    text is an empty one and has no spans. Repeated rows are each answered; those that repeat
+    both path and text of a representative are scanned each, and count once. A null doc_id is
     a path like any other. Very long texts are scanned whole. An empty table gives no rows;
     other columns are ignored.
     """
