@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import table, words_of, written
+from drawlake.llm.common import frequent_keys, table, words_of, written
 
 GOLDEN = 0.6180339887498949
 #: Weights of the sources in their order, repeating.
@@ -113,13 +113,35 @@ def _running(counts: DataFrame, keys: list[str], order: str, value: str, out: st
     return c.join(sums, [*keys, "_g"]).select(*keys, order, (F.col("_b") + F.coalesce(F.sum(value).over(inner), F.lit(0))).alias(out))
 
 
+def _order_keys(sized: DataFrame, opt: MixOptions) -> DataFrame:
+    """Adds key, by which a tape is ordered: MD5 of the id. The few ids that hold a large share
+    of all rows, none among them, would put those rows into one bucket; theirs is the MD5 of
+    the text's hash too, and equal rows are counted and told apart by their number, so that
+    reruns agree whatever order the rows come in."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    counts = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    often = frequent_keys(counts.withColumn("name", name).select("name", "n"), "name", "n")
+    full = counts.filter(F.col("n") > opt.chunk).select(name.alias("name"))  # more rows than a bucket has
+    often = written(often.join(full, "name", "left_semi"), "frequent-ids")
+    if not often.head(1):
+        return sized.withColumn("key", F.md5(name.cast("binary"))).drop("_text")
+    named = sized.withColumn("name", name)
+    few = named.join(F.broadcast(often), "name", "left_anti").withColumn("key", F.md5(F.col("name").cast("binary"))).drop("_text", "name")
+    equal = named.join(F.broadcast(often), "name", "left_semi").groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n"))
+    # Numbers in two steps, as one array of all would have no bound.
+    block = F.lit(opt.chunk).cast("bigint")
+    blocks = equal.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))))
+    copies = blocks.withColumn("i", F.explode(F.sequence(F.col("b") * block, F.least((F.col("b") + 1) * block, F.col("n")) - 1)))
+    many = copies.withColumn("key", F.md5(F.concat_ws(":", "name", "_text", "i").cast("binary")))
+    return few.unionByName(many.select(*few.columns))
+
+
 def tape(sized: DataFrame, targets: DataFrame, opt: MixOptions) -> DataFrame:
     """Where each document lies on its source's tape: doc_id, size, source columns, at.
-    The order is by MD5 of the id, so reruns agree; the hash's leading bits deal the
+    The order is by `_order_keys`, so reruns agree; the key's leading bits deal the
     documents of even the largest source to buckets of about opt.chunk documents."""
-    d = sized.join(F.broadcast(targets), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = d.withColumn("key", key)
+    d = _order_keys(sized, opt)
+    d = d.join(F.broadcast(targets), d["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     buckets = F.ceil(F.col("n_docs") / opt.chunk)
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * buckets / F.lit(2**32)).cast("bigint"))
     sums = d.groupBy("rank", "bucket").agg(F.sum("size").alias("s"))
@@ -134,7 +156,7 @@ def _prepared(docs: DataFrame, opt: MixOptions, *keep: str) -> tuple[DataFrame,
     slot, rank, turn, begin, length. The last slot of a source takes no more than the target
     leaves."""
     spark = docs.sparkSession
-    sized = written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), *keep), "mix-sizes")
+    sized = written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("_text"), *keep), "mix-sizes")
     targets = written(source_targets(sized, opt), "mix-targets")
     if (n := targets.count()) > MOST_SOURCES:  # a row per source is broadcast
         raise ValueError(f"{n} sources; at most {MOST_SOURCES} can be mixed")

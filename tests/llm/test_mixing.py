@@ -75,3 +75,21 @@ def test_missing_turns_are_made_up(spark):
         turns[r["rank"]].add(r["turn"])
     assert len({r["slot"] for r in slots}) == len(slots) == sum(map(len, turns.values()))
     assert all(set(range(-(-int(t["target"]) // 256))) <= turns[t["rank"]] for t in targets)
+
+
+def test_rows_of_one_id_spread_over_the_tape(spark):
+    """A third of all rows without an id, a third with one id, equal rows among them."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "s", f"a{i % 40} b c d"[: 4 + i % 9]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, source STRING, text STRING")
+    opt = M.MixOptions(block=16, chunk=50)
+    sized = df.select("doc_id", "source", M.F.size(M.words_of(M.F.col("text"))).cast("bigint").alias("size"), M.F.xxhash64("text").alias("_text"))
+    keyed = M._order_keys(sized, opt).collect()
+    assert len(keyed) == 600 and len({r.key for r in keyed}) == 600
+    placed = M.tape(sized, M.source_targets(sized, opt), opt).collect()
+    at = 0
+    for r in sorted(placed, key=lambda r: (r["at"], r["size"] > 0)):
+        assert r["at"] == at
+        at += r["size"]
+    once = sorted(((r.doc_id, r["size"], r.taken) for r in M.mix(df, opt).collect()), key=str)
+    assert once == sorted(((r.doc_id, r["size"], r.taken) for r in M.mix(df.repartition(7), opt).collect()), key=str)
+    assert len(once) == 600 and all(t <= 3 * n for _, n, t in once)
