@@ -484,8 +484,8 @@ class _Candidates:
         self.signed = written(signed.select("doc_id", "n", "h1", "h2", "text_hash"), "sets")
         named = self.signed.filter("n > 0 AND doc_id IS NOT NULL")
         self.classes = written(
-            named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"))
-            .select("h1", "h2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash")), "set-classes"
+            named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+            .select("h1", "h2", "n", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash")), "set-classes"
         )
         needs = signed.select("h1", F.explode(F.arrays_zip("kinds", "least")).alias("x")).groupBy("h1", F.col("x.kinds").alias("kind")).agg(F.min("x.least").alias("least"))
         needs = written(needs, "signature-needs")
@@ -569,13 +569,15 @@ def similar_components(docs: DataFrame, opt: JoinOptions = JoinOptions()) -> Dat
     found = _Candidates(docs, opt)
     # Sets are named by their hash, as texts that do not link can share a doc_id.
     comps = written(components(found.spanning_links()), "set-components")
-    linked = written(found.classes.join(comps, F.col("h1") == F.col("node")).select("h1", "h2", "first_id", "component"), "linked-classes")
+    linked = written(found.classes.join(comps, F.col("h1") == F.col("node")).select("h1", "h2", "copies", "first_id", "component"), "linked-classes")
     least = written(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_n")), "component-ids")
-    single = found.classes.join(comps, F.col("h1") == F.col("node"), "left_anti").select("h1", "h2", F.col("first_id").alias("component_id"))
-    named = written(split_join(linked, least, "component", "_n").select("h1", "h2", "component_id").unionByName(single), "named-classes")
+    single = found.classes.join(comps, F.col("h1") == F.col("node"), "left_anti").select("h1", "h2", "copies", F.col("first_id").alias("component_id"))
+    named = split_join(linked, least, "component", "_n").select("h1", "h2", "copies", "component_id").unionByName(single)
+    named = written(named.select(F.struct("h1", "h2").alias("set"), "copies", "component_id"), "named-classes")
     rows = found.signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", "text_hash")
     answer = ("doc_id", "n_shingles", "component_id", "text_hash")
-    linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["h1", "h2"]).select(*answer)
+    some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("set", F.struct("h1", "h2"))
+    linked = split_join(some, named, "set", "copies").select(*answer)
     alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")).select(*answer)
     return linked.unionByName(alone)
 
