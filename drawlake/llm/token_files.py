@@ -165,8 +165,9 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path:
             yield shard()
 
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # The row's number splits equal rows too, such as empty texts without ids.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
 
