@@ -134,10 +134,14 @@ def merged_zones(zones: DataFrame, least: float = 0.20) -> DataFrame:
 # --- masks ----------------------------------------------------------------------------------------
 
 
-def mask_islands(pixels: DataFrame, width: int) -> DataFrame:
-    """Islands of pixels (sheet_id, row, col) that touch on a side or a corner: area, box in
-    pixels (x, y, width, height) and aspect. width: pixels of a row, at least."""
-    nodes = pixels.select("sheet_id", "row", "col", (F.col("row").cast("bigint") * width + F.col("col")).alias("handle")).distinct()
+PIXEL_ROW = 1 << 32  # numbers of a row's pixels
+
+
+def mask_islands(pixels: DataFrame) -> DataFrame:
+    """Islands of pixels (sheet_id, row, col) that touch on a side or a corner: the number of its
+    first pixel (row * 2^32 + 2^31 + col), area, box in pixels (x, y, width, height) and aspect.
+    Rows and columns may be of any size below 2^31, negative too."""
+    nodes = pixels.select("sheet_id", "row", "col", (F.col("row").cast("bigint") * PIXEL_ROW + (F.col("col") + PIXEL_ROW // 2)).alias("handle")).distinct()
     steps = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     moved = nodes.select("*", steps.alias("s")).select("sheet_id", F.col("handle").alias("a"), (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
     edges = moved.join(nodes.withColumnRenamed("handle", "b"), ["sheet_id", "row", "col"]).select("sheet_id", "a", "b")
@@ -169,6 +173,5 @@ def dimension_parts(e: DataFrame, eps_dimension: float, eps_part: float) -> Data
     outlines = e.filter(F.col("kind").isin(*OUTLINES)).select("sheet_id", "handle", *BOX)
     pairs = box_join(boxes, outlines, 0.0, 128.0).select("sheet_id", F.col("a_component").alias("dimensions"), F.col("b_handle").alias("handle"), *[F.col(f"b_{c}").alias(c) for c in BOX])
     # A cluster's outlines are a graph of their own, so that two clusters may share an outline.
-    own = pairs.withColumnRenamed("sheet_id", "_sheet").withColumn("sheet_id", F.col("dimensions"))
-    found = proximity_clusters(own, eps_part).groupBy("_sheet", "dimensions", "component").agg(F.count(F.lit(1)).alias("n"))
-    return found.filter("n >= 2").select(F.col("_sheet").alias("sheet_id"), "dimensions", F.col("component").alias("part"), "n")
+    found = proximity_clusters(pairs, eps_part, ("sheet_id", "dimensions")).groupBy("sheet_id", "dimensions", "component").agg(F.count(F.lit(1)).alias("n"))
+    return found.filter("n >= 2").select("sheet_id", "dimensions", F.col("component").alias("part"), "n")

@@ -15,19 +15,19 @@ BOX = ("min_x", "min_y", "max_x", "max_y")
 OUTLINES = ("Line", "Polyline", "Arc", "Circle", "Ellipse", "Spline")
 
 
-def proximity_clusters(e: DataFrame, eps: Column | float) -> DataFrame:
+def proximity_clusters(e: DataFrame, eps: Column | float, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
     """Components of boxes within eps whose centres lie in the same or neighbouring cells of
     that size: adds component. eps may be a column of the sheet; `eps` then is its name's value
-    in every row."""
+    in every row. Rows of different keys are never near."""
     b = B.box()
     size = F.col("_eps")
     rows = e.withColumn("_eps", F.lit(eps) if isinstance(eps, (int, float)) else eps)
-    cell = rows.select("sheet_id", "handle", *BOX, "_eps", F.floor(b.center_x / size).alias("cx"), F.floor(b.center_y / size).alias("cy"))
+    cell = rows.select(*keys, "handle", *BOX, "_eps", F.floor(b.center_x / size).alias("cx"), F.floor(b.center_y / size).alias("cy"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    near = cell.withColumn("s", F.explode(steps)).select("sheet_id", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.col("handle").alias("a"), "_eps", *[F.col(c).alias(f"a_{c}") for c in BOX])
-    other = cell.select("sheet_id", "cx", "cy", F.col("handle").alias("b"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    edges = near.join(other, ["sheet_id", "cx", "cy"]).filter((F.col("a") < F.col("b")) & (B.box_distance(B.box("a_"), B.box("b_")) <= F.col("_eps"))).select("sheet_id", "a", "b")
-    return connected(rows.drop("_eps"), edges)
+    near = cell.withColumn("s", F.explode(steps)).select(*keys, (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.col("handle").alias("a"), "_eps", *[F.col(c).alias(f"a_{c}") for c in BOX])
+    other = cell.select(*keys, "cx", "cy", F.col("handle").alias("b"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+    edges = near.join(other, [*keys, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (B.box_distance(B.box("a_"), B.box("b_")) <= F.col("_eps"))).select(*keys, "a", "b")
+    return connected(rows.drop("_eps"), edges, keys)
 
 
 def group_label(kind: Column) -> Column:

@@ -52,9 +52,9 @@ def best_per(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components of each sheet's graph: nodes (sheet_id, handle), edges (sheet_id, a, b, any
-    direction). Adds component, the smallest handle reachable."""
-    found = components(edges.select("sheet_id", F.col("a").alias("u"), F.col("b").alias("v")), "sheet_id")
-    out = nodes.join(found.withColumnRenamed("node", "handle"), ["sheet_id", "handle"], "left")
+def connected(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+    """Components of each graph: nodes (keys, handle), edges (keys, a, b, any direction); keys
+    name a graph, a sheet or a part of one. Adds component, the smallest handle reachable."""
+    found = components(edges.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")), *keys)
+    out = nodes.join(found.withColumnRenamed("node", "handle"), [*keys, "handle"], "left")
     return out.withColumn("component", F.coalesce("component", "handle"))

@@ -117,8 +117,8 @@ def merged_zones(e):
 
 # --- masks --------------------------------------------------------------------------------------
 
-PIXELS_SQL = "px AS (SELECT DISTINCT sheet_id, CAST(y.r AS BIGINT) AS row, CAST(x.c AS BIGINT) AS col FROM e, range(0, 100) y(r), range(0, 120) x(c) WHERE kind IN ('Polyline', 'Circle') AND y.r BETWEEN floor(min_y / 8) AND floor(max_y / 8) AND x.c BETWEEN floor(min_x / 8) AND floor(max_x / 8))"
-MASK_SQL = f"""{PIXELS_SQL}, pn AS (SELECT *, row * 200 + col AS handle FROM px), pe AS (SELECT a.sheet_id, a.handle AS a, b.handle AS b FROM pn a JOIN pn b ON a.sheet_id = b.sheet_id AND a.handle < b.handle AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1), {reach('pn', 'pe', 'pi')},
+PIXELS_SQL = "px AS (SELECT DISTINCT sheet_id, row, unnest(range(CAST(floor(min_x / 8) AS BIGINT), CAST(floor(max_x / 8) AS BIGINT) + 1)) AS col FROM (SELECT *, unnest(range(CAST(floor(min_y / 8) AS BIGINT), CAST(floor(max_y / 8) AS BIGINT) + 1)) AS row FROM e WHERE kind IN ('Polyline', 'Circle')))"
+MASK_SQL = f"""{PIXELS_SQL}, pn AS (SELECT *, row * 4294967296 + 2147483648 + col AS handle FROM px), pe AS (SELECT a.sheet_id, a.handle AS a, b.handle AS b FROM pn a JOIN pn b ON a.sheet_id = b.sheet_id AND a.handle < b.handle AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1), {reach('pn', 'pe', 'pi')},
  mi AS (SELECT pi.sheet_id, component AS island, count(*) AS area, min(col) AS x, min(row) AS y, max(col) - min(col) + 1 AS width, max(row) - min(row) + 1 AS height FROM pi JOIN pn USING (sheet_id, handle) GROUP BY pi.sheet_id, component)"""
 
 
@@ -131,13 +131,13 @@ def pixels(e):
 
 @entry("mask_islands", f"{MASK_SQL} SELECT sheet_id, island, area, x, y, width, height FROM mi WHERE area >= 4")
 def mask_islands(e):
-    return C.mask_islands(pixels(e), 200).filter("area >= 4").select("sheet_id", "island", "area", "x", "y", "width", "height")
+    return C.mask_islands(pixels(e)).filter("area >= 4").select("sheet_id", "island", "area", "x", "y", "width", "height")
 
 
 @entry("mask_hints", f"{MASK_SQL}, ch AS (SELECT a.sheet_id, a.island, count(b.handle) AS children FROM mi a LEFT JOIN e b ON b.sheet_id = a.sheet_id AND b.kind IN ('Polyline', 'Circle') AND floor(b.ax / 8) BETWEEN a.x AND a.x + a.width - 1 AND floor(b.ay / 8) BETWEEN a.y AND a.y + a.height - 1 GROUP BY a.sheet_id, a.island) SELECT sheet_id, island, children, CASE WHEN width / height > 3 THEN 'LongRowSheetCollection' WHEN width > 20 AND height > 20 THEN 'SingleOuterFrameOrFramedClusters' WHEN children >= 5 THEN 'InternalContentClusters' ELSE 'InternalContentCluster' END AS hint FROM mi JOIN ch USING (sheet_id, island)")
 def mask_hints(e):
     """What islands of a mask look like; anchors of shapes in an island's box are its children."""
-    x = C.mask_islands(pixels(e), 200)
+    x = C.mask_islands(pixels(e))
     box = x.select("sheet_id", "island", F.col("x").cast("double").alias("min_x"), F.col("y").cast("double").alias("min_y"), (F.col("x") + F.col("width") - 1).cast("double").alias("max_x"), (F.col("y") + F.col("height") - 1).cast("double").alias("max_y"))
     at = lambda c: F.floor(F.col(c) / 8).cast("double")
     points = e.filter("kind IN ('Polyline', 'Circle')").select("sheet_id", "handle", at("ax").alias("min_x"), at("ay").alias("min_y"), at("ax").alias("max_x"), at("ay").alias("max_y"))
@@ -158,24 +158,24 @@ def hit_islands(e):
 
 
 @entry("dimension_parts", f"""dm AS (SELECT * FROM e WHERE kind IN {DIM}), {_proximity('dm', 150.0, 'dc')}, db AS (SELECT dc.sheet_id, component AS dimensions, min(min_x) AS x0, min(min_y) AS y0, max(max_x) AS x1, max(max_y) AS y1 FROM dc JOIN dm USING (sheet_id, handle) GROUP BY ALL),
- om AS (SELECT dimensions AS sheet_id, e.sheet_id AS real_sheet, handle, min_x, min_y, max_x, max_y FROM db JOIN e ON e.sheet_id = db.sheet_id AND e.kind IN {_OUT} AND min_x <= x1 AND x0 <= max_x AND min_y <= y1 AND y0 <= max_y), {_proximity('om', 60.0, 'oc')}
- SELECT any_value(real_sheet) AS sheet_id, oc.sheet_id AS dimensions, component AS part, count(*) AS n FROM oc JOIN om ON om.sheet_id = oc.sheet_id AND om.handle = oc.handle GROUP BY oc.sheet_id, component HAVING count(*) >= 2""")
+ om AS (SELECT {{'s': e.sheet_id, 'd': dimensions}} AS sheet_id, handle, min_x, min_y, max_x, max_y FROM db JOIN e ON e.sheet_id = db.sheet_id AND e.kind IN {_OUT} AND min_x <= x1 AND x0 <= max_x AND min_y <= y1 AND y0 <= max_y), {_proximity('om', 60.0, 'oc')}
+ SELECT oc.sheet_id['s'] AS sheet_id, oc.sheet_id['d'] AS dimensions, component AS part, count(*) AS n FROM oc JOIN om ON om.sheet_id = oc.sheet_id AND om.handle = oc.handle GROUP BY oc.sheet_id, component HAVING count(*) >= 2""")
 def dimension_parts(e):
     return C.dimension_parts(e, 150.0, 60.0)
 
 
-@entry("part_inventory", f"tx AS (SELECT p.handle AS part_id, t.handle, t.text FROM e p JOIN e t ON t.sheet_id = p.sheet_id AND t.kind IN {TEXT} AND t.ax BETWEEN p.min_x AND p.max_x AND t.ay BETWEEN p.min_y AND p.max_y WHERE p.kind = 'Polyline'), g AS (SELECT part_id, string_agg(text, ' | ' ORDER BY text) AS texts FROM tx GROUP BY part_id) SELECT e.handle AS part_id, CASE WHEN texts IS NULL THEN 'None' ELSE 'Inclusion' END AS status, coalesce(texts, '') AS texts FROM e LEFT JOIN g ON g.part_id = e.handle WHERE kind = 'Polyline'")
+@entry("part_inventory", f"tx AS (SELECT p.sheet_id, p.handle AS part_id, t.text FROM e p JOIN e t ON t.sheet_id = p.sheet_id AND t.kind IN {TEXT} AND t.ax BETWEEN p.min_x AND p.max_x AND t.ay BETWEEN p.min_y AND p.max_y WHERE p.kind = 'Polyline'), g AS (SELECT sheet_id, part_id, string_agg(text, ' | ' ORDER BY text) AS texts FROM tx GROUP BY ALL) SELECT e.sheet_id, e.handle AS part_id, CASE WHEN texts IS NULL THEN 'None' ELSE 'Inclusion' END AS status, coalesce(texts, '') AS texts FROM e LEFT JOIN g ON g.sheet_id = e.sheet_id AND g.part_id = e.handle WHERE kind = 'Polyline'")
 def part_inventory(e):
     """Polylines as parts, with the texts that they hold."""
     box = e.filter("kind = 'Polyline'").select("sheet_id", "handle", "min_x", "min_y", "max_x", "max_y")
     points = e.filter(K.is_text(F.col("kind"))).select("sheet_id", "text", F.col("ax").alias("min_x"), F.col("ay").alias("min_y"), F.col("ax").alias("max_x"), F.col("ay").alias("max_y"))
-    held = box_join(box, points, 0.0, 64.0).groupBy(F.col("a_handle").alias("handle")).agg(F.array_join(F.array_sort(F.collect_list("b_text")), " | ").alias("texts"))
-    x = box.select("handle").join(held, "handle", "left")
-    return x.select(F.col("handle").alias("part_id"), F.when(F.col("texts").isNull(), "None").otherwise("Inclusion").alias("status"), F.coalesce("texts", F.lit("")).alias("texts"))
+    held = box_join(box, points, 0.0, 64.0).groupBy("sheet_id", F.col("a_handle").alias("handle")).agg(F.array_join(F.array_sort(F.collect_list("b_text")), " | ").alias("texts"))
+    x = box.select("sheet_id", "handle").join(held, ["sheet_id", "handle"], "left")
+    return x.select("sheet_id", F.col("handle").alias("part_id"), F.when(F.col("texts").isNull(), "None").otherwise("Inclusion").alias("status"), F.coalesce("texts", F.lit("")).alias("texts"))
 
 
-@entry("containment_tree", """p AS (SELECT a.handle, b.handle AS parent, row_number() OVER (PARTITION BY a.sheet_id, a.handle ORDER BY (b.max_x - b.min_x) * (b.max_y - b.min_y), b.handle) AS k FROM e a JOIN e b ON a.sheet_id = b.sheet_id AND a.handle <> b.handle WHERE a.min_x >= b.min_x AND a.max_x <= b.max_x AND a.min_y >= b.min_y AND a.max_y <= b.max_y AND (b.max_x - b.min_x) * (b.max_y - b.min_y) > (a.max_x - a.min_x) * (a.max_y - a.min_y)),
- q AS (SELECT e.sheet_id, e.handle, parent FROM e LEFT JOIN p ON p.handle = e.handle AND k = 1) SELECT sheet_id, coalesce(CAST(parent AS VARCHAR), 'ROOT') AS parent, count(*) AS children FROM q GROUP BY ALL""")
+@entry("containment_tree", """p AS (SELECT a.sheet_id, a.handle, b.handle AS parent, row_number() OVER (PARTITION BY a.sheet_id, a.handle ORDER BY (b.max_x - b.min_x) * (b.max_y - b.min_y), b.handle) AS k FROM e a JOIN e b ON a.sheet_id = b.sheet_id AND a.handle <> b.handle WHERE a.min_x >= b.min_x AND a.max_x <= b.max_x AND a.min_y >= b.min_y AND a.max_y <= b.max_y AND (b.max_x - b.min_x) * (b.max_y - b.min_y) > (a.max_x - a.min_x) * (a.max_y - a.min_y)),
+ q AS (SELECT e.sheet_id, e.handle, parent FROM e LEFT JOIN p ON p.sheet_id = e.sheet_id AND p.handle = e.handle AND k = 1) SELECT sheet_id, coalesce(CAST(parent AS VARCHAR), 'ROOT') AS parent, count(*) AS children FROM q GROUP BY ALL""")
 def containment_tree(e):
     """How many nodes each node holds at once; the root holds what nothing else does."""
     k = e.select("sheet_id", "handle", "min_x", "min_y", "max_x", "max_y")

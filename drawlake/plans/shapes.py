@@ -280,20 +280,20 @@ def grid_islands(e):
     return D.grid_islands(D.occupied_cells(e.filter("kind = 'Circle'")))
 
 
-@entry("island_overlaps", f"v AS (SELECT * FROM e WHERE kind = 'BlockReference') SELECT v.handle AS view_id, count(d.handle) AS dimensions FROM v LEFT JOIN e d ON d.sheet_id = v.sheet_id AND d.kind IN {DIM} AND d.min_x <= v.max_x AND v.min_x <= d.max_x AND d.min_y <= v.max_y AND v.min_y <= d.max_y GROUP BY v.handle")
+@entry("island_overlaps", f"v AS (SELECT * FROM e WHERE kind = 'BlockReference') SELECT v.sheet_id, v.handle AS view_id, count(d.handle) AS dimensions FROM v LEFT JOIN e d ON d.sheet_id = v.sheet_id AND d.kind IN {DIM} AND d.min_x <= v.max_x AND v.min_x <= d.max_x AND d.min_y <= v.max_y AND v.min_y <= d.max_y GROUP BY v.sheet_id, v.handle")
 def island_overlaps(e):
     k = ("sheet_id", "handle", "min_x", "min_y", "max_x", "max_y")
     v = e.filter("kind = 'BlockReference'").select(*k)
-    hits = box_join(v, e.filter(K.is_dimension(F.col("kind"))).select(*k)).groupBy(F.col("a_handle").alias("handle")).agg(F.count(F.lit(1)).alias("n"))
-    return v.join(hits, "handle", "left").select(F.col("handle").alias("view_id"), F.coalesce("n", F.lit(0)).alias("dimensions"))
+    hits = box_join(v, e.filter(K.is_dimension(F.col("kind"))).select(*k)).groupBy("sheet_id", F.col("a_handle").alias("handle")).agg(F.count(F.lit(1)).alias("n"))
+    return v.join(hits, ["sheet_id", "handle"], "left").select("sheet_id", F.col("handle").alias("view_id"), F.coalesce("n", F.lit(0)).alias("dimensions"))
 
 
-@entry("island_contents", f"v AS (SELECT * FROM e WHERE kind = 'BlockReference') SELECT v.handle AS view_id, count(*) FILTER (d.kind IN {TEXT}) AS texts, count(*) FILTER (d.kind IN {GEO}) AS geometry FROM v JOIN e d ON d.sheet_id = v.sheet_id AND d.min_x <= v.max_x AND v.min_x <= d.max_x AND d.min_y <= v.max_y AND v.min_y <= d.max_y GROUP BY v.handle")
+@entry("island_contents", f"v AS (SELECT * FROM e WHERE kind = 'BlockReference') SELECT v.sheet_id, v.handle AS view_id, count(*) FILTER (d.kind IN {TEXT}) AS texts, count(*) FILTER (d.kind IN {GEO}) AS geometry FROM v JOIN e d ON d.sheet_id = v.sheet_id AND d.min_x <= v.max_x AND v.min_x <= d.max_x AND d.min_y <= v.max_y AND v.min_y <= d.max_y GROUP BY v.sheet_id, v.handle")
 def island_contents(e):
     k = ("sheet_id", "handle", "kind", "min_x", "min_y", "max_x", "max_y")
     pairs = box_join(e.filter("kind = 'BlockReference'").select(*k), e.select(*k))
     b = F.col("b_kind")
-    return pairs.groupBy(F.col("a_handle").alias("view_id")).agg(F.count_if(K.is_text(b)).alias("texts"), F.count_if(K.is_geometry(b)).alias("geometry"))
+    return pairs.groupBy("sheet_id", F.col("a_handle").alias("view_id")).agg(F.count_if(K.is_text(b)).alias("texts"), F.count_if(K.is_geometry(b)).alias("geometry"))
 
 
 @entry("containment_parent", "p AS (SELECT a.handle, b.handle AS parent, row_number() OVER (PARTITION BY a.sheet_id, a.handle ORDER BY (b.max_x - b.min_x) * (b.max_y - b.min_y), b.handle) AS k FROM e a JOIN e b ON a.sheet_id = b.sheet_id AND a.handle <> b.handle WHERE a.min_x >= b.min_x AND a.max_x <= b.max_x AND a.min_y >= b.min_y AND a.max_y <= b.max_y AND (b.max_x - b.min_x) * (b.max_y - b.min_y) > (a.max_x - a.min_x) * (a.max_y - a.min_y)) SELECT handle, parent FROM p WHERE k = 1")
