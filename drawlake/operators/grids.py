@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -155,6 +157,51 @@ def stroke_cells(strokes: DataFrame, size: Column | float) -> DataFrame:
     return rows.select(*strokes.columns, cells.alias("_c")).select(*strokes.columns, "_c.cx", "_c.cy")
 
 
+#: Where a cell is tested, in quarters of its sides: corners, middle and points of its
+#: edges; and how far a point may lie from the arc, in cells.
+CELL_TESTS = tuple((i, j) for i in range(5) for j in range(5) if i in (0, 4) or j in (0, 4) or i == j == 2)
+CELL_NEAR = 0.35
+
+
+def arc_cells(arcs: DataFrame, size: float) -> DataFrame:
+    """Every cell of a square grid that an arc passes: one that holds an end of it, or of whose
+    test points one lies near the circle at an angle of the arc. arcs: cx, cy, radius, start_deg,
+    end_deg; from start counter-clockwise to end, equal angles are a full turn. Arcs with a null or
+    without a radius have no cells. Adds col and row.
+
+    Only the cells along the circle are looked at: for each column those rows where the ring of
+    width CELL_NEAR crosses it, so work grows with the arc's length and not with its area."""
+    c = F.col
+    start = F.radians(F.pmod("start_deg", F.lit(360.0)))
+    turn = F.radians(F.pmod(c("end_deg") - c("start_deg"), F.lit(360.0)))
+    rows = arcs.filter((c("radius") > 0) & c("cx").isNotNull() & c("cy").isNotNull() & c("start_deg").isNotNull() & c("end_deg").isNotNull())
+    rows = rows.withColumns({"_s": start, "_turn": F.when(turn == 0, 2 * math.pi).otherwise(turn)})
+    for name, angle in (("_a", c("_s")), ("_b", c("_s") + c("_turn"))):
+        rows = rows.withColumns({f"{name}x": c("cx") + c("radius") * F.cos(angle), f"{name}y": c("cy") + c("radius") * F.sin(angle)})
+    rows = rows.withColumns({"_far": c("radius") + CELL_NEAR * size + 1e-6, "_near": c("radius") - CELL_NEAR * size - 1e-6})
+    cell = lambda v: F.floor(v / size)
+    rows = rows.withColumn("col", F.explode(F.sequence(cell(c("cx") - c("_far")), cell(c("cx") + c("_far")))))
+    low, high = c("col") * size - c("cx"), (c("col") + 1) * size - c("cx")
+    rows = rows.withColumns({"_m": F.when((low <= 0) & (high >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high))), "_k": F.greatest(F.abs(low), F.abs(high))})
+    outer = F.sqrt(F.greatest(F.lit(0.0), c("_far") * c("_far") - c("_m") * c("_m")))
+    inner = F.when(c("_near") > c("_k"), F.sqrt(c("_near") * c("_near") - c("_k") * c("_k")))
+    rows = rows.withColumns({"_out": outer, "_in": inner})
+    y = c("cy")
+    up, down = F.sequence(cell(y + c("_in")), cell(y + c("_out"))), F.sequence(cell(y - c("_out")), cell(y - c("_in")))
+    rows = rows.withColumn("row", F.explode(F.when(c("_in").isNull(), F.sequence(cell(y - c("_out")), cell(y + c("_out")))).otherwise(F.array_union(down, up))))
+    x0, y0 = c("col") * size, c("row") * size
+    holds = lambda px, py: (px >= x0 - 1e-9) & (px <= x0 + size + 1e-9) & (py >= y0 - 1e-9) & (py <= y0 + size + 1e-9)
+    points = F.array(*[F.struct(F.lit(i * 0.25).alias("u"), F.lit(j * 0.25).alias("v")) for i, j in CELL_TESTS])
+
+    def on_arc(p: Column) -> Column:
+        dx, dy = x0 + p["u"] * size - c("cx"), y0 + p["v"] * size - c("cy")
+        ahead = F.pmod(F.atan2(dy, dx) - c("_s"), F.lit(2 * math.pi))
+        return (F.abs(F.sqrt(dx * dx + dy * dy) - c("radius")) <= CELL_NEAR * size) & (F.round(ahead, 9) <= F.round(c("_turn"), 9))
+
+    hit = holds(c("_ax"), c("_ay")) | holds(c("_bx"), c("_by")) | F.exists(points, on_arc)
+    return rows.filter(hit).select(*arcs.columns, "col", "row")
+
+
 # --- loops ----------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drawlake.functions import kinds as K
+from drawlake.operators import grids as G
 from drawlake.operators import tracing as T
 from drawlake.operators.spatial import box_of
 from drawlake.sources.strokes import STROKES_SQL, strokes
@@ -231,3 +232,16 @@ def closed_chains(d):
 def chain_holes(d):
     """Built on closed_chains."""
     return T.chain_holes(T.closed_chains(T.chain_segments(T.outline_strokes(d))))
+
+
+_AT = "sqrt(pow(col * 12.0 + p.u * 3.0 - cx, 2) + pow(row * 12.0 + p.v * 3.0 - cy, 2))"
+_WAY = "((atan2(row * 12.0 + p.v * 3.0 - cy, col * 12.0 + p.u * 3.0 - cx) - s) % (2 * pi()) + 2 * pi()) % (2 * pi())"
+_HELD = lambda a: f"(cx + radius * cos({a}) BETWEEN col * 12.0 - 1e-9 AND col * 12.0 + 12.0 + 1e-9 AND cy + radius * sin({a}) BETWEEN row * 12.0 - 1e-9 AND row * 12.0 + 12.0 + 1e-9)"
+
+
+@entry("arc_cells", f"""ac AS (SELECT sheet_id, handle, cx, cy, radius, radians(start_deg) AS s, CASE WHEN (end_deg - start_deg + 360) % 360 = 0 THEN 2 * pi() ELSE radians((end_deg - start_deg + 360) % 360) END AS turn FROM d WHERE kind = 'Arc'),
+ cc AS (SELECT *, unnest(range(CAST(floor((cx - radius) / 12) AS BIGINT) - 1, CAST(floor((cx + radius) / 12) AS BIGINT) + 2)) AS col FROM ac), cr AS (SELECT *, unnest(range(CAST(floor((cy - radius) / 12) AS BIGINT) - 1, CAST(floor((cy + radius) / 12) AS BIGINT) + 2)) AS row FROM cc),
+ tp AS (SELECT u, v FROM range(5) a(u), range(5) b(v) WHERE u IN (0, 4) OR v IN (0, 4) OR (u = 2 AND v = 2))
+ SELECT sheet_id, handle, col, row FROM cr WHERE {_HELD('s')} OR {_HELD('s + turn')} OR EXISTS (SELECT 1 FROM tp p WHERE abs({_AT} - radius) <= 4.2 AND round({_WAY}, 9) <= round(turn, 9))""")
+def arc_cells(d):
+    return G.arc_cells(d.filter("kind = 'Arc'"), 12.0).select("sheet_id", "handle", "col", "row")
