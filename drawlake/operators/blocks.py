@@ -140,7 +140,7 @@ def mapped_primitives(instances: DataFrame, leaves: DataFrame) -> DataFrame:
     own = lambda deg: F.degrees("_turn") + deg
     base = F.when(even, F.degrees("_angle")).otherwise(-flip)
     first, last = F.when(c("_det") < 0, -own(c("end_deg"))).otherwise(own(c("start_deg"))), F.when(c("_det") < 0, -own(c("start_deg"))).otherwise(own(c("end_deg")))
-    turned = lambda v: F.pmod(F.round(v, 6), F.lit(360.0)) + 0.0
+    turned = lambda v: F.round(F.pmod(F.round(v, 6), F.lit(360.0)), 6) + 0.0
     way = F.radians("rotation")
     wx, wy = c("m_a") * F.cos(way) + c("m_b") * F.sin(way), c("m_c") * F.cos(way) + c("m_d") * F.sin(way)
     (sx, sy), (ex, ey), (cx, cy) = at(c("sx"), c("sy")), at(c("ex"), c("ey")), at(c("cx"), c("cy"))

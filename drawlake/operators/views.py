@@ -185,9 +185,10 @@ def relations(views: DataFrame) -> DataFrame:
     return x.withColumn("relation", kind).withColumn("position", position)
 
 
-def projection_score(position: Column) -> Column:
+def projection_score(position: Column, bonus: Column | float = 0.25) -> Column:
     """How well a view is another one's projection: alike in width above and below, in height
-    left and right; far ones lose. Over the columns of `relations`."""
+    left and right; far ones lose; bonus is that of two views of geometry. Over the columns of
+    `relations`."""
     c = F.col
 
     def one(aligned: str, main: str, other: str, far: str) -> Column:
@@ -195,7 +196,7 @@ def projection_score(position: Column) -> Column:
         return F.when(c(aligned), 0.9).otherwise(0.0) + c(main) * 1.2 + c(other) * 0.15 + c("area_like") * 0.10 - late
 
     score = F.when(position.isin("Above", "Below"), one("in_column", "width_like", "height_like", "far_y")).when(position.isin("Left", "Right"), one("in_row", "height_like", "width_like", "far_x"))
-    return F.coalesce(F.greatest(F.lit(0.0), score + 0.25), F.lit(0.0))
+    return F.coalesce(F.greatest(F.lit(0.0), score + bonus), F.lit(0.0))
 
 
 def projection_links(views: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def block_primitives_inner_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _primitives_sql(world: str) -> str:
     """Axes from the eigenvalues of the mapped circle's matrix, angles from the mapped ends."""
-    wrap = lambda v: f"((round({v}, 6) % 360 + 360) % 360) + 0.0"
+    wrap = lambda v: f"round((round({v}, 6) % 360 + 360) % 360, 6) + 0.0"
     end = lambda deg: (f"p * cos(radians({deg})) + q * sin(radians({deg}))", f"r * cos(radians({deg})) + s * sin(radians({deg}))")
     def angle(deg: str) -> str:
         vx, vy = end(deg)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from drawlake.functions import kinds as K
 from drawlake.operators import grids as G
 from drawlake.operators import tracing as T
+from drawlake.operators import viewsets as VS
 from drawlake.operators.spatial import box_of
 from drawlake.sources.strokes import STROKES_SQL, strokes
 from drawlake.storage import written
@@ -245,3 +246,22 @@ _HELD = lambda a: f"(cx + radius * cos({a}) BETWEEN col * 12.0 - 1e-9 AND col *
  SELECT sheet_id, handle, col, row FROM cr WHERE {_HELD('s')} OR {_HELD('s + turn')} OR EXISTS (SELECT 1 FROM tp p WHERE abs({_AT} - radius) <= 4.2 AND round({_WAY}, 9) <= round(turn, 9))""")
 def arc_cells(d):
     return G.arc_cells(d.filter("kind = 'Arc'"), 12.0).select("sheet_id", "handle", "col", "row")
+
+
+def drawn_views(d):
+    """Parts as views, with made-up evidence by sheet and ring; the frame of the sheet is none."""
+    c = F.col
+    v = box_of(d.filter("ring BETWEEN 1 AND 10 AND kind <> 'Text'"), "sheet_id", c("ring").cast("bigint").alias("view_id"))
+    n = c("sheet_id") * 7 + c("view_id")
+    roles = F.when(n % 9 == 0, "SparseBridge").when(n % 9 == 1, "BadgeMarker").when(n % 9 == 2, "Unknown").when(n % 9 == 4, "AnnotationLike").when(n % 9 == 5, None).otherwise("GeometryView")
+    return v.select(
+        "sheet_id", "view_id", "min_x", "min_y", (c("max_x") - c("sheet_id") * c("view_id") % 4 * 15.0).alias("max_x"), (c("max_y") - c("sheet_id") * c("view_id") % 3 * 20.0).alias("max_y"),
+        roles.alias("initial_role"), ((c("sheet_id") * 3 + c("view_id") * 5) % 4).alias("dimensions"), c("n").alias("geometry"), ((c("sheet_id") + c("view_id")) % 3 == 0).alias("has_center"),
+        ((c("sheet_id") + c("view_id") * 2) % 5 == 1).alias("has_hidden"), (n % 13 == 3).alias("is_bridge"),
+    )
+
+
+@entry("resolved_views", None)
+def resolved_views(d):
+    """A chain of choices that build on each other; tests compare it with plain loops."""
+    return VS.resolved_views(drawn_views(d))
