@@ -7,11 +7,11 @@ give the same rows; it is written from the definition, not from the Spark plan.
 from __future__ import annotations
 
 
-from drawlake.plans import blocks, cells, components, contours, grids, more, primitives, reports, rows, shapes, tables, tracing, views
+from drawlake.plans import blocks, cells, components, contours, grids, more, primitives, reports, rows, shapes, tables, tracing, trees, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (rows, shapes, tables, more, primitives, components, views, blocks, cells, grids, contours, tracing, reports):
+for part in (rows, shapes, tables, more, primitives, components, views, blocks, cells, grids, contours, tracing, trees, reports):
     for name, (query, sql) in part.ENTRIES.items():
         QUERIES[name] = query
         if sql:
