@@ -505,6 +505,51 @@ def quantity_candidates(e: DataFrame) -> DataFrame:
     return rows.withColumn("quantity", quantity).withColumn("rule", rule).filter("quantity IS NOT NULL").withColumn("score", score)
 
 
+#: What a label holds, in upper case.
+QUANTITY_LABELS = ("QTY", "Q'TY", "QUANTITY", "수량")
+REGION_SCORES = {"MetaTable": 0.10, "TitleBlock": 0.06, "DimensionNote": -0.12, "Geometry": -0.18, "Preview": -0.15}
+
+
+def label_neighbours(texts: DataFrame, most: int = 3) -> DataFrame:
+    """Values beside quantity labels in tables and title blocks: for each label the `most` best texts of
+    its region that are a quantity on their own: sheet_id, label, handle, quantity, score, relation
+    (right, below, close), distance and rank (by falling score, distance and handle).
+
+    texts: sheet_id, handle, text, ax, ay, height (null or 0: 3.5), region_id, region_kind. A
+    label meets what lies within its reach by cells of a region, whose size follows from the tallest
+    text of the sheet. Null texts are no labels and no values; rows without an anchor meet nothing."""
+    c = F.col
+    t = texts.withColumns({"t": F.trim(F.coalesce("text", F.lit(""))), "h": F.when(c("height") > 0, c("height")).otherwise(3.5)}).filter("ax IS NOT NULL AND ay IS NOT NULL")
+    tall = t.groupBy("sheet_id").agg(F.greatest(F.lit(120.0), F.max("h") * 35.0).alias("cell"))
+    t = t.join(tall, "sheet_id").withColumns({"cx": F.floor(c("ax") / c("cell")), "cy": F.floor(c("ay") / c("cell"))})
+    named = F.lit(False)
+    for w in QUANTITY_LABELS:
+        named = named | F.contains(F.upper("t"), F.lit(w))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    labels = t.filter(named & c("region_kind").isin("MetaTable", "TitleBlock")).withColumn("s", steps)
+    labels = labels.select("sheet_id", "region_id", (c("cx") + c("s.i")).alias("cx"), (c("cy") + c("s.j")).alias("cy"), c("handle").alias("label"), c("ax").alias("lx"), c("ay").alias("ly"), c("h").alias("lh"))
+    values = t.withColumn("quantity", T.standalone_quantity(c("t"))).filter((c("t") != "") & c("quantity").isNotNull() & ~T.is_engineering_text(c("t")))
+    p = labels.join(values.select("sheet_id", "region_id", "region_kind", "cx", "cy", "handle", "quantity", "ax", "ay", "h"), ["sheet_id", "region_id", "cx", "cy"]).filter("label <> handle")
+    h = F.greatest("lh", "h")
+    p = p.withColumns({"dx": c("ax") - c("lx"), "dy": c("ay") - c("ly"), "distance": B.point_distance(c("ax"), c("ay"), c("lx"), c("ly"))})
+    right = c("dx").between(F.lit(0.0), F.greatest(F.lit(120.0), h * 35.0)) & (F.abs("dy") <= F.greatest(F.lit(8.0), h * 1.8))
+    below = (c("dy") <= 0) & (F.abs("dx") <= F.greatest(F.lit(10.0), h * 2.0)) & (F.abs("dy") <= F.greatest(F.lit(80.0), h * 22.0))
+    p = p.withColumn("relation", F.when(right, "right").when(below, "below").when(c("distance") <= F.greatest(F.lit(16.0), h * 4.5), "close")).filter("relation IS NOT NULL")
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in REGION_SCORES.items() for x in kv])[c("region_kind")], F.lit(-0.04))
+    near = F.when(c("relation") == "right", 0.34).when(c("relation") == "below", 0.24).otherwise(0.18)
+    score = F.round(B.clamp01(F.lit(0.52) + base + near) - F.when(c("quantity") > 500, 0.06).otherwise(0.0), 9)
+    rank = F.row_number().over(W.partitionBy("sheet_id", "label").orderBy(c("score").desc(), "distance", "handle"))
+    return p.withColumn("score", score).withColumn("rank", rank).filter(c("rank") <= most).select("sheet_id", "label", "handle", "quantity", "score", "relation", "distance", "rank")
+
+
+def all_quantities(e: DataFrame) -> DataFrame:
+    """Inline quantities and values beside labels, each a candidate: sheet_id, handle, label (null of
+    inline ones), quantity, score. A text that is both counts twice."""
+    inline = quantity_candidates(e).select("sheet_id", "handle", F.lit(None).cast("bigint").alias("label"), "quantity", "score")
+    texts = e.filter(K.is_text(F.col("kind"))).join(preliminary_region(e), ["sheet_id", "handle"]).withColumn("height", F.lit(None).cast("double"))
+    return inline.unionByName(label_neighbours(texts).select("sheet_id", "handle", F.col("label").cast("bigint").alias("label"), "quantity", "score"))
+
+
 def decide_quantity(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     """Confirmed, ambiguous or not found, for every sheet."""
     best = F.max("score")

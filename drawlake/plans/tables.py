@@ -264,3 +264,24 @@ def density_clusters(spark, sf_dir):
     square = (a.min_x - b.min_x) * (a.min_x - b.min_x) + (a.min_y - b.min_y) * (a.min_y - b.min_y)
     edges = box_join(pts, pts, 0.01, 0.02).filter((F.col("a_handle") < F.col("b_handle")) & (square <= 0.0001)).select("sheet_id", F.col("a_handle").alias("a"), F.col("b_handle").alias("b"))
     return connected(p, edges).select("handle", F.col("component").alias("cluster"))
+
+
+_LABELS_SQL = r""", t AS (SELECT e.sheet_id, handle, ax, ay, trim(text) AS t, CASE WHEN ay <= s_min_y + (s_max_y - s_min_y) * 0.26 THEN 'TitleBlock' WHEN ax >= s_max_x - (s_max_x - s_min_x) * 0.24 THEN 'MetaTable' ELSE 'Geometry' END AS rk FROM e JOIN s USING (sheet_id) WHERE text IS NOT NULL),
+ lb AS (SELECT * FROM t WHERE contains(upper(t), 'QTY') AND rk <> 'Geometry'), vl AS (SELECT *, CAST(regexp_extract(t, '\d+', 0) AS INTEGER) AS q FROM t WHERE t LIKE '% EA' AND NOT (contains(upper(t), 'R') OR contains(t, '.') OR contains(upper(t), 'TAP'))),
+ pr AS (SELECT l.sheet_id, l.handle AS label, v.handle, q AS quantity, v.rk, v.ax - l.ax AS dx, v.ay - l.ay AS dy, sqrt((v.ax - l.ax) * (v.ax - l.ax) + (v.ay - l.ay) * (v.ay - l.ay)) AS distance FROM lb l JOIN vl v ON l.sheet_id = v.sheet_id AND l.rk = v.rk AND l.handle <> v.handle),
+ rl AS (SELECT *, CASE WHEN dx BETWEEN 0 AND 122.5 AND abs(dy) <= 8 THEN 'right' WHEN dy <= 0 AND abs(dx) <= 10 AND abs(dy) <= 80 THEN 'below' WHEN distance <= 16 THEN 'close' END AS relation FROM pr),
+ nb AS (SELECT *, CAST(row_number() OVER (PARTITION BY sheet_id, label ORDER BY score DESC, distance, handle) AS INTEGER) AS rank FROM (SELECT *, round(least(1, 0.52 + CASE rk WHEN 'MetaTable' THEN 0.10 ELSE 0.06 END + CASE relation WHEN 'right' THEN 0.34 WHEN 'below' THEN 0.24 ELSE 0.18 END)::DOUBLE, 9) AS score FROM rl WHERE relation IS NOT NULL) QUALIFY rank <= 3)"""
+
+
+@entry("label_neighbours", _LABELS_SQL + " SELECT sheet_id, label, handle, quantity, round(score, 6) AS score, relation, round(distance, 6) AS distance, rank FROM nb")
+def label_neighbours(e):
+    from drawlake.functions import kinds as K
+
+    texts = e.filter(K.is_text(F.col("kind"))).join(D.preliminary_region(e), ["sheet_id", "handle"]).withColumn("height", F.lit(None).cast("double"))
+    return D.label_neighbours(texts).select("sheet_id", "label", "handle", "quantity", F.round("score", 6).alias("score"), "relation", F.round("distance", 6).alias("distance"), "rank")
+
+
+@entry("all_quantities", _LABELS_SQL + r""", il AS (SELECT sheet_id, handle, CAST(regexp_extract(t, '\d+', 0) AS INTEGER) AS quantity, CASE WHEN t LIKE 'QTY%' THEN 0.97 ELSE least(1, CASE rk WHEN 'TitleBlock' THEN 0.06 WHEN 'MetaTable' THEN 0.10 ELSE -0.18 END + 0.82) END AS score FROM t WHERE NOT (contains(upper(t), 'R') OR contains(t, '.') OR contains(upper(t), 'TAP')) AND (t LIKE 'QTY: %' OR t LIKE '% EA'))
+ SELECT sheet_id, handle, CAST(NULL AS BIGINT) AS label, quantity, round(score, 6)::DOUBLE AS score FROM il UNION ALL SELECT sheet_id, handle, label, quantity, round(score, 6) FROM nb""")
+def all_quantities(e):
+    return D.all_quantities(e).select("sheet_id", "handle", "label", "quantity", F.round("score", 6).alias("score"))
