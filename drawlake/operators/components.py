@@ -14,13 +14,18 @@ BORDER, TITLE_GAP, MARKER, ISOLATION, SYMBOL_ISOLATION, BAND = 20.0, 50.0, 40.0,
 
 
 def concentric(members: DataFrame, *keys: str) -> DataFrame:
-    """Groups with two circles of nearly one centre and different radii."""
-    b = B.box()
-    circles = members.filter("kind = 'Circle'").select(*keys, "handle", b.center_x.alias("x"), b.center_y.alias("y"), (F.least(b.width, b.height) / 2.0).alias("radius"))
-    other = circles.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("handle", "x", "y", "radius")])
-    near = B.point_distance(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y")) <= 2.0
-    pairs = circles.join(other, list(keys)).filter((F.col("handle") < F.col("o_handle")) & near & (F.abs(F.col("radius") - F.col("o_radius")) >= 1.0))
-    return pairs.select(*keys).distinct().withColumn("has_concentric", F.lit(True))
+    """Groups (sheet_id and further keys) with two circles of nearly one centre and different
+    radii. Centres meet by cells, so a group of many circles is no product of all of them."""
+    b, c = B.box(), F.col
+    at = {"min_x": b.center_x, "min_y": b.center_y, "max_x": b.center_x, "max_y": b.center_y}
+    circles = members.filter("kind = 'Circle'").select(*keys, "handle", *[v.alias(n) for n, v in at.items()], (F.least(b.width, b.height) / 2.0).alias("radius"))
+    near = B.point_distance(c("a_min_x"), c("a_min_y"), c("b_min_x"), c("b_min_y")) <= 2.0
+    own = [k for k in keys if k != "sheet_id"]
+    same = F.lit(True)
+    for k in own:
+        same = same & c(f"a_{k}").eqNullSafe(c(f"b_{k}"))
+    pairs = box_join(circles, circles, 2.0, 16.0).filter(same & (c("a_handle") < c("b_handle")) & near & (F.abs(c("a_radius") - c("b_radius")) >= 1.0))
+    return pairs.select("sheet_id", *[c(f"a_{k}").alias(k) for k in own]).distinct().withColumn("has_concentric", F.lit(True))
 
 
 def component_features(members: DataFrame, title_share: float = 0.26) -> DataFrame:
@@ -88,17 +93,17 @@ ROLE_POINTS = {
 
 def component_roles(features: DataFrame) -> DataFrame:
     """Adds role, role_score and confidence: the first role of most points, from 20 on."""
-    x = features.select(
-        "*", (F.col("dimensions") > 0).alias("has_dimension"), ((F.col("texts") > 0) & F.col("numeric_only")).alias("has_number"),
-        (F.col("scale_word") | F.col("material_word") | F.col("quantity_word")).alias("meta_word"), (F.col("center_lines") > 0).alias("has_center_line"),
-    )
+    helpers = {
+        "has_dimension": F.col("dimensions") > 0, "has_number": (F.col("texts") > 0) & F.col("numeric_only"),
+        "meta_word": F.col("scale_word") | F.col("material_word") | F.col("quantity_word"), "has_center_line": F.col("center_lines") > 0,
+    }
     points = lambda rules: sum([F.when(F.col(c), n).otherwise(0) for c, n in rules.items()], F.lit(0))
     ranked = F.array(*[F.struct((-points(rules)).alias("less"), F.lit(i).alias("place"), F.lit(role).alias("role")) for i, (role, rules) in enumerate(ROLE_POINTS.items())])
     best = F.array_min(ranked)
     score = -best["less"]
     role = F.when(score < 20, "Unknown").otherwise(best["role"])
     confidence = F.when(score >= 70, "High").when(score >= 40, "Medium").otherwise("Low")
-    return features.join(x.select("sheet_id", "comp", role.alias("role"), score.alias("role_score"), confidence.alias("confidence")), ["sheet_id", "comp"])
+    return features.withColumns(helpers).withColumns({"role": role, "role_score": score, "confidence": confidence}).drop(*helpers)
 
 
 def block_stats(d: DataFrame, vertices: Column | None = None) -> DataFrame:

@@ -82,8 +82,8 @@ def promotions(views: DataFrame, pairs: DataFrame, most_aspect: float = 8.0) ->
     and promoted (0.55 and more). pairs: relations of seeds (a) to candidates (b), from both
     sides. Views without a seed that is apart from them score 0."""
     flags = ("has_dimension", "has_center", "has_hidden", "is_seed")
-    one = lambda p: views.select("sheet_id", F.col("view_id").alias(f"{p}_view_id"), *[F.col(f).alias(f"{p}_{f}") for f in flags])
-    x = pairs.join(one("a"), ["sheet_id", "a_view_id"]).join(one("b"), ["sheet_id", "b_view_id"]).filter("a_is_seed AND NOT b_is_seed AND relation NOT IN ('EmbeddedFeature', 'ParentChildContainment')")
+    one = lambda p, which: views.filter(which).select("sheet_id", F.col("view_id").alias(f"{p}_view_id"), *[F.col(f).alias(f"{p}_{f}") for f in flags])
+    x = pairs.join(one("a", "is_seed"), ["sheet_id", "a_view_id"]).join(one("b", "NOT is_seed"), ["sheet_id", "b_view_id"]).filter("relation NOT IN ('EmbeddedFeature', 'ParentChildContainment')")
     a, b, c = B.box("a_"), B.box("b_"), F.col
     add = lambda test, points: F.when(test, points).otherwise(0.0)
     same_size = (c("width_like") >= 0.45) & (c("height_like") >= 0.45) & (c("area_like") >= 0.20)

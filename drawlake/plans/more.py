@@ -250,3 +250,20 @@ def island_semantics(e):
     cells = F.floor((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")) / 16)
     islands = D.with_sheet(g.withColumn("cells", cells).withColumn("bridge", F.lit(False)), D.sheet_bounds(e))
     return U.island_semantics(islands).select("view_id", "score_geometry", "score_badge", "score_annotation", "role")
+
+
+def block_zones(e):
+    """Blocks grown by 40 as zones, with the entities whose anchor they hold."""
+    from drawlake.operators.spatial import box_join
+
+    z = e.filter("kind = 'BlockReference'").select("sheet_id", F.col("handle").alias("zone_id"), (F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y")).alias("score"), *[(F.col(c) + (-40.0 if c.startswith("min") else 40.0)).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+    p = e.select("sheet_id", "handle", *[F.col(f"a{c[-1]}").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+    return z, box_join(z, p, 0.0, 128.0).select("sheet_id", F.col("a_zone_id").alias("zone_id"), F.col("b_handle").alias("handle"))
+
+
+@entry("distinct_zones", None)
+def distinct_zones(e):
+    """What is kept follows the order; tests compare it with plain loops."""
+    from drawlake.operators.zones import distinct_zones as distinct
+
+    return distinct(*block_zones(e)).select("sheet_id", "zone_id", "score")

@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,33 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def components(edges: DataFrame, *keys: str, most_rounds: int = 40) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+LOCAL_EDGES = 1 << 18  # of a graph that one task settles: 4 MB
+
+
+def settled(edges: pa.Table, keys: tuple[str, ...]) -> pa.Table:
+    """Components of one graph that fits in a task: keys, node, component."""
+    both = np.column_stack([edges.column("u").to_numpy(), edges.column("v").to_numpy()])
+    nodes, at = np.unique(both, return_inverse=True)
+    root = list(range(len(nodes)))  # never above the node itself, so a root is its component's least
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in at.reshape(-1, 2).tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    least = nodes[np.array([find(x) for x in range(len(nodes))], np.int64)]
+    named = edges.select(list(keys)).take(pa.array(np.zeros(len(nodes), np.int64)))
+    return named.append_column("node", pa.array(nodes)).append_column("component", pa.array(least))
+
+
+def components(edges: DataFrame, *keys: str, most_rounds: int = 40, local: int = LOCAL_EDGES) -> DataFrame:
+    """Connected components: graphs of at most `local` edges in one task each, larger ones by
+    alternating large-star and small-star steps.
 
     edges: keys, u, v (bigint, any order, repeats allowed); edges of different keys are
     different graphs. Returns keys, node, component for every node with an edge to another
@@ -55,6 +82,29 @@ def components(edges: DataFrame, *keys: str, most_rounds: int = 40) -> DataFrame
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = written(edges.filter(F.col("u") != F.col("v")).select(*keys, high, low).distinct(), "edges")
+    types = dict(now.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "node BIGINT", "component BIGINT"])
+    small, large = now, None
+    if keys:
+        sizes = written(now.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > local).select(*keys), "large-graphs")
+        if not sizes.isEmpty():
+            same = [now[k].eqNullSafe(sizes[k]) for k in keys]
+            small, large = now.join(sizes, same, "left_anti"), written(now.join(sizes, same, "left_semi"), "edges")
+    elif now.count() > local:
+        small, large = None, now
+    done = []
+    if small is not None:
+        groups = small.groupBy(*keys) if keys else small.groupBy(F.lit(0).alias("_graph"))
+        done.append(written(groups.applyInArrow(lambda t: settled(t, keys), schema), "components"))
+    if large is not None:
+        done.append(_by_stars(large, keys, most_rounds))
+    if large is not now:
+        drop_written(now)
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
+
+
+def _by_stars(now: DataFrame, keys: tuple[str, ...], most_rounds: int) -> DataFrame:
+    """Of a written table of edges, u above v, that is deleted after the first round."""
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))

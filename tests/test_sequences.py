@@ -149,22 +149,97 @@ def test_greedy_distinct_equals_plain_loops(spark, e):
 
 
 def test_unit_packs_equal_components_by_hand(spark, sf_dir, e):
+    """Every pack: which units, their totals, and the score."""
     from drawlake.plans.more import pack_units
 
     units = pack_units(e).collect()
     gaps = {r.sheet_id: r.connect_gap for r in catalog.QUERIES["connect_gaps"](spark, sf_dir).collect()}
-    got = defaultdict(list)
-    for r in catalog.QUERIES["unit_packs"](spark, sf_dir).collect():
-        got[r.sheet_id].append((r.units, r.geometry, r.meta_hits))
+    got = sorted((r.sheet_id, r.units, r.geometry, r.meta_hits, round(r.score, 4)) for r in catalog.QUERIES["unit_packs"](spark, sf_dir).collect())
+    want = []
     for sheet, gap in gaps.items():
-        mine = [u for u in units if u.sheet_id == sheet]
-        root = list(range(len(mine)))
-        for i, j in itertools.combinations(range(len(mine)), 2):
-            a, b = mine[i], mine[j]
-            if box_gap((a.min_x, a.min_y, a.max_x, a.max_y), (b.min_x, b.min_y, b.max_x, b.max_y)) <= gap and root[i] != root[j]:
-                old, new = root[j], root[i]
-                root = [new if x == old else x for x in root]
-        assert sum(u for u, _, _ in got[sheet]) == len(mine) and len(got[sheet]) <= len(set(root)) + len(mine)
+        left = [u for u in units if u.sheet_id == sheet]
+
+        def near(a, b):
+            dx, dy = max(0.0, b.min_x - a.max_x, a.min_x - b.max_x), max(0.0, b.min_y - a.max_y, a.min_y - b.max_y)
+            middle = ((a.min_x + a.max_x - b.min_x - b.max_x) ** 2 + (a.min_y + a.max_y - b.min_y - b.max_y) ** 2) ** 0.5 / 2
+            return max(dx, dy) <= 1.0 or (dx * dx + dy * dy) ** 0.5 <= gap or middle <= gap
+
+        while left:
+            pack, edge = [], [left.pop()]
+            while edge:
+                u = edge.pop()
+                pack.append(u)
+                edge += [v for v in left if near(u, v)]
+                left = [v for v in left if not near(u, v)]
+            area = (max(u.max_x for u in pack) - min(u.min_x for u in pack)) * (max(u.max_y for u in pack) - min(u.min_y for u in pack))
+            g, m = sum(u.geometry for u in pack), sum(u.meta_hits for u in pack)
+            want.append((sheet, len(pack), g, m, round(g * 3 + len(pack) * 5 - m * 25 - area * 0.0005, 4)))
+    assert got == sorted(want) and any(n > 2 for _, n, *_ in got)
+
+
+def test_merged_zones_equal_loops(spark):
+    """Which zone each one joins, from boxes that overlap in chains."""
+    from drawlake.operators.contours import merged_zones
+
+    r = random.Random(5)
+    zones = []
+    for i in range(160):
+        x, y = r.randrange(60), r.randrange(60)
+        zones.append((i % 4, i, r.choice("ab"), float(x), float(y), float(x + r.randrange(0, 30)), float(y + r.randrange(1, 30)), float(r.randrange(9))))
+    df = spark.createDataFrame(zones, "sheet_id BIGINT, zone_id BIGINT, zone_kind STRING, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, score DOUBLE")
+    want = []
+    for sheet, kind in itertools.product(range(4), "ab"):
+        grown = []  # id, box, score, parts
+        for _, i, _, *box, score in sorted((z for z in zones if z[0] == sheet and z[2] == kind), key=lambda z: (-z[7], z[1])):
+            for g in grown:
+                k = g[1]
+                common = max(0.0, min(k[2], box[2]) - max(k[0], box[0])) * max(0.0, min(k[3], box[3]) - max(k[1], box[1]))
+                least = min((k[2] - k[0]) * (k[3] - k[1]), (box[2] - box[0]) * (box[3] - box[1]))
+                if least > 0 and common > 0 and common / least >= 0.20:
+                    g[1] = [min(k[0], box[0]), min(k[1], box[1]), max(k[2], box[2]), max(k[3], box[3])]
+                    g[3] += 1
+                    break
+            else:
+                grown.append([i, box, score, 1])
+        want += [(sheet, i, kind, *box, score, parts) for i, box, score, parts in grown]
+    assert sorted(tuple(x) for x in merged_zones(df).collect()) == sorted(want)
+
+
+def test_values_beside_labels_equal_loops(spark):
+    from drawlake.operators.drawing import label_neighbours
+
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        text = r.choice(["QTY", "Q'TY", "수량", "4 EA", "17", "x 3", "600", "2.5", "THRU", "NOTE", None, "QTY: 9"])
+        rows.append((i % 3, i, text, float(r.randrange(500)), float(r.randrange(300)), r.choice([None, 0.0, 2.5, 9.0]), r.choice("mt"), None))
+    kinds = {"m": "MetaTable", "t": "TitleBlock"}
+    rows = [(*x[:7], kinds[x[6]] if x[1] % 11 else "Geometry") for x in rows] + [(0, 900, "5", None, None, None, "m", "MetaTable")]
+    df = spark.createDataFrame(rows, "sheet_id BIGINT, handle BIGINT, text STRING, ax DOUBLE, ay DOUBLE, height DOUBLE, region_id STRING, region_kind STRING")
+    number = {"4 EA": 4, "17": 17, "x 3": 3, "600": 600}
+    want = []
+    for s, label, text, lx, ly, lh, region, kind in rows:
+        if text not in ("QTY", "Q'TY", "수량", "QTY: 9") or kind == "Geometry":
+            continue
+        found = []
+        for s2, handle, value, x, y, h, region2, kind2 in rows:
+            if s2 != s or region2 != region or handle == label or value not in number or x is None:
+                continue
+            base, dx, dy = max(lh or 3.5, h or 3.5), x - lx, y - ly
+            far = (dx * dx + dy * dy) ** 0.5
+            if 0 <= dx <= max(120, base * 35) and abs(dy) <= max(8, base * 1.8):
+                near, relation = 0.34, "right"
+            elif dy <= 0 and abs(dx) <= max(10, base * 2) and abs(dy) <= max(80, base * 22):
+                near, relation = 0.24, "below"
+            elif far <= max(16, base * 4.5):
+                near, relation = 0.18, "close"
+            else:
+                continue
+            score = min(1.0, 0.52 + {"MetaTable": 0.10, "TitleBlock": 0.06, "Geometry": -0.18}[kind2] + near) - (0.06 if number[value] > 500 else 0)
+            found.append((-round(score, 9), far, handle, number[value], relation))
+        want += [(s, label, h, q, round(-m, 6), rel, k + 1) for k, (m, _, h, q, rel) in enumerate(sorted(found)[:3])]
+    got = [(x.sheet_id, x.label, x.handle, x.quantity, round(x.score, 6), x.relation, x["rank"]) for x in label_neighbours(df).collect()]
+    assert sorted(got) == sorted(want) and {x[5] for x in got} == {"right", "below", "close"}
 
 
 def test_kmeans_of_each_sheet(spark, sf_dir, e):
@@ -196,7 +271,10 @@ def test_analysis_fields(spark, sf_dir):
 def test_components_by_key_equal_plain_ones(spark):
     r = random.Random(2)
     edges = [(k, r.randrange(40), r.randrange(40)) for k in (1, 2) for _ in range(25)]
-    got = {(x.k, x.node): x.component for x in components(spark.createDataFrame(edges, "k BIGINT, u BIGINT, v BIGINT"), "k").collect()}
+    df = spark.createDataFrame(edges, "k BIGINT, u BIGINT, v BIGINT")
+    ways = [{(x.k, x.node): x.component for x in components(df, "k", local=n).collect()} for n in (0, 25, 1 << 18)]
+    assert ways[0] == ways[1] == ways[2]
+    got = ways[0]
     root = {(k, v): v for k, a, b in edges for v in (a, b)}
     for _ in range(60):
         for k, a, b in edges:
@@ -313,3 +391,41 @@ def test_svg_centres(spark):
     text = '<svg><rect x="10" y="20" width="4" height="6"/><circle cx="5" cy="-7.5" r="2"/>\n<line x1="0" y1="2" x2="10" y2="4" /><ellipse cx="1" cy="2" rx="3" ry="4"/><rect x="1"/><path d="M 0 0"/></svg>'
     got = sorted(tuple(r) for r in svg_centres(spark.createDataFrame([(x,) for x in text.split("\n")], "value STRING")).collect())
     assert got == [("circle", 5.0, -7.5), ("ellipse", 1.0, 2.0), ("line", 5.0, 3.0), ("rect", 12.0, 23.0)]
+
+
+def test_distinct_zones_equal_loops(spark, e):
+    from drawlake.operators.zones import ZoneOptions, distinct_zones
+    from drawlake.plans.more import block_zones
+
+    zones, members = block_zones(e)
+    opt = ZoneOptions(boxes=0.2, members=0.4)
+    held = defaultdict(set)
+    for m in members.collect():
+        held[m.sheet_id, m.zone_id].add(m.handle)
+    by = defaultdict(list)
+    for z in zones.collect():
+        by[z.sheet_id].append(z)
+    want, dropped = [], set()
+    for sheet, rows in by.items():
+        kept = []
+        for z in sorted(rows, key=lambda z: (-z.score, z.zone_id)):
+            why = None
+            for k in kept:
+                w, h = min(k.max_x, z.max_x) - max(k.min_x, z.min_x), min(k.max_y, z.max_y) - max(k.min_y, z.min_y)
+                common = max(0.0, w) * max(0.0, h)
+                joint = sum((x.max_x - x.min_x) * (x.max_y - x.min_y) for x in (k, z)) - common
+                a, b = held[sheet, k.zone_id], held[sheet, z.zone_id]
+                if common / joint >= opt.boxes:
+                    why = "box"
+                elif a and b and len(a & b) / min(len(a), len(b)) >= opt.members:
+                    why = why or "members"
+            if why:
+                dropped.add(why)
+            else:
+                kept.append(z)
+        want += [(sheet, z.zone_id) for z in kept]
+    assert sorted((z.sheet_id, z.zone_id) for z in distinct_zones(zones, members, opt).collect()) == sorted(want)
+    assert dropped == {"box", "members"}
+    assert distinct_zones(zones.limit(0), members).count() == 0
+    bare = zones.withColumns({"min_x": F.lit(None).cast("double"), "score": F.lit(None).cast("bigint")})
+    assert distinct_zones(bare, members.limit(0)).count() == zones.count()
