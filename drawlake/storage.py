@@ -66,8 +66,8 @@ def settled(edges: pa.Table, keys: tuple[str, ...]) -> pa.Table:
         if a != b:
             root[max(a, b)] = min(a, b)
     least = nodes[np.array([find(x) for x in range(len(nodes))], np.int64)]
-    named = edges.select(list(keys)).take(pa.array(np.zeros(len(nodes), np.int64)))
-    return named.append_column("node", pa.array(nodes)).append_column("component", pa.array(least))
+    first = pa.array(np.zeros(len(nodes), np.int64))
+    return pa.table({k: edges.column(k).take(first) for k in keys} | {"node": nodes, "component": least})
 
 
 def components(edges: DataFrame, *keys: str, most_rounds: int = 40, local: int = LOCAL_EDGES) -> DataFrame:
