@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawlake.storage import shared_dir, written
 
-__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "frugal", "one_text_each", "raw_texts", "shared_dir", "small_batches", "split_join", "table", "words_of", "written"]
+__all__ = ["BLANKS", "WORD_GAP", "fold", "frequent_keys", "frugal", "one_text_each", "raw_texts", "shared_dir", "small_batches", "split_join", "table", "within_total", "words_of", "written"]
 
 #: The white space of the contracts: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -88,6 +89,15 @@ def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("_one")).select(*keys, F.col("_one.text").alias("text"))
 
 
+def within_total(sample: DataFrame, size: Column, most: int) -> DataFrame:
+    """Of a written sample with doc_id the first rows in the order of the id's hash whose sizes
+    add up to `most` at most; a null size is 0. Ids and sizes go through one task, so the
+    sample has to be bounded by its rows, and its ids be unique."""
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    ids = sample.select("doc_id", F.coalesce(size, F.lit(0)).alias("_size")).withColumn("_upto", F.sum("_size").over(order))
+    return sample.join(F.broadcast(ids.filter(F.col("_upto") <= most).select("doc_id")), "doc_id")
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo the number of folds; null ids have no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

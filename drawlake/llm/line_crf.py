@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, frugal, one_text_each, raw_texts, small_batches, table
+from drawlake.llm.common import fold, frugal, one_text_each, raw_texts, small_batches, table, within_total, written
 
 CHUNK = 1 << 20
 
@@ -50,6 +50,7 @@ N_FEATURES = 3 * N_OWN + 3  # own, previous, next; no previous, no next, constan
 class CrfOptions:
     most_labelled: int = 6_000
     most_lines: int = 5_000  # of a document to learn from; longer ones are left out of learning
+    all_lines: int = 400_000  # of all documents to learn from, in the order of the id's hash
     rounds: int = 100  # gradient steps of a fit
     passes: int = 2  # of expectation and maximisation, after the fit without transitions
     step: float = 0.05
@@ -208,7 +209,7 @@ def line_marginals(texts: list[bytes], model: CrfModel) -> tuple[np.ndarray, np.
 
 def fit_quality(docs: DataFrame, labels: DataFrame, opt: CrfOptions = CrfOptions()) -> CrfModel | None:
     """Learn from at most opt.most_labelled documents, those with the smallest hash of the
-    id. Null labels and null ids are left out, null and empty texts have no line; of labels
+    id, and as many of them as have opt.all_lines lines together: that many rows of features reach the driver. Null labels and null ids are left out, null and empty texts have no line; of labels
     that repeat an id the least counts, of texts the one of least hash. None if that leaves no example, as with empty tables."""
     small_batches(docs.sparkSession)
     ids = (
@@ -216,12 +217,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, opt: CrfOptions = CrfOptions
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(opt.most_labelled)
     )
-    sample = one_text_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "doc_id", "quality")
+    sample = written(one_text_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "doc_id", "quality"), "quality-sample")
+    # Documents that are left out for their length do not count.
+    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    sample = within_total(sample.filter(F.coalesce(lines, F.lit(0)) <= opt.most_lines), lines, opt.all_lines)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             features = (line_features([t])[0] for t in raw_texts(batch.column(2)))
-            blobs = [x.astype("<f4").tobytes() if len(x) <= opt.most_lines else b"" for x in features]
+            blobs = [x.astype("<f4").tobytes() for x in features]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = [r for r in sample.mapInArrow(extract, "doc_id BIGINT, quality INT, x BINARY").collect() if r["x"]]

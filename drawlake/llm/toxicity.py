@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold, frugal, one_text_each, raw_texts, small_batches, table, written
+from drawlake.llm.common import fold, frugal, one_text_each, raw_texts, small_batches, table, within_total, written
 
 _MARKS = bytearray(range(256))
 for _c in range(128):
@@ -29,6 +29,7 @@ _MARKS = bytes(_MARKS)
 class ToxicityOptions:
     most_labelled: int = 16_000  # documents to learn from, those with the smallest hash of the id
     most_sentences: int = 50_000  # of a document to learn from; longer ones are left out of learning
+    all_sentences: int = 1_000_000  # of all documents to learn from, in the order of the id's hash
     most_words: int = 2_000
     least_count: int = 6  # toxic documents that a word must occur in
     rounds: int = 400
@@ -69,14 +70,17 @@ def sentences(text: bytes) -> list[bytes]:
     return text.translate(_MARKS).split(b"\n")
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions) -> DataFrame:
     ids = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(opt.most_labelled)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return written(one_text_each(rows, "doc_id", "toxic").select("toxic", "text"), "toxicity-sample")  # read three times
+    sample = written(one_text_each(rows, "doc_id", "toxic"), "toxicity-sample")  # read several times
+    # Sentences end in one of these marks; documents that are left out for their length do not count.
+    ends = F.length(F.regexp_replace("text", r"[^.!?\n]", "")) + 1
+    return within_total(sample.filter(F.coalesce(ends, F.lit(0)) <= opt.most_sentences), ends, opt.all_sentences).select("toxic", "text")
 
 
 def vocabulary(sample: DataFrame, opt: ToxicityOptions) -> list[bytes]:
@@ -132,13 +136,14 @@ def noisy_or_loss(
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
-    """Learn from at most opt.most_labelled documents. The driver gets their sentences'
+    """Learn from at most opt.most_labelled documents, and as many of them as have about
+    opt.all_sentences sentences together. The driver gets their sentences'
     words of the vocabulary only. Null labels and null ids are left out, a null or empty text
     has no sentence; of labels that repeat an id the greatest counts, of texts the one of least
     hash. Without toxic examples,
     as with empty tables, every score is near 0."""
     small_batches(docs.sparkSession)
-    sample = _labelled(docs, labels, opt.most_labelled)
+    sample = _labelled(docs, labels, opt)
     words = vocabulary(sample, opt)
     if not words:
         return ToxicityModel({}, -12.0)
