@@ -283,5 +283,27 @@ def test_samples_are_bounded_by_ids(spark):
     assert Q.labelled_sample(docs, labels, 10).count() == len(ids)
     short = C.fit_quality(docs.filter("doc_id = 2"), labels, C.CrfOptions(most_lines=10, rounds=2))
     assert short is None
-    assert T._labelled(docs, labels, 10).count() == len(ids)
+    assert T._labelled(docs, labels, T.ToxicityOptions(most_labelled=10)).count() == len(ids)
     assert T.fit_toxicity(docs, labels, T.ToxicityOptions(most_sentences=5, least_count=1, rounds=2)) is not None
+
+
+def test_samples_are_bounded_by_the_sum_of_their_parts(spark):
+    """In the order of the id's hash, until the sum is full; a null size counts nothing."""
+    from drawlake.llm.common import within_total, written
+
+    rows = [(i, i % 7 if i % 5 else None) for i in range(60)]
+    sample = written(spark.createDataFrame(rows, "doc_id BIGINT, n BIGINT"), "sample")
+    order = [r.doc_id for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for most in (0, 40, 10**6):
+        want, total = [], 0
+        for i in order:
+            total += dict(rows)[i] or 0
+            if total <= most:
+                want.append(i)
+        assert sorted(r.doc_id for r in within_total(sample, F.col("n"), most).collect()) == sorted(want)
+    assert within_total(sample.limit(0), F.col("n"), 5).count() == 0
+    docs = spark.createDataFrame([(i, "one. two. three.\nfour") for i in range(40)], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id BIGINT, quality INT, toxic INT")
+    assert T._labelled(docs, labels, T.ToxicityOptions(all_sentences=26)).count() == 26 // 5
+    assert C.fit_quality(docs, labels, C.CrfOptions(all_lines=1, rounds=2)) is None
+    assert C.fit_quality(docs, labels, C.CrfOptions(all_lines=8, rounds=2)) is not None
