@@ -97,7 +97,9 @@ def best_region(e: DataFrame, regions: DataFrame, near: float = 12.0) -> DataFra
         return F.struct(tier.alias("tier"), key.alias("key"), rb.area.alias("area"), (-r["confidence"]).alias("doubt"), r["region_id"].alias("region_id"), r["region_kind"].alias("region_kind"))
 
     best = F.array_min(F.filter(F.transform("_regions", rated), lambda x: x["tier"].isNotNull()))
-    return _regions_of(e, regions).withColumn("_best", best).select(*e.columns, "_best.region_id", "_best.region_kind", F.col("_best.tier").cast("int").alias("tier"))
+    # Generated once, where three fields of a column would each rate all regions anew.
+    x = _regions_of(e, regions).select(*[F.col(c) for c in e.columns], F.explode(F.array(best)).alias("_best"))
+    return x.select(*e.columns, "_best.region_id", "_best.region_kind", F.col("_best.tier").cast("int").alias("tier"))
 
 
 def scored_region(e: DataFrame, regions: DataFrame) -> DataFrame:
