@@ -37,10 +37,10 @@ def segments(e):
     return C.segments(e).filter("kind IN ('Line', 'Polyline')").select("handle", "seq", r("x0"), r("y0"), r("x1"), r("y1"))
 
 
-@entry("segment_lengths", f"{SEGMENTS_SQL} SELECT handle, count(*) AS n, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 4) AS length FROM sg GROUP BY handle")
+@entry("segment_lengths", f"{SEGMENTS_SQL} SELECT sheet_id, handle, count(*) AS n, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 4) AS length FROM sg GROUP BY sheet_id, handle")
 def segment_lengths(e):
     length = B.point_distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return C.segments(e).groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(length), 4).alias("length"))
+    return C.segments(e).groupBy("sheet_id", "handle").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(length), 4).alias("length"))
 
 
 @entry("sample_points", f"{SEGMENTS_SQL}, n AS (SELECT *, greatest(1, CAST(ceil(round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / 5.0, 9)) AS INTEGER)) AS n FROM sg WHERE kind = 'Line') SELECT handle, CAST(k AS INTEGER) AS k, round(x0 + (x1 - x0) * (k / n), 6) AS x, round(y0 + (y1 - y0) * (k / n), 6) AS y FROM (SELECT *, unnest(range(n + 1)) AS k FROM n)")

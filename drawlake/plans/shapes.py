@@ -220,9 +220,9 @@ def view_pairs(e):
     return D.view_pairs(block_views(e)).select("source_id", "target_id", "direction", r("x_overlap"), r("y_overlap"), r("score"))
 
 
-@entry("view_degree", f"{VIEWS_SQL}, {VPAIRS_SQL} SELECT source_id AS view_id, count(*) AS strong FROM vs WHERE score >= 0.40 GROUP BY source_id")
+@entry("view_degree", f"{VIEWS_SQL}, {VPAIRS_SQL} SELECT sheet_id, source_id AS view_id, count(*) AS strong FROM vs WHERE score >= 0.40 GROUP BY sheet_id, source_id")
 def view_degree(e):
-    return D.view_pairs(block_views(e)).filter("score >= 0.40").groupBy(F.col("source_id").alias("view_id")).agg(F.count(F.lit(1)).alias("strong"))
+    return D.view_pairs(block_views(e)).filter("score >= 0.40").groupBy("sheet_id", F.col("source_id").alias("view_id")).agg(F.count(F.lit(1)).alias("strong"))
 
 
 @entry("dimension_owner", f"""{VIEWS_SQL}, {VPAIRS_SQL}, sg AS (SELECT source_id AS view_id, count(*) AS strong FROM vs WHERE score >= 0.40 GROUP BY source_id),
@@ -304,15 +304,15 @@ def containment_parent(e):
     return best_per(pairs, ["sheet_id", "a_handle"], [F.col("_area"), F.col("b_handle")]).select(F.col("a_handle").alias("handle"), F.col("b_handle").alias("parent"))
 
 
-@entry("nearest_value", f"l AS (SELECT * FROM e WHERE text LIKE 'QTY%'), v AS (SELECT * FROM e WHERE text LIKE '% EA'), p AS (SELECT l.handle, v.handle AS value_handle, sqrt((l.ax - v.ax) * (l.ax - v.ax) + (l.ay - v.ay) * (l.ay - v.ay)) AS d FROM l JOIN v USING (sheet_id)), k AS (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY d, value_handle) AS k FROM p WHERE d <= 200) SELECT handle, value_handle, CAST(k AS INTEGER) AS rank, round(d, 6) AS distance FROM k WHERE k <= 3")
+@entry("nearest_value", "l AS (SELECT * FROM e WHERE text LIKE 'QTY%'), v AS (SELECT * FROM e WHERE text LIKE '% EA'), p AS (SELECT sheet_id, l.handle, v.handle AS value_handle, sqrt((l.ax - v.ax) * (l.ax - v.ax) + (l.ay - v.ay) * (l.ay - v.ay)) AS d FROM l JOIN v USING (sheet_id)), k AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, handle ORDER BY d, value_handle) AS k FROM p WHERE d <= 200) SELECT sheet_id, handle, value_handle, CAST(k AS INTEGER) AS rank, round(d, 6) AS distance FROM k WHERE k <= 3")
 def nearest_value(e):
-    c = e.select("sheet_id", "handle", "text", "ax", "ay")
-    pairs = prefixed(c.filter("text LIKE 'QTY%'"), "a_").join(prefixed(c.filter("text LIKE '% EA'"), "b_"), "sheet_id")
-    pairs = pairs.withColumn("d", B.point_distance(F.col("a_ax"), F.col("a_ay"), F.col("b_ax"), F.col("b_ay"))).filter("d <= 200")
+    c = e.select("sheet_id", "handle", "text", *[F.col(f"a{n[-1]}").alias(n) for n in ("min_x", "min_y", "max_x", "max_y")])
+    pairs = box_join(c.filter("text LIKE 'QTY%'"), c.filter("text LIKE '% EA'"), 200.0, 256.0)
+    pairs = pairs.withColumn("d", B.point_distance(F.col("a_min_x"), F.col("a_min_y"), F.col("b_min_x"), F.col("b_min_y"))).filter("d <= 200")
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.partitionBy("a_handle").orderBy("d", "b_handle"))
-    return pairs.withColumn("rank", rank).filter("rank <= 3").select(F.col("a_handle").alias("handle"), F.col("b_handle").alias("value_handle"), "rank", F.round("d", 6).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("sheet_id", "a_handle").orderBy("d", "b_handle"))
+    return pairs.withColumn("rank", rank).filter("rank <= 3").select("sheet_id", F.col("a_handle").alias("handle"), F.col("b_handle").alias("value_handle"), "rank", F.round("d", 6).alias("distance"))
 
 
 @entry("grid_cell", "n AS (SELECT 1) SELECT handle, CAST(CASE WHEN ax >= 900 THEN NULL ELSE floor(ax / 300) END AS INTEGER) AS col, CAST(1 - floor(ay / 310) AS INTEGER) AS row FROM e WHERE ax < 900 AND ay < 620")
