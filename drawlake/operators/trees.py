@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawlake.functions import kinds as K
-from drawlake.storage import written
+from drawlake.storage import joinable, written
 
 NODE = ["tree_id", "node_id"]
 
@@ -24,12 +24,12 @@ def numbered(nodes: DataFrame, most: int = 1000) -> DataFrame:
     """Adds depth (0 at a root), path (places from the root down, which sort as pre-order does)
     and preorder (from 0 in each tree)."""
     sibling = W.partitionBy("tree_id", "parent_id").orderBy("place", "node_id")
-    n = written(nodes.select(*NODE, "parent_id", F.row_number().over(sibling).alias("_nth")), "tree-nodes")
+    n = joinable(nodes.select(*NODE, "parent_id", F.row_number().over(sibling).alias("_nth")), "tree-nodes")
     level = n.filter("parent_id IS NULL").select(*NODE, F.lit(0).alias("depth"), F.array("_nth").alias("path"))
     below = n.filter("parent_id IS NOT NULL").select("tree_id", F.col("node_id").alias("_child"), F.col("parent_id").alias("node_id"), "_nth")
     out = None
     for _ in range(most):
-        level = written(level, "tree-level")
+        level = joinable(level, "tree-level")
         if level.isEmpty():
             break
         out = level if out is None else out.unionByName(level)
@@ -39,7 +39,7 @@ def numbered(nodes: DataFrame, most: int = 1000) -> DataFrame:
     if out is None:
         out = level
     order = F.row_number().over(W.partitionBy("tree_id").orderBy("path")) - 1
-    return nodes.join(out.withColumn("preorder", order), NODE)
+    return nodes.join(out.withColumn("preorder", order).hint("merge"), NODE)  # as large as nodes; a union drops hints
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def normalised(nodes: DataFrame, opt: CollapseOptions = CollapseOptions()) -> Da
     dropped = ["single child wrapper", "near empty wrapper", *([] if opt.keep_neutral else ["neutral"])]
     x = x.withColumn("reason", F.when(block, reason))
     x = x.withColumn("node_kind", F.when(~block, leaf).when(c("reason").isin(*dropped), "CollapsedWrapper").otherwise("PreservedBlock"))
-    x = written(x.select(*nodes.columns, "reason", "node_kind"), "judged-nodes")
+    x = joinable(x.select(*nodes.columns, "reason", "node_kind"), "judged-nodes")
     # Owners come down level by level: a kept parent, or what owns a collapsed one.
     level = x.filter("parent_id IS NULL").select(*NODE, "node_kind", F.lit(None).cast(dict(nodes.dtypes)["node_id"]).alias("owner"), F.lit(0).alias("level"))
     below = x.filter("parent_id IS NOT NULL").select("tree_id", c("node_id").alias("_child"), c("parent_id").alias("node_id"), c("node_kind").alias("_kind"))
@@ -90,7 +90,7 @@ def normalised(nodes: DataFrame, opt: CollapseOptions = CollapseOptions()) -> Da
         level = level.join(below, NODE).select(
             "tree_id", c("_child").alias("node_id"), c("_kind").alias("node_kind"), F.when(kept, c("node_id")).otherwise(c("owner")).alias("owner"), (c("level") + kept.cast("int")).alias("level")
         )
-        level = written(level, "owner-level")
+        level = joinable(level, "owner-level")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -140,7 +140,7 @@ def nested(rows: DataFrame) -> DataFrame:
     corner = lambda a, b: F.struct(F.col(a).alias("X"), F.col(b).alias("Y"))
     box = F.when(F.col("min_x").isNotNull(), F.struct(corner("min_x", "min_y").alias("MinPoint"), corner("max_x", "max_y").alias("MaxPoint")))
     own = F.concat_ws(",", *[_text(j, F.col(n)) for n, j in _FIELDS.items()], _text("Bounds", box))
-    x = written(rows.select("tree_id", "path", "depth", own.alias("own")), "json-nodes")
+    x = joinable(rows.select("tree_id", "path", "depth", own.alias("own")), "json-nodes")
     deepest = x.agg(F.max("depth")).first()[0]
     if deepest is None:
         return rows.select("tree_id", F.lit("").alias("document")).filter("false")
@@ -153,5 +153,5 @@ def nested(rows: DataFrame) -> DataFrame:
             held = below.groupBy("tree_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "document"))), lambda c: c["document"]), ",").alias("children"))
             level = level.join(held, ["tree_id", "path"], "left").na.fill("", ["children"])
         parts = F.concat_ws(",", F.when(F.col("own") != "", F.col("own")), F.concat(F.lit('"Children":['), F.col("children"), F.lit("]")))
-        below = written(level.select("tree_id", "path", F.concat(F.lit("{"), parts, F.lit("}")).alias("document")), "json-level")
+        below = joinable(level.select("tree_id", "path", F.concat(F.lit("{"), parts, F.lit("}")).alias("document")), "json-level")
     return below.select("tree_id", "document")

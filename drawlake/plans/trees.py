@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drawlake.functions import kinds as K
 from drawlake.operators import trees as T
-from drawlake.storage import written
+from drawlake.storage import joinable
 
 ENTRIES: dict = {}
 
@@ -19,7 +19,7 @@ NODES = (
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(spark.sql(NODES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet")), "trees")
+    return joinable(spark.sql(NODES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet")), "trees")
 
 
 NODES_SQL = f"nd AS ({NODES.replace('{orders}', 'orders').replace(' div ', ' // ')})"
