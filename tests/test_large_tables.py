@@ -1,8 +1,10 @@
 """Tables that grow with the input are not broadcast for the size of their compressed files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from drawlake.operators import trees as T
+from drawlake.plans import catalog
 
 
 def plan(df):
@@ -19,3 +21,9 @@ def test_trees_are_not_broadcast(spark):
     assert [tuple(r) for r in x.groupBy("depth", "preorder").count().orderBy("depth").collect()] == [(i, i, 10_000) for i in range(4)]
     y = T.normalised(x)
     assert "SortMergeJoin" in plan(y) and "BroadcastHashJoin" not in plan(y)
+
+
+@pytest.mark.parametrize("name", ["contour_seeds", "contour_links"])
+def test_contours_are_not_broadcast(spark, sf_dir, name):
+    got = plan(catalog.QUERIES[name](spark, sf_dir))
+    assert "SortMergeJoin" in got and "BroadcastHashJoin" not in got
