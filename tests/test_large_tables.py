@@ -23,7 +23,7 @@ def test_trees_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan(y) and "BroadcastHashJoin" not in plan(y)
 
 
-@pytest.mark.parametrize("name", ["contour_seeds", "contour_links"])
+@pytest.mark.parametrize("name", ["contour_seeds", "contour_links", "contour_loops", "outer_contours"])
 def test_contours_are_not_broadcast(spark, sf_dir, name):
     got = plan(catalog.QUERIES[name](spark, sf_dir))
     assert "SortMergeJoin" in got and "BroadcastHashJoin" not in got
